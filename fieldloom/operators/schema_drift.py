@@ -187,13 +187,15 @@ def unified_schema(files: DataFrame) -> DataFrame:
             out = []
             for dataset, name, start, profiles in zip(b["dataset"], b["vars"], b["start_at"], b["profiles"]):
                 for column, (dtype, quantity, _) in merge_profiles(list(profiles)).items():
-                    field = quantity.partition(":")[2] if quantity else column
-                    out.append((dataset, name, start, field, column, dtype))
-            yield pd.DataFrame(out, columns=["dataset", "vars", "start_at", "field", "ncvar", "dtype"])
+                    out.append((dataset, name, start, quantity.partition(":")[2] if quantity else None, column, dtype))
+            yield pd.DataFrame(out, columns=["dataset", "vars", "start_at", "quantity", "ncvar", "dtype"])
 
-    columns = versions(files).select("dataset", "vars", "start_at", "profiles").mapInPandas(unfold, "dataset string, vars string, start_at timestamp_ntz, field string, ncvar string, dtype string")
+    columns = versions(files).select("dataset", "vars", "start_at", "profiles").mapInPandas(unfold, "dataset string, vars string, start_at timestamp_ntz, quantity string, ncvar string, dtype string")
+    # a start without descriptions learns from the others what a name stands for
+    columns = columns.groupBy("dataset", "vars", "ncvar").agg(F.max("quantity").alias("quantity"), F.collect_set("dtype").alias("types"), F.count_distinct("start_at").alias("n"))
+    columns = columns.withColumn("field", F.coalesce("quantity", "ncvar"))
     grouped = columns.groupBy("dataset", "vars", "field").agg(
-        F.array_sort(F.collect_set("ncvar")).alias("names"), F.array_sort(F.collect_set("dtype")).alias("dtypes"), F.count_distinct("start_at").alias("n_starts"))
+        F.array_sort(F.collect_set("ncvar")).alias("names"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("dtypes"), F.sum("n").alias("n_starts"))
 
     @F.pandas_udf("string")
     def widest(types: pd.Series) -> pd.Series:
