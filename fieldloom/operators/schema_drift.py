@@ -118,7 +118,7 @@ def _likeness(a: str, left: list, b: str, right: list) -> float:
 def versions(files: DataFrame) -> DataFrame:
     """dataset, vars, start_at, file_id (lowest), profiles (the different ones) of each start with a described file.
 
-    Files with a null or unreadable field_encoding are passed over, and so are files without a start.
+    Files with a null or unreadable field_encoding are passed over, and so are files without a start or an id.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +128,7 @@ def versions(files: DataFrame) -> DataFrame:
             profiles = [known[p] if p in known else known.setdefault(p, profile(*p)) for p in pairs]
             yield b[["dataset", "vars", "start_at", "file_id"]].assign(profile=profiles)
 
-    rows = files.where(F.col("field_encoding").isNotNull() & F.col("start_at").isNotNull()).select("dataset", "vars", F.col("start_at").cast("timestamp_ntz").alias("start_at"), "file_id", "field_encoding", "field_properties")
+    rows = files.where(F.col("field_encoding").isNotNull() & F.col("start_at").isNotNull() & F.col("file_id").isNotNull()).select("dataset", "vars", F.col("start_at").cast("timestamp_ntz").alias("start_at"), "file_id", "field_encoding", "field_properties")
     profiles = rows.mapInPandas(read, "dataset string, vars string, start_at timestamp_ntz, file_id long, profile string").where("profile is not null")
     # equal profiles of one start are combined before they meet
     once = profiles.groupBy("dataset", "vars", "start_at", "profile").agg(F.min("file_id").alias("file_id"))
