@@ -119,7 +119,7 @@ def ending(text: str | None) -> Ending:
 
 
 def endings(documents: DataFrame) -> DataFrame:
-    """doc_id, source, doc_type, chars, bytes, kind, form, word, inner of every row."""
+    """doc_id, source, doc_type, chars, bytes, kind, form, word, inner of every row with an id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -130,7 +130,7 @@ def endings(documents: DataFrame) -> DataFrame:
                 out.append((doc_id, source, kind, len(t) if t else 0, len(t.encode("utf-8", "surrogatepass")) if t else 0, e.kind, e.form, e.word, list(e.inner)))
             yield pd.DataFrame(out, columns=["doc_id", "source", "doc_type", "chars", "bytes", "kind", "form", "word", "inner"])
 
-    return documents.selectExpr("cast(doc_id as bigint) doc_id", "source", "doc_type", "text").mapInPandas(
+    return documents.where("doc_id is not null").selectExpr("cast(doc_id as bigint) doc_id", "source", "doc_type", "text").mapInPandas(
         run, "doc_id long, source string, doc_type string, chars int, bytes int, kind string, form string, word string, inner array<string>")
 
 
