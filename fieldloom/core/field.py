@@ -317,10 +317,10 @@ class Field:
         if method not in ("nearest", "linear"):
             raise NotImplementedError(f"interpolation by {method!r}")
         make = weights.nearest_weights if method == "nearest" else weights.linear_weights
-        projected = not self.domain.is_latlon_independent or AxisType.LATITUDE not in self.domain or self.latitude.name not in self.dims
-        cy, cx = (self.domain.y, self.domain.x) if projected else (self.latitude, self.longitude)
+        projected = AxisType.LATITUDE not in self.domain or not self.domain.is_latlon_independent or self.latitude.name not in self.dims
         if projected and isinstance(self.domain.crs, CurvilinearGrid):
             raise NotImplementedError("a curvilinear grid has no formula; use locations or regrid by nearest_s2d")
+        cy, cx = (self.domain.y, self.domain.x) if projected else (self.latitude, self.longitude)
         tlat, tlon = domain.latitude.values.astype(float), domain.longitude.values.astype(float)
         rest = [c for c in self.domain if not set(c.dims) & {cy.name, cx.name} and c.axis not in (AxisType.LATITUDE, AxisType.LONGITUDE)]
         if domain.type is not DomainType.POINTS and not projected:

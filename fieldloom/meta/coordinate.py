@@ -34,6 +34,7 @@ class Coordinate:
 
     def __post_init__(self) -> None:
         values = np.asarray(self.values)
+        values = values.astype(values.dtype.newbyteorder("="), copy=False)
         if values.dtype.kind == "M":
             values = values.astype("datetime64[us]")
         elif values.dtype.kind in "iuf" and values.dtype.kind != "f":
