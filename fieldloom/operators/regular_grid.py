@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from fieldloom.meta.cell_methods import time_interval_us
 from fieldloom.plans.ordered import with_next
@@ -22,7 +23,7 @@ CHUNK_PERIODS = 1024
 UNFOLD = 4096
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _time_interval(cell_methods: pd.Series) -> pd.Series:
     known: dict[object, int | None] = {}
     return pd.Series([known[t] if t in known else known.setdefault(t, time_interval_us(t)) for t in (x if isinstance(x, str) else None for x in cell_methods)], dtype="Int64")
