@@ -106,7 +106,7 @@ class Items:
         return out
 
 
-def overlap(doc: list[str], item: list[str], shift: int, penalty: float = 3.0) -> tuple[int, int, int, int, int]:
+def overlap(doc: list[str], item: list[str], shift: int, penalty: float = 1.0) -> tuple[int, int, int, int, int]:
     """(longest exact run, words of the best overlap, its substitutions, its start in the document, in the item) on one diagonal.
 
     The best overlap has the greatest sum of 1 for an equal word and ``-penalty`` for a substitution.

@@ -182,7 +182,7 @@ def judge(documents: DataFrame) -> DataFrame:
     inside = lines.select(F.explode("inner").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_LEAST).select("w")
     final = lines.where("not at_limit and word is not null").groupBy(F.col("word").alias("w")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).where((F.col("n") >= USUAL_LEAST) & (F.col("n") >= F.col("total") * WORD_SHARE)).select("w")
     known = inside.unionByName(final).distinct().select(F.col("w").alias("known_word"))
-    prose = rows.where("kind <> 'blank'").groupBy(F.col("doc_type").alias("__type")).agg(F.avg(F.col("kind").isin("terminal", "ellipsis").cast("double")).alias("share")).where("share >= 0.5").select("__type")
+    prose = rows.where("kind <> 'blank' and not at_limit").groupBy(F.col("doc_type").alias("__type")).agg(F.avg(F.col("kind").isin("terminal", "ellipsis").cast("double")).alias("share")).where("share >= 0.5").select("__type")
 
     # only closing lines meet their statistics; usual forms are at most 1 / USUAL_SHARE
     closed = rows.where("kind = 'line'").join(F.broadcast(usual), F.col("form") == F.col("usual_form"), "left").join(known, F.col("word") == F.col("known_word"), "left")
