@@ -34,6 +34,8 @@ class Domain:
     @staticmethod
     def _coordinate(name: str, given: Any) -> Coordinate:
         if isinstance(given, Coordinate):
+            if given.name == name:
+                return given
             return replace(given, name=name, dims=tuple(name if d == given.name else d for d in given.dims))
         if isinstance(given, tuple):
             dims, values, bounds, units, properties, encoding = (*given, *[None] * (6 - len(given)))

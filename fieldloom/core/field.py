@@ -19,7 +19,7 @@ from fieldloom.core.domain import Domain, DomainType, GeodeticGrid
 from fieldloom.crs.systems import CoordSystem, CurvilinearGrid, GeogCS, RegularLatLon, RotatedGeogCS
 from fieldloom.meta.axis import AxisType, MethodType, RegridMethod
 from fieldloom.meta.cell_methods import CellMethod, parse_cell_methods
-from fieldloom.meta.coordinate import Coordinate, CoordinateType
+from fieldloom.meta.coordinate import Coordinate, CoordinateType, LazyCoordinate
 from fieldloom.meta.naming import to_json_value
 from fieldloom.meta.unit import parse_unit
 from fieldloom.operators import polygons, weights
@@ -32,6 +32,11 @@ log = logging.getLogger(__name__)
 VALUE = "value"
 
 
+def distinct_labels(df: DataFrame, dim: str) -> np.ndarray:
+    labels = np.array([r[0] for r in df.select(dim).where(F.col(dim).isNotNull()).distinct().collect()])
+    return np.sort(labels.astype("datetime64[us]") if labels.dtype == object else labels)
+
+
 @dataclass(frozen=True, eq=False)
 class Field:
     """``df`` has a column for each of ``dims`` and ``value``.
@@ -56,7 +61,7 @@ class Field:
     @classmethod
     def from_dataframe(cls, df: DataFrame, name: str, dims: Iterable[str], value: str, coords: dict[str, Any] | Domain | None = None, crs: CoordSystem | None = None,
                        domaintype: DomainType | None = DomainType.GRIDDED, cell_methods: str | None = None, **meta: Any) -> Field:
-        """From long form. Coordinates that aren't given are the distinct labels of their column, which is the one job this runs."""
+        """From long form. Coordinates that aren't given are the distinct labels of their column, read when a verb needs them."""
         dims = tuple(dims)
         if isinstance(coords, Domain):
             domain = coords
@@ -64,8 +69,7 @@ class Field:
             given = dict(coords or {})
             for d in dims:
                 if d not in given and AxisType.infer(d) is not AxisType.GENERIC:
-                    labels = np.array([r[0] for r in df.select(d).where(F.col(d).isNotNull()).distinct().collect()])
-                    given[d] = np.sort(labels.astype("datetime64[us]") if labels.dtype == object else labels)
+                    given[d] = LazyCoordinate(d, lambda d=d: distinct_labels(df, d), (d,))
             domain = Domain(given, crs, domaintype)
         number = F.col(value).cast("double")
         rows = df.select(*dims, F.when(~F.isnan(number), number).alias(VALUE))

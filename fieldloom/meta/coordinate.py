@@ -134,3 +134,19 @@ def check_bounds(shape: tuple[int, ...], bounds: np.ndarray) -> np.ndarray:
     if bounds.shape not in allowed:
         raise ValueError(f"bounds of shape {bounds.shape} don't fit labels of shape {shape}")
     return bounds
+
+
+class LazyCoordinate(Coordinate):
+    """A coordinate over its own dimension whose labels are loaded when a verb first needs them."""
+
+    def __init__(self, name: str, values: Any, dims: tuple[str, ...] = (), axis: AxisType | None = None, units: str | None = None, bounds: np.ndarray | None = None, properties: dict[str, Any] | None = None, encoding: dict[str, Any] | None = None) -> None:
+        kind = axis or AxisType.infer(name)
+        for key, value in (("name", name), ("dims", dims), ("axis", kind), ("units", units or kind.default_units), ("bounds", bounds), ("properties", properties or {}), ("encoding", encoding or {}), ("_source", values), ("_held", None)):
+            object.__setattr__(self, key, value)
+
+    @property
+    def values(self) -> np.ndarray:  # type: ignore[override]
+        if self._held is None:
+            raw = self._source() if callable(self._source) else self._source
+            object.__setattr__(self, "_held", Coordinate(self.name, raw, self.dims, self.axis, self.units, self.bounds, self.properties, self.encoding).values)
+        return self._held

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.matching import assign, name_similarity
 from fieldloom.plans.ordered import with_previous
+from fieldloom.plans.scale import spread
 
 # C and CDL names whose numpy reading differs or doesn't exist.
 _C_TYPES = {"float": "f4", "real": "f4", "int": "i4", "integer": "i4", "long": "i8", "byte": "i1", "char": "S1", "string": "str", "ushort": "u2", "uint": "u4", "ubyte": "u1", "int64": "i8", "uint64": "u8"}
@@ -129,7 +130,7 @@ def versions(files: DataFrame) -> DataFrame:
             yield b[["dataset", "vars", "start_at", "file_id"]].assign(profile=profiles)
 
     rows = files.where(F.col("field_encoding").isNotNull() & F.col("start_at").isNotNull() & F.col("file_id").isNotNull()).select("dataset", "vars", F.col("start_at").cast("timestamp_ntz").alias("start_at"), "file_id", "field_encoding", "field_properties")
-    profiles = rows.mapInPandas(read, "dataset string, vars string, start_at timestamp_ntz, file_id long, profile string").where("profile is not null")
+    profiles = spread(rows).mapInPandas(read, "dataset string, vars string, start_at timestamp_ntz, file_id long, profile string").where("profile is not null")
     # equal profiles of one start are combined before they meet
     once = profiles.groupBy("dataset", "vars", "start_at", "profile").agg(F.min("file_id").alias("file_id"))
     return once.groupBy("dataset", "vars", "start_at").agg(F.min("file_id").alias("file_id"), F.array_sort(F.collect_list("profile")).alias("profiles"))

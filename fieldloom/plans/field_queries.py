@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from fieldloom.core.cube import DataCube
 from fieldloom.core.dataset import Dataset, Entry
 from fieldloom.core.domain import Domain, DomainType, GeodeticGrid, GeodeticPoints
-from fieldloom.core.field import Field
+from fieldloom.core.field import Field, distinct_labels
 from fieldloom.crs.systems import AlbersEqualArea, CurvilinearGrid, LambertConformal, Mercator, RotatedGeogCS, Stereographic, TransverseMercator
-from fieldloom.meta.coordinate import Coordinate
+from fieldloom.meta.coordinate import Coordinate, LazyCoordinate
 from fieldloom.plans.scale import table
 from fieldloom.streaming.windows import resample_stream
 
@@ -39,8 +39,7 @@ def grid(spark: SparkSession, sf_dir: str, where: str | None = None, name: str =
     rows = _rows(spark, sf_dir)
     rows = rows.where(where) if where else rows
     df = rows.groupBy("time", "latitude", "longitude").agg(_quantity())
-    times = [r[0] for r in rows.select("time").distinct().collect()]
-    return Field.from_dataframe(df, name, ("time", "latitude", "longitude"), "value", {"time": np.sort(np.array(times, dtype="datetime64[us]")), "latitude": LAT, "longitude": LON}, units="kg")
+    return Field.from_dataframe(df, name, ("time", "latitude", "longitude"), "value", {"time": LazyCoordinate("time", lambda: distinct_labels(rows, "time"), ("time",)), "latitude": LAT, "longitude": LON}, units="kg")
 
 
 def vertical_grid(spark: SparkSession, sf_dir: str) -> Field:

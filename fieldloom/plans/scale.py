@@ -59,3 +59,13 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
             base = base[len(scheme):]
             break
     return os.path.join(base, *parts)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least a partition for each core before work in Python.
+
+    A small table may come as one split, which would leave all but one core idle. A large one has
+    more splits than cores and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
