@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from fieldloom.plans.scale import spread
+
 #: Where the vocabulary files are; a parameter of every function that reads one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this vocabulary's tokenizer cuts a text into words.
@@ -138,7 +140,7 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
             flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
 
-    return documents.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(ids: list[int], ranks: dict[bytes, int]) -> bytes:
@@ -156,4 +158,4 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             counts = [len(bpe.encode(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["source", "n"])
 
-    return documents.select("source", "text").mapInArrow(run, "source string, n long").groupBy("source").agg(F.count("n").alias("n_documents"), F.sum("n").alias("n_tokens"))
+    return spread(documents.select("source", "text")).mapInArrow(run, "source string, n long").groupBy("source").agg(F.count("n").alias("n_documents"), F.sum("n").alias("n_tokens"))

@@ -18,6 +18,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
+from fieldloom.plans.scale import spread
+
 #: Words of an item that must stand in a row.
 LEAST_WORDS = 12
 # The selected positions of each mask; every mask fits a window of 12 words.
@@ -183,7 +185,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, pass_words: int = PA
                     out += [(doc_id, group.ids[k], *v) for k, v in best.items() if v[0] >= LEAST_WORDS or (v[1] >= LEAST_WORDS and 4 * v[2] <= v[1])]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "exact_words", "overlap_words", "substitutions", "doc_start", "item_start"])
 
-        part = documents.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, schema)
+        part = spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null and text is not null")).mapInPandas(run, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return documents.sparkSession.createDataFrame([], schema)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.plans.scale import broadcast_if_small, checkpointed
+from fieldloom.plans.scale import broadcast_if_small, checkpointed, spread
 
 #: A spike holds this share of its source's texts, and this many.
 SPIKE_SHARE, SPIKE_LEAST = 0.02, 3
@@ -130,7 +130,7 @@ def endings(documents: DataFrame) -> DataFrame:
                 out.append((doc_id, source, kind, len(t) if t else 0, len(t.encode("utf-8", "surrogatepass")) if t else 0, e.kind, e.form, e.word, list(e.inner)))
             yield pd.DataFrame(out, columns=["doc_id", "source", "doc_type", "chars", "bytes", "kind", "form", "word", "inner"])
 
-    return documents.where("doc_id is not null").selectExpr("cast(doc_id as bigint) doc_id", "source", "doc_type", "text").mapInPandas(
+    return spread(documents.where("doc_id is not null").selectExpr("cast(doc_id as bigint) doc_id", "source", "doc_type", "text")).mapInPandas(
         run, "doc_id long, source string, doc_type string, chars int, bytes int, kind string, form string, word string, inner array<string>")
 
 
