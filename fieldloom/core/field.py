@@ -12,7 +12,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.core.domain import Domain, DomainType, GeodeticGrid
@@ -518,6 +518,84 @@ class Field:
         """A field of ``function(value)``, a Column of a Column."""
         return self._with(self.df.withColumn(VALUE, function(F.col(VALUE))), self.domain)
 
+    def where(self, condition: Any, other: float | None = None) -> Field:
+        """Values of which ``condition(value)`` holds; others are null, or ``other``."""
+        return self.apply_column(lambda v: F.when(condition(v), v).otherwise(F.lit(other).cast("double")))
+
+    def fillna(self, value: float) -> Field:
+        return self.apply_column(lambda v: F.coalesce(v, F.lit(float(value))))
+
+    def clip(self, low: float | None = None, high: float | None = None) -> Field:
+        """Values moved to the nearest bound; nulls stay null."""
+        return self.apply_column(lambda v: F.when(v < low, F.lit(float(low))).otherwise(v) if high is None else F.when(v > high, F.lit(float(high))).otherwise(v) if low is None
+                                 else F.when(v < low, F.lit(float(low))).when(v > high, F.lit(float(high))).otherwise(v))
+
+    def isnull(self) -> Field:
+        return self.apply_column(lambda v: v.isNull().cast("double"))
+
+    def _combine(self, other: Any, function: Any) -> Field:
+        """With a number, or cell by cell with a field on some of the same dimensions; a null on either side gives null."""
+        if not isinstance(other, Field):
+            return self.apply_column(lambda v: function(v, F.lit(float(other))))
+        if not set(other.dims) <= set(self.dims):
+            raise ValueError(f"{other.name} has dimensions that {self.name} doesn't have")
+        right = other.df.withColumnRenamed(VALUE, "__other")
+        joined = self.df.join(right, list(other.dims), "left") if other.dims else self.df.join(F.broadcast(right))  # one row
+        return self._with(joined.withColumn(VALUE, function(F.col(VALUE), F.col("__other"))).select(*self.dims, VALUE), self.domain)
+
+    def __add__(self, other: Any) -> Field:
+        return self._combine(other, lambda a, b: a + b)
+
+    def __sub__(self, other: Any) -> Field:
+        return self._combine(other, lambda a, b: a - b)
+
+    def __mul__(self, other: Any) -> Field:
+        return self._combine(other, lambda a, b: a * b)
+
+    def __truediv__(self, other: Any) -> Field:
+        return self._combine(other, lambda a, b: F.when(b != 0, a / b))
+
+    def __gt__(self, other: Any) -> Field:
+        return self._combine(other, lambda a, b: (a > b).cast("double"))
+
+    def __lt__(self, other: Any) -> Field:
+        return self._combine(other, lambda a, b: (a < b).cast("double"))
+
+    def along(self, dim: Any, function: str, n: int = 1) -> Field:
+        """In the order of a dimension: cumsum, cumprod, cummax, cummin, shift, diff (by ``n`` cells), rank, and rolling_mean, rolling_sum, rolling_max, rolling_min of ``n`` cells up to each.
+
+        Nulls don't count in sums and extremes, and have a null rank; equal values share the least rank.
+        """
+        coord = self.domain.get(dim)
+        name = coord.name if coord is not None else str(dim)
+        if name not in self.dims:
+            raise ValueError(f"{name!r} isn't a dimension of {self.name}")
+        order = Window.partitionBy(*self._sampled(name)).orderBy(name)
+        so_far, last = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1 - n, 0)
+        v = F.col(VALUE)
+        made = {
+            "cumsum": lambda: F.sum(v).over(so_far), "cumprod": lambda: F.product(v).over(so_far), "cummax": lambda: F.max(v).over(so_far), "cummin": lambda: F.min(v).over(so_far),
+            "shift": lambda: F.lag(v, n).over(order), "diff": lambda: v - F.lag(v, n).over(order),
+            "rank": lambda: F.when(v.isNotNull(), F.rank().over(Window.partitionBy(*self._sampled(name)).orderBy(F.col(VALUE).asc_nulls_last()))).cast("double"),
+            "rolling_mean": lambda: F.avg(v).over(last), "rolling_sum": lambda: F.sum(v).over(last), "rolling_max": lambda: F.max(v).over(last), "rolling_min": lambda: F.min(v).over(last),
+        }
+        if function not in made:
+            raise NotImplementedError(f"no {function!r} along a dimension")
+        return self.apply_column(lambda _: made[function]())
+
+    def quantile(self, q: float, dims: Iterable[str] | None = None) -> Field:
+        """The exact interpolated quantile over dimensions (all by default)."""
+        over = self.dims if dims is None else tuple(dims)
+        others = tuple(d for d in self.dims if d not in over)
+        domain = self.domain.with_coords(drop=tuple(c.name for c in self.domain if set(c.dims) & set(over)))
+        return self._with(self.df.groupBy(*others).agg(F.percentile(VALUE, F.lit(float(q))).alias(VALUE)), domain, others)
+
+    def transpose(self, *dims: str) -> Field:
+        """The dimensions in another order."""
+        if sorted(dims) != sorted(self.dims):
+            raise ValueError(f"the dimensions are {self.dims}")
+        return self._with(self.df.select(*dims, VALUE), self.domain, tuple(dims))
+
     def convert_units(self, units: str) -> Field:
         """In other units; ValueError where they measure something else."""
         a, b = parse_unit(self.units).to(parse_unit(units))

@@ -6,10 +6,11 @@ depth that is positive down. CURV: GRID by positions y and x with two-dimensiona
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.core.cube import DataCube
@@ -18,7 +19,8 @@ from fieldloom.core.domain import Domain, DomainType, GeodeticGrid, GeodeticPoin
 from fieldloom.core.field import Field, distinct_labels
 from fieldloom.crs.systems import AlbersEqualArea, CurvilinearGrid, LambertConformal, Mercator, RotatedGeogCS, Stereographic, TransverseMercator
 from fieldloom.meta.coordinate import Coordinate, LazyCoordinate
-from fieldloom.plans.scale import table
+from fieldloom.plans.scale import shared_path, table
+from fieldloom.sources.catalog import open_datacube
 from fieldloom.streaming.windows import resample_stream
 
 LAT, LON = np.arange(-45.0, 46.0, 10.0), np.arange(0.0, 360.0, 10.0)
@@ -128,6 +130,30 @@ def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, label double, low double, high double")
 
 
+def _resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = grid(spark, sf_dir).domain.resolution()
+    return spark.createDataFrame([(x, y)], "x_step double, y_step double")
+
+
+def _time_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent step of the hours that have events; found by a lag over the distinct hours."""
+    hours = table(spark, sf_dir, "events").select((F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long").alias("h")).distinct()
+    step = F.col("h") - F.lag("h").over(Window.orderBy("h"))
+    return hours.select(step.alias("step")).where("step is not null").groupBy("step").count().orderBy(F.desc("count"), "step").limit(1).select(F.col("step").alias("step_hours"))
+
+
+def _round_trip(kind: str) -> Query:
+    """Written to the shared folder and read again by this package."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = shared_path(spark, f"round-trip-{uuid.uuid4().hex}.{kind}")
+        cube = DataCube([flat(spark, sf_dir)])
+        getattr(cube, {"nc": "to_netcdf"}.get(kind, f"to_{kind}"))(path)
+        return shown(open_datacube(spark, path, dims=["latitude", "longitude"])["quantity"]).select("latitude", "longitude", "value")
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     north = GeodeticGrid(np.arange(-40.0, 41.0, 8.0), np.arange(2.0, 350.0, 12.0))
     coarse = GeodeticGrid(np.array([-40.0, -10.0, 20.0]), np.array([10.0, 50.0, 90.0, 130.0]))
@@ -184,6 +210,21 @@ def queries() -> dict[str, Query]:
         "crs_lambert_conformal": _projected(LambertConformal(39.0, 10.0)),
         "crs_albers": _projected(AlbersEqualArea()),
     }
+    q |= {
+        "along_cumsum": lambda s, d: shown(grid(s, d).along("time", "cumsum")),
+        "along_rolling_max": lambda s, d: shown(grid(s, d).along("time", "rolling_max", 3)),
+        "along_diff": lambda s, d: shown(grid(s, d).along("time", "diff")),
+        "along_rank": lambda s, d: shown(flat(s, d).along("longitude", "rank")),
+        "quantile": lambda s, d: shown(grid(s, d).quantile(0.9, ["time"])),
+        "anomaly": lambda s, d: (lambda g: shown(g - g.average("time")))(grid(s, d)),
+        "where_clip": lambda s, d: shown(grid(s, d).where(lambda v: v > 10).fillna(-1.0).clip(0.0, 60.0)),
+        "grid_resolution": _resolution,
+        "time_step": _time_step,
+        "parquet_round_trip": _round_trip("parquet"),
+        "csv_round_trip": _round_trip("csv"),
+        "netcdf_round_trip": _round_trip("nc"),
+        "zarr_round_trip": _round_trip("zarr"),
+    }
     for op, freq in RESAMPLES:
         q[f"resample_{op}_{freq}"] = lambda s, d, op=op, freq=freq: shown(grid(s, d).resample(op, freq, gaps=False))
     return q
@@ -259,6 +300,18 @@ def oracle_sql() -> dict[str, str]:
         "image_rows": _FLAT + ", e AS (SELECT min(value) AS a, max(value) AS b FROM m) SELECT latitude, CAST(row_number() OVER (PARTITION BY latitude ORDER BY longitude) - 1 AS INTEGER) AS x, round((value - a) / (b - a), 6) AS value FROM m, e",
         "stream_bins": "SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, round(max(value), 6) AS value FROM events GROUP BY ALL",
     }
+    o |= {
+        "along_cumsum": w + "SELECT time, latitude, longitude, round(sum(value) OVER (PARTITION BY latitude, longitude ORDER BY time), 6) AS value FROM g",
+        "along_rolling_max": w + "SELECT time, latitude, longitude, round(max(value) OVER (PARTITION BY latitude, longitude ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS value FROM g",
+        "along_diff": w + "SELECT time, latitude, longitude, round(value - lag(value) OVER (PARTITION BY latitude, longitude ORDER BY time), 6) AS value FROM g",
+        "along_rank": _FLAT + " SELECT latitude, longitude, CAST(rank() OVER (PARTITION BY latitude ORDER BY value) AS DOUBLE) AS value FROM m",
+        "quantile": w + "SELECT latitude, longitude, round(quantile_cont(value, 0.9), 6) AS value FROM g GROUP BY ALL",
+        "anomaly": _FLAT + " SELECT g.time, g.latitude, g.longitude, round(g.value - m.value, 6) AS value FROM g JOIN m USING (latitude, longitude)",
+        "where_clip": w + "SELECT time, latitude, longitude, round(least(greatest(CASE WHEN value > 10 THEN value ELSE -1 END, 0), 60), 6) AS value FROM g",
+        "grid_resolution": "SELECT CAST(10 AS DOUBLE) AS x_step, CAST(10 AS DOUBLE) AS y_step",
+        "time_step": "WITH h AS (SELECT DISTINCT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events), s AS (SELECT h - lag(h) OVER (ORDER BY h) AS step FROM h) SELECT step AS step_hours FROM s WHERE step IS NOT NULL GROUP BY step ORDER BY count(*) DESC, step LIMIT 1",
+        **{f"{k}_round_trip": _FLAT + " SELECT latitude, longitude, round(value, 6) AS value FROM m" for k in ("parquet", "csv", "netcdf", "zarr")},
+    }
     for op, freq in RESAMPLES:
         o[f"resample_{op}_{freq}"] = w + f"SELECT CAST({_LABEL[freq]} AS TIMESTAMP) AS time, latitude, longitude, round({_SQL_AGG[op]}(value), 6) AS value FROM g GROUP BY ALL"
     lat, lon = "radians(CAST(s_suppkey % 50 + 20 AS DOUBLE))", "radians(CAST(s_suppkey % 40 - 20 AS DOUBLE))"

@@ -44,6 +44,23 @@ ORACLE = {
     "p1_found": _PERIODS + "SELECT series_id, unnest(generate_series(t0 + step, t1 - step, step)) AS period_us FROM g WHERE t1 > t0 + step",
     "p1_summary": _PERIODS + """
 SELECT series_id, CAST(count(*) AS BIGINT) AS n_with, CAST(sum(CASE WHEN t1 IS NULL THEN 0 ELSE (t1 - t0) // step - 1 END) AS BIGINT) AS n_missing FROM g GROUP BY series_id""",
+    "p2_found": """
+WITH c AS (
+  SELECT domain_id, coalesce(json_extract_string(crs, '$.grid_mapping_name'), 'latitude_longitude') AS kind, radians(CAST(json_extract_string(crs, '$.grid_north_pole_latitude') AS DOUBLE)) AS pole,
+         CAST(json_extract_string(crs, '$.grid_north_pole_longitude') AS DOUBLE) AS pole_lon, radians(CAST(json_extract_string(crs, '$.north_pole_grid_longitude') AS DOUBLE)) AS shift FROM domain_crs),
+r AS (
+  SELECT pt_id, kind, pole, pole_lon, latitude, longitude, grid_latitude, grid_longitude, radians(grid_latitude) AS gr, radians(grid_longitude) - shift AS gs,
+         coalesce(NOT isnan(latitude) AND NOT isnan(longitude), false) AS direct, coalesce(NOT isnan(grid_latitude) AND NOT isnan(grid_longitude) AND abs(grid_latitude) <= 90 AND abs(grid_longitude) <= 360, false) AS gridded
+  FROM domain_points LEFT JOIN c USING (domain_id)),
+g AS (
+  SELECT pt_id, CASE WHEN direct THEN latitude WHEN gridded AND kind = 'rotated_latitude_longitude' THEN degrees(asin(sin(gr) * sin(pole) + cos(gr) * cos(gs) * cos(pole))) WHEN gridded AND kind = 'latitude_longitude' THEN grid_latitude END AS lat,
+         CASE WHEN direct THEN longitude WHEN gridded AND kind = 'rotated_latitude_longitude' THEN ((degrees(atan2(cos(gr) * sin(gs), cos(gr) * cos(gs) * sin(pole) - sin(gr) * cos(pole))) + pole_lon + 540) % 360)
+              WHEN gridded AND kind = 'latitude_longitude' THEN grid_longitude END AS lon FROM r),
+v AS (SELECT DISTINCT pt_id, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM g WHERE abs(lat) <= 90 AND abs(lon) <= 360),
+b AS (SELECT *, CAST(floor(z / 0.00004) AS BIGINT) AS band FROM v),
+n AS (SELECT pt_id, x, y, z, unnest([band - 1, band, band + 1]) AS band FROM b)
+SELECT DISTINCT b.pt_id AS pt_a, n.pt_id AS pt_b FROM b JOIN n ON b.band = n.band AND b.pt_id < n.pt_id
+WHERE (b.x - n.x) ** 2 + (b.y - n.y) ** 2 + (b.z - n.z) ** 2 <= (2 * sin(250.0 / 6371229.0 / 2)) ** 2""",
     "p3_found": """
 WITH l AS (
   SELECT file_id, written_at, dataset, vars, unnest(string_split(payload, chr(10))) AS line, generate_subscripts(string_split(payload, chr(10)), 1) AS line_no

@@ -130,6 +130,22 @@ def test_average(field):
     assert q["median"].iloc[0] == pytest.approx(np.median(data[:, 4]))
 
 
+def test_along(field, spark):
+    f, data = field
+    filled = np.nan_to_num(data)
+    assert np.allclose(f.fillna(0).along("time", "cumsum").to_dense(), filled.cumsum(axis=0)) and np.allclose(f.fillna(0).along("latitude", "diff").to_dense()[:, :-1], filled[:, :-1] - filled[:, 1:])
+    assert np.allclose(f.fillna(0).along("time", "rolling_mean", 2).to_dense()[1:], (filled[1:] + filled[:-1]) / 2) and np.isnan(f.along("time", "shift").to_dense()[0]).all()
+    assert f.fillna(0).along("time", "rank").to_dense().max() == 4 and np.allclose(f.quantile(0.5, ["time"]).to_dense(), np.nanmedian(data, axis=0))
+    assert np.allclose((f - f.average("time")).to_dense(), data - np.nanmean(data, axis=0), equal_nan=True) and np.allclose((f * 2 + 1).to_dense(), data * 2 + 1, equal_nan=True)
+    assert np.allclose((f / f.average()).to_dense(), data / np.nanmean(data), equal_nan=True) and (f > 0.5).reduce("sum").to_dense() == (data > 0.5).sum()
+    assert np.allclose(f.where(lambda v: v > 0.5, 0.0).clip(0.2, 0.9).to_dense(), np.clip(np.where(data > 0.5, data, 0.0), 0.2, 0.9)) and f.isnull().reduce("sum").to_dense() == 1
+    assert f.transpose("longitude", "time", "latitude").to_dense().shape == (8, 4, 5)
+    with pytest.raises(NotImplementedError):
+        f.along("time", "fft")
+    with pytest.raises(ValueError):
+        f.average("time") + f
+
+
 def test_locations(field):
     f, data = field
     got = f.locations([21.0, -33.0, 21.0], [50.0, -40.0, 50.0])
