@@ -3,7 +3,8 @@
 Fixed masks over a window of words select some positions and ignore the others; windows that agree
 on the selected words have the same hash even if an ignored word was changed. Hashes of the items
 and of the corpus are joined, and each hit is verified word by word along its diagonal, forwards
-and backwards, with or without substitutions.
+and backwards, with or without substitutions. The masks find every exact run; altered passages are
+sought by three words in a row, which no allowed pattern of substitutions can avoid.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from fieldloom.plans.scale import spread
 LEAST_WORDS = 12
 # The selected positions of each mask; every mask fits a window of 12 words.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 7, 9, 10, 11), (0, 2, 3, 5, 6, 8, 10, 11), (0, 1, 2, 5, 7, 8, 9, 11))
+#: An overlap of n >= 12 words with s <= n/4 substitutions has s + 1 runs of n - s >= 3s equal words, so one of at least 3 words: all are found.
+RUN: tuple[tuple[int, ...], ...] = ((0, 1, 2),)
+#: Hits, and words along diagonals, that are held at once.
+CHUNK = 1_000_000
 #: Words of items that are held by a task at once; more items take more passes over the corpus.
 PASS_WORDS = 1_500_000
 
@@ -77,12 +82,16 @@ class Items:
 
     ids: list[int]
     words: list[list[str]]
+    masks: tuple[tuple[int, ...], ...] = MASKS
 
     def __post_init__(self) -> None:
         coder = Coder()
         codes = [coder.codes(w) for w in self.words]
+        self.flat = np.concatenate(codes) if codes else np.empty(0, dtype=np.uint64)
+        self.sizes = np.array([len(c) for c in codes], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.seeds = []
-        for mask in MASKS:
+        for mask in self.masks:
             hashes = [window_hashes(c, mask) for c in codes]
             flat = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
             item = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
@@ -90,10 +99,9 @@ class Items:
             order = np.argsort(flat, kind="stable")
             self.seeds.append((flat[order], item[order], at[order]))
 
-    def diagonals(self, codes: np.ndarray) -> set[tuple[int, int]]:
-        """(item, document position minus item position) of all seed hits."""
-        out: set[tuple[int, int]] = set()
-        for mask, (flat, item, at) in zip(MASKS, self.seeds):
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Items and shifts (document position minus item position) of all seed hits, about ``CHUNK`` at once."""
+        for mask, (flat, item, at) in zip(self.masks, self.seeds):
             hashes = window_hashes(codes, mask)
             if not len(hashes) or not len(flat):
                 continue
@@ -102,11 +110,56 @@ class Items:
             if not len(hit):
                 continue
             first, last = low[hit], np.searchsorted(flat, hashes[hit], side="right")
-            times = last - first
-            seed = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            out.update(zip(item[seed].tolist(), (np.repeat(hit, times) - at[seed]).tolist()))
+            every = np.cumsum(last - first)
+            cuts = np.unique([0, *np.searchsorted(every, np.arange(CHUNK, every[-1], CHUNK)), len(hit)])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                times = (last - first)[a:b]
+                seed = np.repeat(first[a:b], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                yield item[seed], np.repeat(hit[a:b], times) - at[seed]
+
+    def diagonals(self, codes: np.ndarray) -> set[tuple[int, int]]:
+        """(item, document position minus item position) of all seed hits."""
+        out: set[tuple[int, int]] = set()
+        for item, shift in self.hits(codes):
+            out.update(zip(item.tolist(), shift.tolist()))
         return out
 
+    def alike(self, codes: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, int]]:
+        """The diagonals that hold an overlap of enough words with at most one substitution in four; of their items, the longest equal run."""
+        fitting: list[tuple[int, int]] = []
+        longest: dict[int, int] = {}
+        step = 2 * len(codes) + 2 * int(self.sizes.max(initial=0)) + 1
+        runs: list[tuple[np.ndarray, np.ndarray]] = []
+        for item, shift in self.hits(codes):
+            key = np.unique(item * step + shift + step // 2)
+            item, shift = key // step, key % step - step // 2
+            begin = np.maximum(0, -shift)
+            n = np.minimum(self.sizes[item], len(codes) - shift) - begin
+            order = np.argsort(n, kind="stable")
+            item, shift, begin, n = item[order], shift[order], begin[order], n[order]
+            at = 0
+            while at < len(n):
+                end = at + max(1, min(len(n) - at, CHUNK // int(n[at])))
+                end = at + max(1, min(end - at, CHUNK // int(n[end - 1])))
+                cut = slice(at, end)
+                i = np.arange(n[end - 1])
+                inside = i < n[cut, None]
+                along = np.where(inside, begin[cut, None] + i, 0)
+                equal = inside & (self.flat[self.starts[item[cut], None] + along] == codes[np.where(inside, along + shift[cut, None], 0)])
+                score = np.zeros((end - at, len(i) + 1), dtype=np.int64)
+                np.cumsum(np.where(equal, 1, np.where(inside, -3, -4 * len(i))), axis=1, out=score[:, 1:])
+                fits = (score[:, LEAST_WORDS:] >= np.minimum.accumulate(score[:, :-LEAST_WORDS], axis=1)).any(axis=1)
+                fitting += zip(item[cut][fits].tolist(), shift[cut][fits].tolist())
+                runs.append((item[cut], (i - np.maximum.accumulate(np.where(equal, -1, i), axis=1)).max(axis=1)))
+                at = end
+        found = {k for k, _ in fitting}
+        if found:
+            for item, run in runs:
+                held = np.isin(item, list(found))
+                for k, r in zip(item[held].tolist(), run[held].tolist()):
+                    longest[k] = max(r, longest.get(k, 0))
+        return sorted(set(fitting)), longest
+
 
 def overlap(doc: list[str], item: list[str], shift: int, penalty: float = 1.0) -> tuple[int, int, int, int, int]:
     """(longest exact run, words of the best overlap, its substitutions, its start in the document, in the item) on one diagonal.
@@ -135,7 +188,28 @@ def overlap(doc: list[str], item: list[str], shift: int, penalty: float = 1.0) -
     return exact, b - a, changed, a + shift, a
 
 
-def passes(items: DataFrame, pass_words: int = PASS_WORDS) -> Iterator[Items]:
+def close_overlap(doc: list[str], item: list[str], shift: int) -> tuple[int, int, int, int, int]:
+    """``overlap``, or where that one is too short or too much changed, the one of at least 12 words with the greatest sum of 1 for an equal word and -3 for a substitution."""
+    held = overlap(doc, item, shift)
+    if held[1] >= LEAST_WORDS and 4 * held[2] <= held[1]:
+        return held
+    start, stop = max(0, -shift), min(len(item), len(doc) - shift)
+    sums = [0]
+    for i in range(start, stop):
+        sums.append(sums[-1] + (1 if doc[i + shift] == item[i] else -3))
+    best, low, found = -1, 0, None
+    for end in range(LEAST_WORDS, len(sums)):
+        if sums[end - LEAST_WORDS] < sums[low]:
+            low = end - LEAST_WORDS
+        if sums[end] - sums[low] > best:
+            best, found = sums[end] - sums[low], (low, end)
+    if found is None:
+        return held
+    n = found[1] - found[0]
+    return held[0], n, (n - best) // 4, start + found[0] + shift, start + found[0]
+
+
+def passes(items: DataFrame, pass_words: int = PASS_WORDS, masks: tuple[tuple[int, ...], ...] = MASKS) -> Iterator[Items]:
     """The items in groups whose words a task can hold; an item without enough words is in none."""
     ids: list[int] = []
     words: list[list[str]] = []
@@ -145,26 +219,32 @@ def passes(items: DataFrame, pass_words: int = PASS_WORDS) -> Iterator[Items]:
         if len(w) < LEAST_WORDS:
             continue
         if held and held + len(w) > pass_words:
-            yield Items(ids, words)
+            yield Items(ids, words, masks)
             ids, words, held = [], [], 0
         ids.append(int(r.item_id)), words.append(w)
         held += len(w)
     if ids:
-        yield Items(ids, words)
+        yield Items(ids, words, masks)
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, pass_words: int = PASS_WORDS) -> DataFrame:
     """doc_id, item_id, exact_words, overlap_words, substitutions, doc_start, item_start.
 
-    A row for each document and item that share a seed and an overlap of at least 12 words with at
-    most one substitution in four: ``exact_words`` is the longest run of equal words, the others
-    describe the best overlap (positions count words from 0). Whole texts are read; null, empty and
+    A row for each document and item that share an overlap of at least 12 words with at most one
+    substitution in four, all of them (recall 1 by ``RUN``; words put in or left out end an overlap):
+    ``exact_words`` is the longest run of at least 3 equal words, the others describe the best
+    overlap (positions count words from 0). Whole texts are read; null, empty and
     short texts have no rows; repeated documents have the rows of each. One pass over the corpus
     without a shuffle for every ``pass_words`` words of items.
     """
+    return _passages(documents, items, pass_words, RUN)
+
+
+def _passages(documents: DataFrame, items: DataFrame, pass_words: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """The passages that share a seed of the masks; all with ``RUN``, and with ``MASKS`` only the exact ones are sure to be there."""
     schema = "doc_id long, item_id int, exact_words int, overlap_words int, substitutions int, doc_start int, item_start int"
     found = None
-    for group in passes(items, pass_words):
+    for group in passes(items, pass_words, masks):
 
         def run(batches: Iterator[pd.DataFrame], group: Items = group) -> Iterator[pd.DataFrame]:
             coder = Coder()
@@ -174,9 +254,11 @@ def leaked_passages(documents: DataFrame, items: DataFrame, pass_words: int = PA
                     doc = words_of(text)
                     if len(doc) < LEAST_WORDS:
                         continue
-                    best: dict[int, tuple] = {}
-                    for k, shift in sorted(group.diagonals(coder.codes(doc))):
-                        exact, n, changed, at, begin = overlap(doc, group.words[k], shift)
+                    codes, best = coder.codes(doc), {}
+                    fitting, runs = group.alike(codes) if masks == RUN else (sorted(group.diagonals(codes)), {})
+                    for k, shift in fitting:
+                        exact, n, changed, at, begin = close_overlap(doc, group.words[k], shift)
+                        exact = max(exact, runs.get(k, 0))
                         held = best.get(k)
                         longest = max(exact, held[0]) if held else exact
                         if held is None or n - 4 * changed > held[1] - 4 * held[2]:
@@ -194,4 +276,4 @@ def leaked_passages(documents: DataFrame, items: DataFrame, pass_words: int = PA
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id of the documents that hold at least 12 consecutive words of an item, in order."""
-    return leaked_passages(documents, items).where(f"exact_words >= {LEAST_WORDS}").select("doc_id", "item_id").distinct()
+    return _passages(documents, items, PASS_WORDS, MASKS).where(f"exact_words >= {LEAST_WORDS}").select("doc_id", "item_id").distinct()

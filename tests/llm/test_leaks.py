@@ -1,8 +1,10 @@
+from itertools import combinations
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fieldloom.llm.leaks import MASKS, Coder, Items, leaked_items, leaked_passages, overlap, window_hashes, words_of
+from fieldloom.llm.leaks import MASKS, RUN, Coder, Items, close_overlap, leaked_items, leaked_passages, overlap, window_hashes, words_of
 from fieldloom.plans.scale import table
 
 
@@ -54,3 +56,41 @@ def test_table(spark, data):
     held = [(r.item_id, words_of(r.item_text)) for r in items.collect()]
     want = {(r.doc_id, i) for r in docs.collect() for w in [words_of(r.text)] for i, x in held if _brute(w, x)}
     assert {(r.doc_id, r.item_id) for r in leaked_items(docs, items).collect()} == want
+
+
+def _close(doc, item):
+    """Diagonals with a window of at least 12 words of which at most a fourth is changed, by trying all."""
+    found = set()
+    for shift in range(12 - len(item), len(doc) - 11):
+        same = [doc[i + shift] == item[i] for i in range(max(0, -shift), min(len(item), len(doc) - shift))]
+        if any(4 * same[a:b].count(False) <= b - a for a in range(len(same)) for b in range(a + 12, len(same) + 1)):
+            found.add((0, shift))
+    return found
+
+
+def test_all_altered_passages():
+    for n in (12, 13, 16):
+        item = [f"w{i}" for i in range(n)]
+        for changed in combinations(range(n), n // 4):
+            doc = ["x", *("changed" if i in changed else w for i, w in enumerate(item)), "y"]
+            fitting, runs = Items([1], [item], RUN).alike(Coder().codes(doc))
+            assert fitting == [(0, 1)] and runs[0] == max(len(r) for r in "".join("x" if i in changed else "w" for i in range(n)).split("x"))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abc"), min_size=12, max_size=30))
+def test_close_overlaps(doc, item):
+    fitting, _ = Items([1], [item], RUN).alike(Coder().codes(doc))
+    assert set(fitting) == _close(doc, item)
+    for _, shift in fitting:
+        _, n, changed, at, begin = close_overlap(doc, item, shift)
+        assert n >= 12 and 4 * changed <= n and at - begin == shift and changed == sum(doc[at + i] != item[begin + i] for i in range(n))
+
+
+def test_altered_rows(spark):
+    words = [f"w{i}" for i in range(12)]
+    patterns = [c for c in combinations(range(12), 3)]
+    docs = spark.createDataFrame([(k, " ".join("changed" if i in c else w for i, w in enumerate(words))) for k, c in enumerate(patterns)] + [(-1, " ".join(["changed"] * 4 + words[4:]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id int, item_text string")
+    rows = leaked_passages(docs, items).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(patterns)))
