@@ -11,12 +11,13 @@ import string
 from typing import Any
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldloom.core.cube import DataCube
 from fieldloom.core.dataset import Dataset, Entry
 from fieldloom.core.domain import Domain, DomainType
-from fieldloom.core.field import Field
+from fieldloom.core.field import VALUE, Field
 from fieldloom.crs.systems import parse_crs
 from fieldloom.functions.timelabels import Reader
 from fieldloom.meta.axis import AxisType
@@ -100,59 +101,133 @@ def open_datacube(spark: SparkSession, path: str | list[str], id_pattern: str |
     """A cube from a file, a pattern, a list of files or a folder.
 
     NetCDF classic, Zarr v2 and GeoTIFF files are read by this package, Parquet and CSV by Spark, in
-    long form with the columns ``dims`` and one column for each field. Several NetCDF files are
-    combined along the first dimension whose labels differ. NetCDF-4, JPEG 2000 and remote stores need
+    long form with the columns ``dims`` and one column for each field. Of several files the cube has
+    every variable of any of them, on the union of its files' labels; cells that stand in several
+    files must agree or be null in all but one, else reading them is an error, as are files of one
+    variable with other dimensions or units (ValueError). NetCDF-4, JPEG 2000 and remote stores need
     libraries that aren't here and raise NotImplementedError. ``metadata_cache_path`` keeps the
     coordinates' manifest as JSON, keyed by the files and their times of change.
     """
-    engine = engine or engine_of(path)
-    files = sorted(path) if isinstance(path, (list, tuple)) else sorted(globbing.glob(path)) if any(c in str(path) for c in "*?[") else [str(path)]
+    given, engine = engine, engine or engine_of(path)
+    files = sorted(set(path)) if isinstance(path, (list, tuple)) else sorted(globbing.glob(path)) if any(c in str(path) for c in "*?[") else [str(path)]
     if not files:
         raise FileNotFoundError(str(path))
+    if given is None and isinstance(path, (list, tuple)) and {engine_of(f) for f in files} != {engine}:
+        raise ValueError(f"files of several kinds: {files}")
     if metadata_cache_path:
         write_manifest(metadata_cache_path, files)
     if engine == "parquet" or engine == "csv":
-        df = spark.read.parquet(*files) if engine == "parquet" else spark.read.options(header=True, inferSchema=True, **options).csv(files)
-        on = dims or [c for c in df.columns if AxisType.infer(c) is not AxisType.GENERIC or c == "points"]
-        return DataCube.from_dataframe(df, on, [c for c in df.columns if c not in on])
+        return _open_frames(spark, files, engine, dims, options)
     if engine == "netcdf":
         return _open_netcdf(spark, files, id_pattern, mapping)
     if engine == "zarr":
         if str(files[0]).startswith("http"):
             raise NotImplementedError("a remote Zarr store needs a file-system library")
-        return _open_zarr(spark, files[0], id_pattern, mapping)
+        return _combine([_open_zarr(spark, f, id_pattern, mapping) for f in files])
     if engine == "geotiff":
-        values, y, x, nodata = geotiff.read_geotiff(files[0])
-        data = np.where(values == nodata, np.nan, values) if nodata is not None else values
-        return DataCube([Field.from_arrays(spark, data, "band_data", ("band", "y", "x"), {"band": np.arange(1, len(data) + 1), "y": y, "x": x}, domaintype=DomainType.GRIDDED)])
+        return _combine([_open_geotiff(spark, f) for f in files])
     raise NotImplementedError(f"{engine} needs a library that isn't here")
 
 
+def _overlap(labels: list[dict[str, np.ndarray]], dims: tuple[str, ...]) -> bool:
+    """Whether two files have a cell in common, by their labels of each dimension."""
+    apart = [d for d in dims if any(not np.array_equal(x[d], labels[0][d]) for x in labels)]
+    if len(apart) == 1:
+        every = np.concatenate([np.unique(x[apart[0]]) for x in labels])
+        return len(np.unique(every)) < len(every)
+    return any(all(len(np.intersect1d(a[d], b[d])) for d in apart) for i, a in enumerate(labels) for b in labels[:i])
+
+
+def _agreed(df: DataFrame, dims: tuple[str, ...], name: str) -> DataFrame:
+    """One row for each cell; an error where files have different values."""
+    low, high = F.min(VALUE), F.max(VALUE)
+    return df.groupBy(*dims).agg(F.when((low == high) | low.isNull(), low).otherwise(F.raise_error(F.lit(f"files have different values of {name} in one cell"))).alias(VALUE))
+
+
+def _merged(coords: list[list[Coordinate]]) -> list[Coordinate]:
+    """The first file's coordinates; those of dimensions have the labels of all files."""
+    out = []
+    for c in coords[0]:
+        values = [o.values for cs in coords for o in cs if o.name == c.name]
+        if c.is_dim and any(not np.array_equal(v, values[0]) for v in values):
+            every = np.unique(np.concatenate(values))
+            out.append(Coordinate(c.name, every[::-1] if c.descending else every, c.dims, c.axis, c.units, None, c.properties, c.encoding))
+        else:
+            out.append(c)
+    return out
+
+
+def _same_kind(name: str, about: list[tuple]) -> None:
+    if any(a != about[0] for a in about):
+        raise ValueError(f"files have {name} with different dimensions or units: {sorted(set(map(str, about)))}")
+
+
+def _combine(cubes: list[DataCube]) -> DataCube:
+    """One cube of the fields of all."""
+    if len(cubes) == 1:
+        return cubes[0]
+    fields = []
+    for n in dict.fromkeys(n for c in cubes for n in c.fields):
+        parts = [c.fields[n] for c in cubes if n in c.fields]
+        first = parts[0]
+        if len(parts) == 1:
+            fields.append(first)
+            continue
+        _same_kind(n, [(p.dims, str(p.units)) for p in parts])
+        df = parts[0].df.select(*first.dims, VALUE)
+        for p in parts[1:]:
+            df = df.unionByName(p.df.select(*first.dims, VALUE))
+        labelled = tuple(c.name for c in first.domain if c.is_dim)
+        if _overlap([{c.name: c.values for c in p.domain if c.is_dim} for p in parts], labelled):
+            df = _agreed(df, first.dims, n)
+        fields.append(first._with(df, Domain(_merged([list(p.domain) for p in parts]), first.domain.crs, first.domain.type)))
+    return DataCube(fields, cubes[0].properties, cubes[0].encoding)
+
+
+def _open_frames(spark: SparkSession, files: list[str], engine: str, dims: list[str] | None, options: dict[str, Any]) -> DataCube:
+    """Parquet and CSV: files of the same columns are read together, others apart."""
+    read = lambda fs: spark.read.parquet(*fs) if engine == "parquet" else spark.read.options(header=True, inferSchema=True, **options).csv(fs)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    if len(files) > 1:
+        for f in files:
+            groups.setdefault(tuple(spark.read.parquet(f).columns if engine == "parquet" else spark.read.options(header=True, **options).csv(f).columns), []).append(f)
+    cubes = []
+    for group in groups.values() if groups else [files]:
+        df = read(group)
+        on = dims or [c for c in df.columns if AxisType.infer(c) is not AxisType.GENERIC or c == "points"]
+        cubes.append(DataCube.from_dataframe(df, on, [c for c in df.columns if c not in on]))
+    return _combine(cubes)
+
+
+def _open_geotiff(spark: SparkSession, path: str) -> DataCube:
+    values, y, x, nodata = geotiff.read_geotiff(path)
+    data = np.where(values == nodata, np.nan, values) if nodata is not None else values
+    return DataCube([Field.from_arrays(spark, data, "band_data", ("band", "y", "x"), {"band": np.arange(1, len(data) + 1), "y": y, "x": x}, domaintype=DomainType.GRIDDED)])
+
+
 def _open_netcdf(spark: SparkSession, files: list[str], id_pattern: str | None, mapping: dict[str, Any] | None) -> DataCube:
     headers = [netcdf3.read_header(f) for f in files]
-    first = headers[0]
     as_reader = lambda h: {n: (v.dims, (lambda n=n, h=h: h.read(n)), v.attrs) for n, v in h.variables.items()}
-    found, data = _header(as_reader(first), mapping)
+    found = [_header(as_reader(h), mapping) for h in headers]
     fields = []
-    for n in data:
-        dims = first.variables[n].dims
-        coords, grid = found[n]
+    for n in dict.fromkeys(n for _, data in found for n in data):
+        holding = [(h, *f[n]) for h, (f, _) in zip(headers, found) if n in f]
+        first, _, grid = holding[0]
+        dims, attrs = first.variables[n].dims, first.variables[n].attrs
+        _same_kind(n, [(h.variables[n].dims, str(h.variables[n].attrs.get("units"))) for h, _, _ in holding])
         labels = {}
-        holding = [h for h in headers if n in h.variables]
-        per_file = [found[n][0] if h is first else _header(as_reader(h), mapping)[0][n][0] for h in holding]
-        for h, cs in zip(holding, per_file):
+        for h, cs, _ in holding:
             own = {c.name: c.values for c in cs if c.is_dim}
             labels[h.path] = {d: own.get(d, np.arange(h.dims[d], dtype="int32")) for d in dims}
-        merged = []
-        for k, c in enumerate(coords):
-            if c.is_dim and len(holding) > 1:
-                every = np.unique(np.concatenate([cs[k].values for cs in per_file]))
-                merged.append(Coordinate(c.name, every[::-1] if c.descending else every, c.dims, c.axis, c.units, None, c.properties, c.encoding))
-            else:
-                merged.append(c)
-        df = netcdf3.scan(spark, [h.path for h in holding], n, labels, dims)
-        fields.append(_field(df, n, dims, first.variables[n].attrs, merged, grid, id_pattern, mapping))
-    return DataCube(fields, {k: v for k, v in first.attrs.items() if k != "_NCProperties"})
+        for d in dims:
+            kind = np.result_type(*(x[d] for x in labels.values())) if all(x[d].dtype.kind in "iuf" for x in labels.values()) else None
+            for x in labels.values():
+                x[d] = x[d] if kind is None else x[d].astype(kind)
+        df = netcdf3.scan(spark, [h.path for h, _, _ in holding], n, labels, dims)
+        if len(holding) > 1 and _overlap(list(labels.values()), dims):
+            df = _agreed(df, dims, n)
+        fields.append(_field(df, n, dims, attrs, _merged([cs for _, cs, _ in holding]), grid, id_pattern, mapping))
+    return DataCube(fields, {k: v for k, v in headers[0].attrs.items() if k != "_NCProperties"})
 
 
 def _open_zarr(spark: SparkSession, path: str, id_pattern: str | None, mapping: dict[str, Any] | None) -> DataCube:

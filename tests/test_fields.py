@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 
 import numpy as np
 import pandas as pd
@@ -272,6 +273,41 @@ def test_geotiff(spark, tmp_path):
     assert np.allclose(f.to_dense(), data) and f.domain["y"].values.tolist() == [50.0, 49.0, 48.0]
 
 
+def test_several_files(field, spark, tmp_path):
+    from fieldloom.sources.geotiff import write_geotiff
+
+    f, data = field
+    other = Field.from_arrays(spark, data[:, :2] * 2, "u", ("time", "latitude", "longitude"), {"time": TIMES, "latitude": np.array([40.0, 20.0]), "longitude": np.arange(0.0, 360.0, 45.0)}, domaintype=DomainType.GRIDDED)
+    early, late = f.sel(time=slice("2020-01-01", "2020-01-02")), f.sel(time=slice("2020-01-05", "2020-02"))
+    for k, c in enumerate((early, late, other)):
+        DataCube([c]).to_netcdf(str(tmp_path / f"{k}.nc"))
+        DataCube([c]).to_zarr(str(tmp_path / f"{k}.zarr"))
+        DataCube([c]).to_wide().write.parquet(str(tmp_path / f"{k}.parquet"))
+    for ending in ("nc", "zarr"):
+        cube = open_datacube(spark, str(tmp_path / f"*.{ending}"))
+        assert set(cube.fields) == {"t", "u"} and np.allclose(cube["t"].to_dense(), data, equal_nan=True) and np.allclose(cube["u"].to_dense(), data[:, :2] * 2, equal_nan=True)
+    shutil.copy(tmp_path / "0.nc", tmp_path / "copy.nc")
+    for pair in (("0.nc", "copy.nc"), ("0.nc", "0.nc")):
+        again = open_datacube(spark, [str(tmp_path / p) for p in pair])["t"]
+        assert again.df.count() == early.df.count() and np.allclose(again.to_dense(), early.to_dense(), equal_nan=True)
+    cube = open_datacube(spark, str(tmp_path / "*.parquet"), dims=["time", "latitude", "longitude"])
+    assert set(cube.fields) == {"t", "u"} and cube["t"].df.count() == f.df.count() and cube["u"].df.count() == other.df.count()
+    DataCube([f.apply_column(lambda c: c + 1)]).to_netcdf(str(tmp_path / "9.nc"))
+    with pytest.raises(Exception, match="different values of t"):
+        open_datacube(spark, [str(tmp_path / "0.nc"), str(tmp_path / "9.nc")])["t"].to_dense()
+    with pytest.raises(ValueError):
+        open_datacube(spark, [str(tmp_path / "0.nc"), str(tmp_path / "0.zarr")])
+    tiles = np.random.default_rng(3).random((1, 3, 4))
+    for k, part in enumerate((slice(0, 2), slice(2, 4))):
+        write_geotiff(str(tmp_path / f"{k}.tif"), tiles[:, :, part], np.array([50.0, 49.0, 48.0]), np.arange(5.0, 9.0)[part])
+    band = open_datacube(spark, str(tmp_path / "*.tif"))["band_data"]
+    assert np.allclose(band.to_dense(), tiles) and band.domain["x"].values.tolist() == [5.0, 6.0, 7.0, 8.0]
+    for v, c in (("t", f), ("u", other)):
+        DataCube([c]).to_netcdf(str(tmp_path / f"era-x-{v}.nc"))
+    whole = open_dataset(spark, str(tmp_path / "era*.nc"), str(tmp_path) + "/{dataset}-{}-{}.nc")
+    assert set(whole.cubes[0].fields) == {"t", "u"}
+
+
 def test_catalog(field, spark, tmp_path):
     f, _ = field
     for a in ("era", "other"):
