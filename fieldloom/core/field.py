@@ -398,16 +398,15 @@ class Field:
         conservative_normed: by overlap of cells, of which the bounds are computed where they are
         missing; nearest_d2s: each source cell goes to its nearest target, which adds them up. A target
         that no source covers, or that needs a missing value, is null. ``weights_path`` keeps the
-        weights as Parquet and reuses them.
+        weights as Parquet and reuses them. From two-dimensional latitude and longitude, bilinear and
+        patch work along the source's own x and y, and the conservative methods raise NotImplementedError.
         """
         domain = target.domain if isinstance(target, Field) else target
         method = RegridMethod(method) if not isinstance(method, RegridMethod) else method
         if not isinstance(domain, Domain):
             raise TypeError("a target is a domain or a field")
         if not self.domain.is_latlon_independent:
-            if method is RegridMethod.NEAREST_S2D:
-                return self._nearest_from_cells(domain)
-            return self.interpolate(domain, "linear" if method is RegridMethod.BILINEAR else "nearest")
+            return self._regrid_cells(domain, method, weights_path, reuse_weights)
         cy, cx = self.latitude, self.longitude
         tlat, tlon = domain.latitude.values.astype(float), domain.longitude.values.astype(float)
         dims, y, x = list(self.dims), cy.name, cx.name
@@ -453,21 +452,51 @@ class Field:
             return pd.DataFrame({"t": i, "tj": j, "sy": slat.ravel(), "sx": slon.ravel(), "w": 1.0, "axis": "both"})
         return pd.concat([wy.assign(axis="y"), wx.assign(axis="x")], ignore_index=True)
 
-    def _nearest_from_cells(self, domain: Domain) -> Field:
+    def _regrid_cells(self, domain: Domain, method: RegridMethod, weights_path: str | None, reuse_weights: bool) -> Field:
+        """``regrid`` from two-dimensional latitude and longitude, by one weight table over both dimensions."""
+        if method in (RegridMethod.CONSERVATIVE, RegridMethod.CONSERVATIVE_NORMED):
+            raise NotImplementedError("conservative regridding from two-dimensional latitude and longitude")
+        if method is RegridMethod.BILINEAR and domain.type is DomainType.POINTS and not weights_path:
+            return self.interpolate(domain, "linear")
+        nearest = method in (RegridMethod.NEAREST_S2D, RegridMethod.NEAREST_D2S)
+        if domain.type is DomainType.POINTS and not nearest:
+            raise NotImplementedError(f"{method.value} weights of points")
+        if not nearest and isinstance(self.domain.crs, CurvilinearGrid):
+            raise NotImplementedError("a curvilinear grid has no formula; use locations or regrid by nearest_s2d or nearest_d2s")
         lat, lon = self.latitude, self.longitude
+        over = list(lat.dims) if nearest else [self.domain.y.name, self.domain.x.name]
         tlat, tlon = domain.latitude.values.astype(float), domain.longitude.values.astype(float)
-        glat, glon = np.meshgrid(tlat, tlon, indexing="ij")
-        at = np.unravel_index(weights.nearest_cells(lat.values, lon.values, glat, glon), lat.values.shape)
-        cells = pd.DataFrame({"latitude": glat.ravel(), "longitude": glon.ravel()})
-        for d, positions in zip(lat.dims, at):
-            own = self.domain.get(d)
-            cells[f"__{d}"] = own.values[positions] if own is not None and own.is_dim else positions.astype("int32")
-        small = broadcast_if_small(self.df.sparkSession.createDataFrame(cells))
-        joined = self.df.join(small, [F.col(d) == F.col(f"__{d}") for d in lat.dims])
-        others = self._sampled(*lat.dims)
-        rest = [c for c in self.domain if not set(c.dims) & set(lat.dims)]
+        glat, glon = (v.ravel() for v in np.meshgrid(tlat, tlon, indexing="ij"))
+        if weights_path and reuse_weights and os.path.exists(weights_path):
+            table = pd.read_parquet(weights_path)
+        else:
+            if nearest:
+                back = method is RegridMethod.NEAREST_D2S
+                to = np.arange(glat.size) if not back else weights.nearest_cells(glat, glon, lat.values, lon.values)
+                cells = np.arange(lat.values.size) if back else weights.nearest_cells(lat.values, lon.values, glat, glon)
+                own = [self.domain.get(d) for d in over]
+                labels = [c.values[k] if c is not None and c.is_dim else k for c, k in zip(own, np.unravel_index(cells, lat.values.shape))]
+                table = pd.DataFrame({"t": to, "sy": labels[0].astype(float), "sx": labels[1].astype(float), "w": 1.0})
+            else:
+                cy, cx = self.domain.y.values, self.domain.x.values
+                px, py = self.domain.crs.forward(glat, glon)
+                if method is RegridMethod.BILINEAR:
+                    pairs = weights.linear_weights(cy, py).merge(weights.linear_weights(cx, px), on="t", suffixes=("y", "x"))
+                    table = pd.DataFrame({"t": pairs["t"], "sy": pairs["sy"].astype(float), "sx": pairs["sx"].astype(float), "w": pairs["wy"].astype(float) * pairs["wx"].astype(float)})
+                else:
+                    table = pd.concat([weights.patch_weights(cy, cx, np.array([a]), np.array([b])).assign(t=k) for k, (a, b) in enumerate(zip(py, px))])[["t", "sy", "sx", "w"]].astype({"sy": float, "sx": float, "w": float})
+            if weights_path:
+                table.to_parquet(weights_path)
+        t = table["t"].to_numpy()
+        rows = pd.DataFrame({"latitude": glat[t], "longitude": glon[t], "__sy": table["sy"].to_numpy(), "__sx": table["sx"].to_numpy(), "__w": table["w"].to_numpy(), "__n": table.groupby("t")["w"].transform("size").to_numpy()})
+        small = broadcast_if_small(self.df.sparkSession.createDataFrame(rows.astype(object).where(rows.notna(), None).values.tolist(), "latitude double, longitude double, __sy double, __sx double, __w double, __n long"))
+        joined = self.df.join(small, (F.col(over[0]) == F.col("__sy")) & (F.col(over[1]) == F.col("__sx")))
+        others = self._sampled(*over)
+        product = F.col(VALUE) * F.col("__w")
+        out = joined.groupBy(*others, "latitude", "longitude").agg(F.when(F.count(product) == F.max("__n"), F.sum(product)).alias(VALUE))
+        rest = [c for c in self.domain if not set(c.dims) & set(over) and c.axis not in (AxisType.LATITUDE, AxisType.LONGITUDE)]
         new = [Coordinate("latitude", tlat, ("latitude",)), Coordinate("longitude", tlon, ("longitude",))]
-        return self._with(joined.select(*others, "latitude", "longitude", VALUE), Domain([*rest, *new], domain.crs, domain.type), (*others, "latitude", "longitude"))
+        return self._with(out, Domain([*rest, *new], domain.crs, domain.type), (*others, "latitude", "longitude"))
 
     # aggregation --------------------------------------------------------
     def resample(self, operator: str | MethodType, frequency: str, gaps: bool = True, empty_sum: float | None = None, **_ignored: Any) -> Field:

@@ -209,6 +209,31 @@ def test_rotated(spark):
         regular.to_regular()
 
 
+def test_regrid_from_two_dimensional(spark, tmp_path):
+    y, x = np.arange(-4.0, 5.0), np.arange(-5.0, 6.0)
+    crs = RotatedGeogCS(47.0, -168.0)
+    shape = lambda a, b: 3 + a - 2 * b + 0.5 * a * a + 0.25 * a * b - 0.1 * b * b
+    data = shape(y[:, None], x[None])
+    f = Field.from_arrays(spark, data, "r", ("rlat", "rlon"), {"rlat": y, "rlon": x}, crs, DomainType.GRIDDED)
+    f = f._with(f.df, f.domain.with_latlon())
+    target = GeodeticGrid(np.array([42.2, 43.1, 44.3]), np.array([11.1, 12.4, 13.3]))
+    glat, glon = np.meshgrid(target.latitude.values, target.longitude.values, indexing="ij")
+    px, py = crs.forward(glat, glon)
+    path = str(tmp_path / "w.parquet")
+    for _ in range(2):
+        assert np.allclose(f.regrid(target, "patch", path).to_dense(), shape(py, px)) and os.path.exists(path)
+    kept = pd.read_parquet(path)
+    kept.assign(w=kept["w"] * 2).to_parquet(path)
+    assert np.allclose(f.regrid(target, "patch", path).to_dense(), 2 * shape(py, px))
+    assert np.allclose(f.regrid(target, "patch", path, reuse_weights=False).to_dense(), shape(py, px))
+    assert np.isclose(np.nansum(f.regrid(target, "nearest_d2s").to_dense()), data.sum())
+    assert np.allclose(f.regrid(target, "bilinear", str(tmp_path / "b.parquet")).to_dense(), f.interpolate(target, "linear").to_dense())
+    assert set(f.regrid(target, "nearest_s2d").to_dense().ravel()) <= set(data.ravel())
+    for method in ("conservative", "conservative_normed"):
+        with pytest.raises(NotImplementedError):
+            f.regrid(target, method)
+
+
 def test_polygons(field):
     f, data = field
     square = {"type": "Polygon", "coordinates": [[[30.0, -30.0], [150.0, -30.0], [150.0, 30.0], [30.0, 30.0], [30.0, -30.0]], [[80.0, -10.0], [100.0, -10.0], [100.0, 10.0], [80.0, 10.0], [80.0, -10.0]]]}
