@@ -1,9 +1,9 @@
 """Quantities recorded in different units, in one unit each.
 
 A value's unit is taken from where it is recorded: the value's own text, the units attribute, or the
-long name. Histories of values without a usable unit are segmented by exact penalised changepoint
-search on their logarithms; a segment whose level lies a known factor from that of the recorded
-values is in the unit of that factor.
+long name. The values of a source without a usable unit are, in order, segmented by exact penalised
+changepoint search on their logarithms; a segment whose level lies a known factor from that of all
+the source's recorded values, in the common unit, is in the unit of that factor.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.changepoint import level_changes, nearest_factor
+from fieldloom.functions.changepoint import TOLERANCE, level_changes, nearest_factor
 from fieldloom.meta.unit import parse_unit
+from fieldloom.plans.scale import broadcast_if_small, checkpointed
 
 # The common unit of each quantity, and whether a mass of water per area is a layer of it.
 COMMON = {
@@ -28,12 +29,14 @@ COMMON = {
 #: Units that an unlabelled segment may be in.
 INFERABLE = {
     "air_temperature": ["0.1 K", "0.01 K"], "precipitation_amount": ["mm", "cm", "0.1 mm", "inch"], "surface_air_pressure": ["hPa", "kPa", "bar", "0.1 hPa", "atm"],
-    "wind_speed": ["cm s-1", "km h-1", "kt"], "relative_humidity": ["%"], "soil_water": ["mm", "cm"],
+    "wind_speed": ["cm s-1", "km h-1", "kt"], "relative_humidity": ["%"], "soil_water": ["mm", "cm"], "depth": ["cm", "mm"],
 }
 #: Values from here on are fill values.
 FILL_FROM = 1e20
-#: Values of one source that are segmented together.
-BLOCK = 2048
+#: Values of one source without a unit that are segmented together, and how many of them on each side are read with the next block too.
+BLOCK, BESIDE = 2048, 512
+#: Recorded values from which on a source's own spread counts, not that of its quantity.
+OWN_SPREAD = 8
 
 _TEXT = re.compile(r"^\s*([+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+(?![\d.]))?)\s*(.*?)\s*$", re.S)
 _NAMED = [re.compile(p) for p in (r"\[([^\[\]]+)\]\s*$", r"\(([^()]+)\)\s*$", r"[,;]?\s*\bunits?\s*[:=]\s*(.+?)\s*$", r"\bin\s+(\S.*?)\s*$")]
@@ -91,94 +94,121 @@ def usable(value: float | None) -> bool:
     return value is not None and value == value and abs(value) < FILL_FROM
 
 
-def _infer(quantity: str, raw: np.ndarray, known: np.ndarray, common: np.ndarray) -> list[str | None]:
-    """The unit of each value without one: by the level of its segment against the recorded values."""
+def infer_units(quantity: str, raw: np.ndarray, level: float, deviation: float) -> list[str | None]:
+    """The unit of each value of a history without units: by the level of its segment against that of the recorded values.
+
+    ``level`` and ``deviation`` are of the logarithms of the recorded values in the common unit. A
+    segment too short for its level to be told within the tolerance, or from that of the next likely
+    unit, has no unit, nor have values that aren't positive.
+    """
     out: list[str | None] = [None] * len(raw)
-    positive = raw > 0
-    level = np.log(common[known & (common > 0)])
-    if not len(level) or not (positive & ~known).any():
-        return out
-    at = np.flatnonzero(positive)
-    logs, middle, start = np.log(raw[at]), float(np.median(level)), 0
+    at = np.flatnonzero(raw > 0)
+    logs, start = np.log(raw[at]), 0
     factors = {1.0 / conversion(quantity, u)[0]: u for u in INFERABLE.get(quantity, [])}
-    for end in level_changes(logs):
-        factor = nearest_factor(float(np.median(logs[start:end])) - middle, list(factors))
-        for i in at[start:end]:
-            if not known[i] and factor is not None:
+    penalty = 3.0 * np.log(max(len(at), 2)) * max(deviation * deviation, 0.01)
+    for end in level_changes(logs, penalty, 1):
+        shift, error = float(np.median(logs[start:end])) - level, deviation / np.sqrt(end - start)
+        factor = nearest_factor(shift, list(factors), min(TOLERANCE, max(0.1, 4 * deviation)))
+        apart = sorted(abs(np.log(f) - shift) for f in {1.0, *factors})
+        if factor is not None and error <= TOLERANCE and apart[1] - apart[0] > 2 * error:
+            for i in at[start:end]:
                 out[i] = factors.get(factor, COMMON[quantity][0])
         start = end
     return out
 
 
+def _is_common(c: tuple[float, float] | None) -> bool:
+    return c is not None and c[1] == 0.0 and abs(c[0] - 1.0) < 1e-12
+
+
+def _inferred(parsed: DataFrame) -> DataFrame:
+    """The rows without a known unit, with the units that their histories tell."""
+    logs = parsed.where("origin = 'recorded' and common_value > 0").withColumn("log", F.log("common_value"))
+    middle, quarters = F.percentile_approx("log", 0.5, 10_000), F.percentile_approx("log", [0.25, 0.75], 10_000)
+    width = (quarters[1] - quarters[0]) / 1.349
+    by_source = logs.groupBy("source", "quantity").agg(middle.alias("level"), width.alias("own"), F.count("*").alias("n"))
+    by_quantity = logs.groupBy("quantity").agg(width.alias("common_width"))
+    levels = by_source.join(broadcast_if_small(by_quantity), "quantity").select("source", "level", F.when(F.col("n") >= OWN_SPREAD, F.col("own")).otherwise(F.col("common_width")).alias("deviation"))
+
+    # positions within a source, counted over the range partitions, so that no task holds a whole history
+    rows = parsed.where("origin = 'unknown'").repartitionByRange("source", "sampled_at", "sample_id", "value").sortWithinPartitions("source", "sampled_at", "sample_id", "value")
+    rows = checkpointed(rows).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    parts = rows.groupBy("source", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("source", "part", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    rows = rows.join(broadcast_if_small(starts), ["source", "part"]).withColumn("position", F.col("at") - F.col("first") + F.col("before"))
+    rows = rows.join(broadcast_if_small(levels), "source", "left")
+    own, within = F.floor(F.col("position") / BLOCK), F.col("position") % BLOCK
+    blocks = F.array_compact(F.array(own, F.when((within < BESIDE) & (own > 0), own - 1), F.when(within >= BLOCK - BESIDE, own + 1)))
+    rows = rows.select("sample_id", "item", "quantity", "value", "unit", "source", "position", "level", "deviation", F.explode(blocks).alias("block"))
+
+    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        quantity, level, deviation = pdf["quantity"].iloc[0], pdf["level"].iloc[0], pdf["deviation"].iloc[0]
+        guess = infer_units(quantity, pdf["value"].to_numpy(), level, deviation) if quantity in INFERABLE and level == level and level is not None else [None] * len(pdf)
+        out = pdf[["sample_id", "item", "quantity", "value", "unit"]].copy()
+        c = [conversion(quantity, g) if g else None for g in guess]
+        out["unit"] = [g or (u if isinstance(u, str) else None) for g, u in zip(guess, pdf["unit"])]
+        out["origin"] = ["inferred" if g else "unknown" for g in guess]
+        out["common_value"] = pd.Series([v * k[0] + k[1] if k else None for v, k in zip(pdf["value"], c)], index=out.index, dtype="float64")
+        out["same"] = [_is_common(k) for k in c]
+        return out[(pdf["position"] // BLOCK == pdf["block"]).to_numpy()]
+
+    # a fixed number of partitions: small rows of many groups would be coalesced into one task
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "source", "block").groupBy("source", "block").applyInPandas(segment, _VALUES)
+
+
+_VALUES = "sample_id long, item string, quantity string, value double, unit string, origin string, common_value double, same boolean"
+
+
 def values_in_common_units(samples: DataFrame, infer: bool = True) -> DataFrame:
     """One row for each usable value: sample_id, item, quantity, value, unit, origin, common_value, micro.
 
     ``item`` is field or depth; ``value`` and ``unit`` are as recorded; ``origin`` is recorded, inferred
     (by segmentation) or unknown, and then ``common_value`` and ``micro`` (millionths, rounded) are null.
     Null, NaN and fill values have no row, nor have samples with a null id. The value's text counts only where data_value is null. Copies
-    of a row count once. Rows are range-partitioned by source and time, which splits a source that
-    makes up much of the data, and a source is segmented in blocks of ``BLOCK`` values.
+    of a row count once. A source is the fields or the depths of one dataset, variable and quantity; its
+    values without a unit are segmented by their positions in its history in blocks of ``BLOCK``, which
+    are read with ``BESIDE`` values of both neighbours, against the level of all its recorded values.
     """
     used = ["sample_id", "dataset", "ncvar", "standard_name", "long_name", "sampled_at", "data_value", "data_text", "field_units", "depth_value", "depth_units"]
     rows = samples.where(F.col("sample_id").isNotNull()).select(*used).distinct()
     # null and NaN differ here, so nulls travel as a flag through pandas
-    rows = rows.withColumns({"no_value": F.col("data_value").isNull(), "no_depth": F.col("depth_value").isNull()})
-    rows = rows.repartitionByRange("dataset", "ncvar", "sampled_at", "sample_id").sortWithinPartitions("dataset", "ncvar", "sampled_at", "sample_id")
+    rows = rows.withColumns({"no_value": F.col("data_value").isNull(), "no_depth": F.col("depth_value").isNull(), "at": F.to_json(F.struct("dataset", "ncvar", "standard_name"))})
 
     def text(x: object) -> str | None:
         return x if isinstance(x, str) else None
 
-    def block(held: list[tuple]) -> list[tuple]:
-        out: list[tuple] = []
-        if not held:
-            return out
-        quantity = held[0][0]
-        guess: list[str | None] = [None] * len(held)
-        conversions = [conversion(quantity, h[3]) for h in held]
-        if infer and quantity in INFERABLE:
-            raw = np.array([h[2] for h in held])
-            known = np.array([c is not None for c in conversions])
-            common = np.array([h[2] * c[0] + c[1] if c else np.nan for h, c in zip(held, conversions)])
-            guess = _infer(quantity, raw, known, common)
-        for (quantity, sample, value, unit, declared), c, g in zip(held, conversions, guess):
-            origin = "recorded" if c else "inferred" if g else "unknown"
-            c = c or (conversion(quantity, g) if g else None)
-            out.append((sample, "field", quantity, value, unit if origin != "inferred" else g, origin, value * c[0] + c[1] if c else None, c))
-        return out
-
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        pdf = pd.DataFrame(out, columns=["sample_id", "item", "quantity", "value", "unit", "origin", "common_value", "c"])
-        pdf["same"] = [c is not None and c[1] == 0.0 and abs(c[0] - 1.0) < 1e-12 for c in pdf.pop("c")]
-        pdf["common_value"] = pdf["common_value"].astype("float64")
-        return pdf
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, held = None, []
         for b in batches:
             out: list[tuple] = []
-            for sample, dataset, ncvar, quantity, name, value, words, units, depth, depth_units, no_value, no_depth in zip(
-                b["sample_id"], b["dataset"], b["ncvar"], b["standard_name"], b["long_name"], b["data_value"], b["data_text"], b["field_units"], b["depth_value"], b["depth_units"], b["no_value"], b["no_depth"]
+            for sample, source, when, quantity, name, value, words, units, depth, depth_units, no_value, no_depth in zip(
+                b["sample_id"], b["at"], b["sampled_at"], b["standard_name"], b["long_name"], b["data_value"], b["data_text"], b["field_units"], b["depth_value"], b["depth_units"], b["no_value"], b["no_depth"]
             ):
                 quantity = text(quantity)
-                at = (text(dataset), text(ncvar), quantity)
-                if at != source or len(held) >= BLOCK:
-                    out += block(held)
-                    source, held = at, []
                 number, unit = recorded(quantity, None if no_value else value, text(words), text(units), text(name))
-                if usable(number):
-                    held.append((quantity, sample, number, unit, text(units)))
+                found = [("field", quantity, number, unit)] if usable(number) else []
                 if not no_depth and usable(depth):
-                    c = conversion("depth", text(depth_units))
-                    out.append((sample, "depth", "depth", depth, text(depth_units), "recorded" if c else "unknown", depth * c[0] + c[1] if c else None, c))
-            yield frame(out)
-        yield frame(block(held))
-
-    done = rows.mapInPandas(run, "sample_id long, item string, quantity string, value double, unit string, origin string, common_value double, same boolean")
+                    found.append(("depth", "depth", depth, text(depth_units)))
+                for item, kind, v, u in found:
+                    c = conversion(kind, u)
+                    out.append((sample, item, kind, v, u, "recorded" if c else "unknown", v * c[0] + c[1] if c else None, _is_common(c), f"{item} {source}", when))
+            pdf = pd.DataFrame(out, columns=["sample_id", "item", "quantity", "value", "unit", "origin", "common_value", "same", "source", "sampled_at"])
+            yield pdf.astype({"common_value": "float64"})
+
+    kind = samples.schema["sampled_at"].dataType.simpleString()
+    done = rows.mapInPandas(run, f"{_VALUES}, source string, sampled_at {kind}")
+    columns = ["sample_id", "item", "quantity", "value", "unit", "origin", "common_value", "same"]
+    if infer:
+        done = checkpointed(done)
+        done = done.where("origin = 'recorded'").select(*columns).unionByName(_inferred(done))
+    done = done.select(*columns)
     millionths = F.round(F.col("common_value") * 1e6)
     return done.withColumn("micro", F.when(~F.isnan("common_value") & (F.abs(millionths) < 9e18), millionths.cast("long"))).withColumn("common_value", F.nanvl("common_value", F.lit(None)))
 
 
 def other_units(samples: DataFrame) -> DataFrame:
     """sample_id, item, micro of the values recorded in a known unit other than the common one."""
-    found = values_in_common_units(samples)
+    found = values_in_common_units(samples, infer=False)
     return found.where((F.col("origin") == "recorded") & ~F.col("same") & F.col("micro").isNotNull()).select("sample_id", "item", "micro").distinct()

@@ -330,6 +330,28 @@ def test_inference(spark):
     assert (out["origin"] == "inferred").sum() == 200 and out["common_value"].between(90000, 110000).all()
 
 
+def test_whole_histories(spark):
+    rng = np.random.default_rng(8)
+    p = rng.normal(100000, 1500, 6012)
+    row = lambda i, d, v, unit, depth=None, depth_unit=None: (i, d, "ps", "surface_air_pressure", "p", T0 + timedelta(minutes=i), v, None, unit, depth, depth_unit, "")
+    # recorded values stand before an unlabelled stretch longer than two blocks, in two units
+    rows = [row(i, "long", float(p[i]), "Pa") if i < 12 else row(i, "long", float(p[i]) * (0.01 if i < 3000 else 0.001), None) for i in range(6012)]
+    # a short history, recorded in two units
+    rows += [row(7000 + i, "short", float(p[i]) * (0.01 if i % 2 else 1.0), "hPa" if i % 2 else "Pa") for i in range(4)] + [row(7010, "short", 1012.0, None)]
+    rows += [row(8000 + i, "deep", None, None, 2.0 if i < 5 else 200.0, "m" if i < 5 else None) for i in range(10)]
+    samples = spark.createDataFrame(rows, SAMPLES)
+    found = []
+    for parts in (1, 5):
+        out = values_in_common_units(samples.repartition(parts)).toPandas().sort_values("sample_id")
+        found.append(out[["sample_id", "unit", "origin", "micro"]].to_numpy().tolist())
+    assert found[0] == found[1] and len(out) == len(rows)
+    history = out[out["sample_id"] < 7000]
+    assert (history["origin"] == "inferred").sum() == 6000 and np.allclose(history["common_value"], p)
+    assert np.allclose(out[out["sample_id"] == 7010]["common_value"], 101200.0)
+    deep = out[out["item"] == "depth"]
+    assert (deep["origin"] == "inferred").sum() == 5 and np.allclose(deep["common_value"], 2.0)
+
+
 def test_changepoints():
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.normal(0, 0.1, 50), rng.normal(3, 0.1, 40), rng.normal(0, 0.1, 30)])
