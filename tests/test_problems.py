@@ -20,7 +20,7 @@ from fieldloom.operators.regular_grid import missing_periods, regular_grid
 from fieldloom.operators.schema_drift import changes, promoted, schema_changes, type_of, unified_schema
 from fieldloom.operators.small_files import consolidate, kept_records, records, surplus_copies
 from fieldloom.operators.spatial_near import Regions, chord, geographic, near_locations, near_pairs, points_in_regions
-from fieldloom.operators.time_labels import Viterbi, normalise_labels, one_instant
+from fieldloom.operators.time_labels import Viterbi, normalise_labels, one_instant, zone_names
 from fieldloom.operators.unit_values import conversion, other_units, recorded, unit_in_name, value_in_text, values_in_common_units
 from fieldloom.plans.scale import table
 from fieldloom.sources.parquet_blocks import Footer, merge_files, merge_folder, plan_bins
@@ -255,6 +255,20 @@ def test_labels(spark):
     assert {r.coord_id for r in one_instant(coords).collect()} == {2, 5, 6} and one_instant(coords.limit(0)).count() == 0
 
 
+def test_labels_over_partitions(spark):
+    # one anchor at the start, then undecided labels over all partitions, and many junk zones
+    texts = ["01/25/2020 00:00"] + ["03/02/2020 00:00"] * 400
+    rows = [(i, "d", t, "{}", T0 + timedelta(hours=i), "") for i, t in enumerate(texts)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.coord_id: r for r in normalise_labels(spark.createDataFrame(rows, LABELS).repartition(4)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 401 and len(got[1].interpretations) == 2 and {r.form for r in got.values()} == {"m/d/y"}
+    junk = [(1000 + i, "d", "2020-01-25T00:00:00", '{"timezone": "Nowhere/%d"}' % i, T0, "") for i in range(2500)] + [(9000, "d", "2020-01-25T00:00:00", '{"timezone": "Asia/Tokyo"}', T0, "")]
+    assert zone_names(spark.createDataFrame(junk, LABELS)) == ["Asia/Tokyo"]
+
+
 # schemas -----------------------------------------------------------------
 def test_assignment():
     rng = np.random.default_rng(5)
