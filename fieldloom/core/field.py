@@ -37,6 +37,19 @@ def distinct_labels(df: DataFrame, dim: str) -> np.ndarray:
     return np.sort(labels.astype("datetime64[us]") if labels.dtype == object else labels)
 
 
+def label_ends(df: DataFrame, dim: str) -> tuple[Any, Any]:
+    """The least and the greatest label of a column; ValueError where it has none."""
+    low, high = df.agg(F.min(dim), F.max(dim)).first()
+    if low is None:
+        raise ValueError(f"{dim} has no labels")
+    return low, high
+
+
+def lazy_labels(df: DataFrame, dim: str) -> LazyCoordinate:
+    """The distinct labels of a column as a coordinate, read when a verb needs them."""
+    return LazyCoordinate(dim, lambda: distinct_labels(df, dim), (dim,), ends=lambda: label_ends(df, dim))
+
+
 @dataclass(frozen=True, eq=False)
 class Field:
     """``df`` has a column for each of ``dims`` and ``value``.
@@ -69,7 +82,7 @@ class Field:
             given = dict(coords or {})
             for d in dims:
                 if d not in given and AxisType.infer(d) is not AxisType.GENERIC:
-                    given[d] = LazyCoordinate(d, lambda d=d: distinct_labels(df, d), (d,))
+                    given[d] = lazy_labels(df, d)
             domain = Domain(given, crs, domaintype)
         number = F.col(value).cast("double")
         rows = df.select(*dims, F.when(~F.isnan(number), number).alias(VALUE))
@@ -307,7 +320,11 @@ class Field:
         for d, values in keys.items():
             points[d] = values
         small = broadcast_if_small(self.df.sparkSession.createDataFrame(points))
-        rows = source.df.join(small, list(keys)) if keys else source.df.withColumn("points", F.lit(0))
+        rows = source.df
+        for d, values in keys.items():  # unlike the join, these reach the scan
+            wanted = np.unique(values)
+            rows = rows.where(F.col(d).isin(wanted.tolist()) if len(wanted) <= 1000 else F.col(d).between(wanted.min().item(), wanted.max().item()))
+        rows = rows.join(small, list(keys)) if keys else rows.withColumn("points", F.lit(0))
         others = tuple(d for d in source.dims if d not in keys)
         kept = [c for c in source.domain if not set(c.dims) & set(keys) and c.axis not in (AxisType.LATITUDE, AxisType.LONGITUDE)]
         domain = Domain([*kept, Coordinate("latitude", rlat, ("points",)), Coordinate("longitude", rlon, ("points",))], RegularLatLon(), DomainType.POINTS)
@@ -509,9 +526,10 @@ class Field:
         time = self.time
         if time.name not in self.dims:
             raise ValueError("resampling needs a time dimension")
-        labels = np.sort(time.values)
-        rows = bins.resample(self.df, time.name, list(self.dims), VALUE, operator, frequency, pd.Timestamp(labels[0]), gaps, empty_sum)
-        new = replace(time, values=bins.bins_of(labels, frequency), bounds=None)
+        first, last = map(pd.Timestamp, time.extent())
+        rows = bins.resample(self.df, time.name, list(self.dims), VALUE, operator, frequency, first, last, gaps, empty_sum)
+        ends = np.array([first, last], dtype="datetime64[us]")
+        new = LazyCoordinate(time.name, lambda: bins.bins_of(ends, frequency), time.dims, time.axis, time.units, None, time.properties, time.encoding)
         return self._with(rows.select(*self.dims, VALUE), self.domain.with_coords(new))
 
     def average(self, dim: Any = None) -> Field:

@@ -84,6 +84,13 @@ class Coordinate:
         steps = np.round(np.abs(np.diff(self.values.astype("float64").ravel())), 9)
         return float(pd.Series(steps).mode().iloc[0]) if len(steps) else 0.0
 
+    def extent(self) -> tuple[Any, Any]:
+        """The least and the greatest label; ValueError where there is none."""
+        v = self.values.ravel()
+        if not v.size:
+            raise ValueError(f"{self.name} has no labels")
+        return v.min(), v.max()
+
     def take(self, index: np.ndarray) -> Coordinate:
         """The labels at positions along an independent coordinate."""
         return replace(self, values=self.values[index], bounds=None if self.bounds is None else self.bounds[index])
@@ -137,13 +144,22 @@ def check_bounds(shape: tuple[int, ...], bounds: np.ndarray) -> np.ndarray:
 
 
 class LazyCoordinate(Coordinate):
-    """A coordinate over its own dimension whose labels are loaded when a verb first needs them."""
+    """A coordinate over its own dimension whose labels are loaded when a verb first needs them.
 
-    def __init__(self, name: str, values: Any, dims: tuple[str, ...] = (), axis: AxisType | None = None, units: str | None = None, bounds: np.ndarray | None = None, properties: dict[str, Any] | None = None, encoding: dict[str, Any] | None = None) -> None:
+    ``ends`` gives the least and the greatest label where a verb needs no others.
+    """
+
+    def __init__(self, name: str, values: Any, dims: tuple[str, ...] = (), axis: AxisType | None = None, units: str | None = None, bounds: np.ndarray | None = None, properties: dict[str, Any] | None = None, encoding: dict[str, Any] | None = None, ends: Any = None) -> None:
         kind = axis or AxisType.infer(name)
-        for key, value in (("name", name), ("dims", dims), ("axis", kind), ("units", units or kind.default_units), ("bounds", bounds), ("properties", properties or {}), ("encoding", encoding or {}), ("_source", values), ("_held", None)):
+        for key, value in (("name", name), ("dims", dims), ("axis", kind), ("units", units or kind.default_units), ("bounds", bounds), ("properties", properties or {}), ("encoding", encoding or {}), ("_source", values), ("_held", None), ("_ends", ends)):
             object.__setattr__(self, key, value)
 
+    def extent(self) -> tuple[Any, Any]:
+        if self._held is None and self._ends is not None:
+            object.__setattr__(self, "_ends", (lambda found: lambda: found)(self._ends()))
+            return self._ends()
+        return super().extent()
+
     @property
     def values(self) -> np.ndarray:  # type: ignore[override]
         if self._held is None:

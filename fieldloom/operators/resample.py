@@ -6,10 +6,11 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.meta.axis import MethodType
+from fieldloom.plans.ordered import with_next
 
 # Frequency aliases.
 _FIXED_US = {"us": 1, "ms": 1_000, "s": 1_000_000, "min": 60_000_000, "t": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
@@ -95,23 +96,31 @@ def aggregate_of(operator: str | MethodType, value: str) -> Column:
     return AGGREGATES[method](value)
 
 
-def resample(df: DataFrame, time: str, dims: list[str], value: str, operator: str | MethodType, frequency: str, first: pd.Timestamp, gaps: bool = True, empty_sum: float | None = None) -> DataFrame:
+def resample(df: DataFrame, time: str, dims: list[str], value: str, operator: str | MethodType, frequency: str, first: pd.Timestamp, last: pd.Timestamp, gaps: bool = True, empty_sum: float | None = None) -> DataFrame:
     """One row for each bin and cell (``dims`` without ``time``): the aggregate of its values that aren't null.
 
-    With ``gaps`` every cell has all bins between the first and the last one of the data; a bin without
-    values is null, or ``empty_sum`` for sums. The spine unfolds an array of labels for each cell.
+    With ``gaps`` every cell has all bins from that of ``first`` to that of ``last``, the ends of the
+    time axis; a bin without values is null, or ``empty_sum`` for sums. The gaps are unfolded from the
+    neighbouring bins of each cell, so the aggregate is computed once. A cell holds a row for each bin
+    at most; a field without other dimensions is cut into chunks of bins.
     """
     others = [d for d in dims if d != time]
-    binned = df.withColumn("__bin", bin_label(time, frequency, first))
-    out = binned.groupBy("__bin", *others).agg(aggregate_of(operator, value).alias(value))
+    out = df.withColumn("__bin", bin_label(time, frequency, first)).groupBy("__bin", *others).agg(aggregate_of(operator, value).alias(value))
     if gaps:
-        ends = out.agg(F.min("__bin").alias("__lo"), F.max("__bin").alias("__hi"))
+        ends = f"TIMESTAMP_NTZ '{first}'", f"TIMESTAMP_NTZ '{last}'"
+        low, high = (bin_label(e, frequency, first) for e in ends)
+        along = Window.partitionBy(*others).orderBy("__bin")
         if others:
-            spine = out.select(*others).distinct().join(F.broadcast(ends))
+            near = out.withColumns({"__next": F.lead("__bin").over(along), "__start": F.lag("__bin").over(along).isNull()})
         else:
-            spine = ends
-        spine = spine.withColumn("__bin", F.explode(label_sequence("__lo", "__hi", frequency))).drop("__lo", "__hi")
-        out = spine.join(out, ["__bin", *others], "left")
+            chunked = out.withColumn("__chunk", F.year("__bin"))
+            near = with_next(chunked, chunked, [], "__chunk", "__bin", "__next").withColumn("__start", F.col("__bin") == low)
+            starts = df.sparkSession.range(1).select(low.alias("__bin"), F.lit(None).cast("double").alias(value))
+            near = near.unionByName(starts.join(out.agg(F.min("__bin").alias("__next")).where(F.col("__next") > low)).withColumn("__start", F.lit(True)), allowMissingColumns=True).where("__bin is not null")
+        near = near.withColumns({"__from": F.when(F.col("__start"), low).otherwise(F.col("__bin")), "__to": F.coalesce("__next", high)})
+        labels = F.filter(label_sequence("__from", "__to", frequency), lambda x: F.col("__next").isNull() | (x < F.col("__next")))
+        out = near.select(*others, "__bin", value, F.explode(labels).alias("__label")).select(
+            F.col("__label").alias("__bin"), *others, F.when(F.col("__label") == F.col("__bin"), F.col(value)).alias(value))
     if empty_sum is not None and MethodType(operator if not isinstance(operator, MethodType) else operator.value[0]) is MethodType.SUM:
         out = out.withColumn(value, F.coalesce(value, F.lit(float(empty_sum))))
     return out.select(F.col("__bin").alias(time), *others, value)

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from fieldloom.core.cube import DataCube
 from fieldloom.core.dataset import Dataset, Entry
 from fieldloom.core.domain import Domain, DomainType, GeodeticGrid, GeodeticPoints
-from fieldloom.core.field import Field, distinct_labels
+from fieldloom.core.field import Field, lazy_labels
 from fieldloom.crs.systems import AlbersEqualArea, CurvilinearGrid, LambertConformal, Mercator, RotatedGeogCS, Stereographic, TransverseMercator
-from fieldloom.meta.coordinate import Coordinate, LazyCoordinate
+from fieldloom.meta.coordinate import Coordinate
 from fieldloom.plans.scale import shared_path, table
 from fieldloom.sources.catalog import open_datacube
 from fieldloom.streaming.windows import resample_stream
@@ -28,7 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _quantity() -> F.Column:
-    return F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("value")
+    """Exact to hundredths, in whole numbers."""
+    return (F.sum(F.round(F.col("l_quantity") * 100).cast("long")) / 100).alias("value")
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def grid(spark: SparkSession, sf_dir: str, where: str | None = None, name: str =
     rows = _rows(spark, sf_dir)
     rows = rows.where(where) if where else rows
     df = rows.groupBy("time", "latitude", "longitude").agg(_quantity())
-    return Field.from_dataframe(df, name, ("time", "latitude", "longitude"), "value", {"time": LazyCoordinate("time", lambda: distinct_labels(rows, "time"), ("time",)), "latitude": LAT, "longitude": LON}, units="kg")
+    return Field.from_dataframe(df, name, ("time", "latitude", "longitude"), "value", {"time": lazy_labels(rows, "time"), "latitude": LAT, "longitude": LON}, units="kg")
 
 
 def vertical_grid(spark: SparkSession, sf_dir: str) -> Field:
