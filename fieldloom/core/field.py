@@ -467,7 +467,8 @@ class Field:
             near = weights.nearest_cells(glat, glon, slat, slon)
             i, j = np.divmod(near, len(tx))
             return pd.DataFrame({"t": i, "tj": j, "sy": slat.ravel(), "sx": slon.ravel(), "w": 1.0, "axis": "both"})
-        return pd.concat([wy.assign(axis="y"), wx.assign(axis="x")], ignore_index=True)
+        both = [wy.assign(axis="y"), wx.assign(axis="x")]
+        return pd.concat([t.astype({"w": "float64"}) for t in both], ignore_index=True)
 
     def _regrid_cells(self, domain: Domain, method: RegridMethod, weights_path: str | None, reuse_weights: bool) -> Field:
         """``regrid`` from two-dimensional latitude and longitude, by one weight table over both dimensions."""
@@ -545,14 +546,14 @@ class Field:
         return self._with(self.df.groupBy(*others).agg(F.avg(VALUE).alias(VALUE)), domain, others)
 
     def reduce(self, operator: str, dims: Iterable[str] | None = None) -> Field:
-        """One of max, min, sum, mean, median, var, std, prod, count, any, all, argmax, argmin over dimensions (all by default)."""
+        """One of max, min, sum, mean, median, var, std, prod, count, any, all, argmax, argmin over dimensions (all by default); of equal extremes the least label is taken."""
         over = self.dims if dims is None else tuple(dims)
         more = {"prod": F.product(VALUE), "count": F.count(VALUE).cast("double"), "any": F.max((F.col(VALUE) != 0).cast("double")), "all": F.min((F.col(VALUE) != 0).cast("double"))}
         if operator in ("argmax", "argmin"):
             if len(over) != 1:
                 raise ValueError("the position of an extreme is along one dimension")
-            pick = F.max_by if operator == "argmax" else F.min_by
-            aggregate = pick(over[0], VALUE)
+            ordered = -F.col(VALUE) if operator == "argmax" else F.col(VALUE)
+            aggregate = F.min(F.when(F.col(VALUE).isNotNull(), F.struct(ordered.alias("by"), F.col(over[0]).alias("at"))))["at"]
         else:
             aggregate = more.get(operator)
             aggregate = bins.aggregate_of(operator, VALUE) if aggregate is None else aggregate

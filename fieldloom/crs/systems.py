@@ -492,8 +492,8 @@ _BY_NAME = {c.grid_mapping_name: c for c in reversed(SYSTEMS) if c.grid_mapping_
 def parse_crs(attrs: dict[str, Any] | str | None) -> CoordSystem | None:
     """A system from CF grid-mapping attributes (or their JSON).
 
-    Null gives the default latitude/longitude system, an unknown mapping name None. Attributes that
-    a class doesn't know are ignored.
+    Null gives the default latitude/longitude system, an unknown mapping name None. The name may have the
+    prefix ``crs_`` or stand in ``name``, as ``to_dict`` writes it. Attributes that a class doesn't know are ignored.
     """
     if attrs is None:
         return RegularLatLon()
@@ -504,8 +504,8 @@ def parse_crs(attrs: dict[str, Any] | str | None) -> CoordSystem | None:
             return None
     if not isinstance(attrs, dict):
         return None
-    name = attrs.get("grid_mapping_name") or "latitude_longitude"
-    kind = _BY_NAME.get(str(name))
+    name = str(attrs.get("grid_mapping_name") or attrs.get("name") or "latitude_longitude")
+    kind = _BY_NAME.get(name.removeprefix("crs_"))
     if kind is None:
         return None
     known = {f.name for f in fields(kind)}

@@ -272,6 +272,19 @@ def name_pattern(pattern: str) -> re.Pattern:
     return re.compile(out + "$")
 
 
+def catalog_of(paths: DataFrame, column: str, pattern: str) -> DataFrame:
+    """The catalog of a table of file names: the attributes of ``pattern``, files ARRAY<STRING>, n_files.
+
+    For listings too long for the driver: names are read by the JVM. Names that don't fit, and nulls,
+    are left out; a name that repeats counts once. Only as many names stand in one row as share their attributes.
+    """
+    names = list(dict.fromkeys(placeholders(pattern)))
+    regex = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", re.sub(r"\(\?P<", "(?<", name_pattern(pattern).pattern))
+    fitting = paths.select(F.col(column).alias("__path")).where(F.col("__path").rlike(regex)).distinct()
+    read = fitting.select("__path", *[F.regexp_extract("__path", regex, i + 1).alias(n) for i, n in enumerate(names)])
+    return read.groupBy(*names).agg(F.array_sort(F.collect_list("__path")).alias("files"), F.count(F.lit(1)).alias("n_files"))
+
+
 def open_dataset(spark: SparkSession, path: str, pattern: str, id_pattern: str | None = None, mapping: dict[str, Any] | None = None, load_files_on_persistance: bool = True, **options: Any) -> Dataset:
     """A dataset of the files of a path pattern, one entry for each combination of attributes in their names.
 
