@@ -53,28 +53,27 @@ class KDTree:
                 todo += (self.left[k], self.right[k])
         return out
 
-    def pairs(self, radius: float, block: int = 2048):
-        """Yields arrays (i, j) of positions in the original order, each ordered pair once, i != j."""
+    def pairs_with(self, other: KDTree, radius: float, block: int = 2048):
+        """Yields arrays (i, j): positions in this tree's and in the other's original order of points within ``radius``."""
         limit = radius * radius
         for k in self.leaves():
             a, b = self.span[k]
+            near = other.near(self.low[k], self.high[k], radius)
             for a0 in range(a, b, block):  # a leaf of equal points may be long
                 a1 = min(b, a0 + block)
                 mine = self.xyz[a0:a1]
-                for other in self.near(self.low[k], self.high[k], radius):
-                    c, d = self.span[other]
+                for leaf in near:
+                    c, d = other.span[leaf]
                     for c0 in range(c, d, block):
                         c1 = min(d, c0 + block)
-                        gap = mine[:, None, :] - self.xyz[None, c0:c1, :]
+                        gap = mine[:, None, :] - other.xyz[None, c0:c1, :]
                         i, j = np.nonzero(np.einsum("ijk,ijk->ij", gap, gap) <= limit)
-                        i, j = self.order[i + a0], self.order[j + c0]
-                        keep = i != j
-                        if keep.any():
-                            yield i[keep], j[keep]
+                        if len(i):
+                            yield self.order[i + a0], other.order[j + c0]
 
 
 class Splits:
-    """k-d cuts of space made from a bounded sample; every leaf is one group of work."""
+    """k-d cuts of space made from a bounded sample; every leaf is one group of work, ``leaf_size`` its part of the sample."""
 
     def __init__(self, sample: np.ndarray, leaves: int, least_width: float) -> None:
         self.axis, self.cut, self.child = [], [], []  # child: (left, right), negative = leaf id

@@ -19,12 +19,16 @@ from fieldloom.crs.systems import EARTH_RADIUS, RotatedGeogCS
 from fieldloom.functions.kdtree import KDTree, Splits
 from fieldloom.plans.scale import broadcast_if_small, checkpointed
 
-#: Locations in the sample that the cuts are made from, at most.
-SAMPLE = 60_000
+#: Locations in the sample that the cuts are made from: at least so many, so many for each group, and never more than the last.
+SAMPLE, PER_GROUP, SAMPLE_MOST = 60_000, 64, 2_000_000
 #: Locations that one group should hold.
 GROUP = 40_000
-#: Locations beyond which a group that can't be cut by space is cut into blocks.
+#: Locations of a block; a group of more than two blocks that can't be cut by space is cut into them.
 GROUP_MOST = 200_000
+#: Pairs that a task holds before it returns them.
+PAIRS_AT_ONCE = 500_000
+#: Distances of points from edges that are computed at once.
+SWEEP_CELLS = 4_000_000
 
 
 def usable_angle(lat: Column, lon: Column) -> Column:
@@ -79,52 +83,95 @@ def chord(metres: float, radius: float = EARTH_RADIUS) -> float:
 
 
 def near_locations(located: DataFrame, metres: float, sample: int = SAMPLE, group: int = GROUP, group_most: int = GROUP_MOST) -> tuple[DataFrame, DataFrame]:
-    """Pairs of different places within a distance, and who is where.
+    """Pairs of different places within a distance, and who else is where.
 
-    ``located`` has pt_id, lat, lon. Returns (pairs, members): pairs(place_a, place_b) with
-    place_a < place_b, members(place, pt_id). A place is one position, named by its lowest pt_id;
-    copies of a position are never compared with each other.
+    ``located`` has pt_id, lat, lon. Returns (pairs, others): pairs(place_a, place_b) with
+    place_a < place_b, others(place, pt_id). A place is one position, named by its lowest pt_id, who
+    is always there; ``others`` has a row for each further pt_id of a position. Copies of a position
+    are never compared with each other.
+
+    A task holds one group, about ``group`` places and their halo. A group of more than ``group_most``
+    places that space can't cut is cut into blocks by the places' names, and each pair of blocks is a
+    task that asks the one for the other, so its memory doesn't grow with the group. Pairs are
+    returned as they are found.
     """
     at = located.select("pt_id", F.round("lat", 12).alias("lat"), F.pmod(F.round("lon", 12), F.lit(360.0)).alias("lon"))
     # the poles have one place whatever the longitude says
-    at = at.withColumn("lon", F.when(F.abs("lat") == 90.0, F.lit(0.0)).otherwise(F.col("lon")))
-    places = checkpointed(unit_vectors(at.groupBy("lat", "lon").agg(F.min("pt_id").alias("place"))).select("place", "lat", "lon", "x", "y", "z"))
-    members = at.join(places.select("place", "lat", "lon"), ["lat", "lon"]).select("place", "pt_id").distinct()
-    total = places.count()
-    share = min(1.0, 1.2 * sample / total) if total else 1.0
-    some = places.select("x", "y", "z").where(F.pmod(F.xxhash64("place"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).limit(2 * sample).toPandas()
+    at = checkpointed(at.withColumn("lon", F.when(F.abs("lat") == 90.0, F.lit(0.0)).otherwise(F.col("lon"))).distinct())
+    positions = checkpointed(at.groupBy("lat", "lon").agg(F.min("pt_id").alias("place"), (F.min("pt_id") < F.max("pt_id")).alias("shared")))
+    shared = positions.where("shared").select("lat", "lon", "place")
+    others = at.join(shared, ["lat", "lon"]).where("pt_id <> place").select("place", "pt_id")
+    places = unit_vectors(positions).select("place", "x", "y", "z")
+    total = positions.count()
+    leaves = math.ceil(total / group)
+    wanted = min(SAMPLE_MOST, max(sample, PER_GROUP * leaves))
+    share = min(1.0, wanted / total) if total else 1.0
+    some = places.select("x", "y", "z").where(F.pmod(F.xxhash64("place"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).toPandas()
     radius = chord(metres) * (1 + 1e-12)
-    splits = Splits(some[["x", "y", "z"]].to_numpy(), math.ceil(total / group), 4 * radius)
+    splits = Splits(some[["x", "y", "z"]].to_numpy(), leaves, 4 * radius)
     scale = total / max(1, len(some))
-    # a group too dense to be cut by space is cut into blocks, each with the whole group as its halo
     blocks = np.array([max(1, math.ceil(n * scale / group_most)) if n * scale > 2 * group_most else 1 for n in splits.leaf_size] or [1])
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             row, leaf, home = splits.assign(b[["x", "y", "z"]].to_numpy(), radius)
-            part, own = b.iloc[row], np.zeros(len(row), dtype=np.int64)
-            many = blocks[leaf]
-            if (many > 1).any():
-                own = np.where(many > 1, part["place"].to_numpy() % many, 0)
-                times = np.repeat(np.arange(len(row)), many)
-                block = np.arange(len(times)) - np.repeat(np.cumsum(many) - many, many)
-                part, leaf, home, own = part.iloc[times], leaf[times], home[times] & (own[times] == block), block
-            yield pd.DataFrame({"g": leaf, "block": own, "home": home, "place": part["place"].to_numpy(), **{c: part[c].to_numpy() for c in "xyz"}})
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, home = pdf["place"].to_numpy(), pdf["home"].to_numpy()
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, j in KDTree(pdf[["x", "y", "z"]].to_numpy()).pairs(radius):
-            keep = home[i] & (name[i] < name[j])
-            a.append(name[i[keep]]), b.append(name[j[keep]])
-        return pd.DataFrame({"place_a": np.concatenate(a), "place_b": np.concatenate(b)})
-
-    pairs = (
-        places.mapInPandas(spread, "g long, block long, home boolean, place long, x double, y double, z double")
-        .groupBy("g", "block")
-        .applyInPandas(local, "place_a long, place_b long")
-    )
-    return pairs, members
+            name, xyz = b["place"].to_numpy()[row], b[["x", "y", "z"]].to_numpy()[row]
+            times = blocks[leaf]
+            # who asks is in the row of its block, who may be found in the column
+            again = np.repeat(np.arange(len(row)), times)
+            k = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+            own, many = name[again] % times[again], times[again] > 1
+            parts = [(again[~many], k[~many], k[~many], home[again[~many]], np.ones((~many).sum(), bool))]
+            if many.any():
+                ask = many & home[again]
+                parts += [(again[ask], own[ask], k[ask], np.ones(ask.sum(), bool), np.zeros(ask.sum(), bool)), (again[many], k[many], own[many], np.zeros(many.sum(), bool), np.ones(many.sum(), bool))]
+            for at_, i, j, asks, found in parts:
+                yield pd.DataFrame({"g": leaf[at_], "i": i, "j": j, "asks": asks, "found": found, "place": name[at_], **{c: xyz[at_, n] for n, c in enumerate("xyz")}})
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _groups(batches, ["g", "i", "j"]):
+            xyz, name = pdf[["x", "y", "z"]].to_numpy(), pdf["place"].to_numpy()
+            asks, found = np.flatnonzero(pdf["asks"]), np.flatnonzero(pdf["found"])
+            held, n = [], 0
+            for i, j in KDTree(xyz[asks]).pairs_with(KDTree(xyz[found]), radius):
+                a, b = name[asks[i]], name[found[j]]
+                keep = a < b
+                held.append((a[keep], b[keep]))
+                n += len(held[-1][0])
+                if n >= PAIRS_AT_ONCE:
+                    yield _pair_frame(held)
+                    held, n = [], 0
+            yield _pair_frame(held)
+
+    grouped = places.mapInPandas(spread, "g long, i long, j long, asks boolean, found boolean, place long, x double, y double, z double")
+    pairs = grouped.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(local, "place_a long, place_b long")
+    return pairs, others
+
+
+def _pair_frame(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b = (np.concatenate([x[k] for x in held] or [np.empty(0, np.int64)]) for k in (0, 1))
+    return pd.DataFrame({"place_a": a, "place_b": b})
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that are sorted by keys, one at a time."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        k = b[keys].to_numpy()
+        starts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        cuts = [0, *starts, len(b)]
+        if held and (held[-1][keys].to_numpy()[-1] != k[0]).any():
+            yield pd.concat(held)
+            held = []
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            held.append(b.iloc[a:z])
+            if z < len(b):
+                yield pd.concat(held)
+                held = []
+    if held:
+        yield pd.concat(held)
 
 
 def near_pairs(points: DataFrame, crs: DataFrame, metres: float = 250.0) -> DataFrame:
@@ -132,36 +179,52 @@ def near_pairs(points: DataFrame, crs: DataFrame, metres: float = 250.0) -> Data
 
     All pairs, also those at one position. See :func:`geographic` for points that have none.
     """
-    pairs, members = near_locations(geographic(points, crs), metres)
-    members = checkpointed(members)
-    left = members.select(F.col("place").alias("place_a"), F.col("pt_id").alias("p"))
-    right = members.select(F.col("place").alias("place_b"), F.col("pt_id").alias("q"))
-    apart = pairs.join(left, "place_a").join(right, "place_b").select("p", "q")
-    together = members.select("place", F.col("pt_id").alias("p")).join(members.select("place", F.col("pt_id").alias("q")), "place").where("p < q").select("p", "q")
-    both = apart.unionByName(together).where("p <> q")
+    pairs, others = near_locations(geographic(points, crs), metres)
+    others = checkpointed(others)
+    who = broadcast_if_small(others)
+    pairs = checkpointed(pairs)
+
+    def expanded(df: DataFrame, place: str, out: str) -> DataFrame:
+        """A row for each pt_id at the place."""
+        more = df.join(who, F.col(place) == F.col("place")).select(*df.columns, F.col("pt_id").alias(out))
+        return df.withColumn(out, F.col(place)).unionByName(more)
+
+    apart = expanded(expanded(pairs, "place_a", "p"), "place_b", "q").select("p", "q")
+    first = others.select(F.col("place").alias("p"), F.col("pt_id").alias("q"))
+    rest = others.select("place", F.col("pt_id").alias("p")).join(others.select("place", F.col("pt_id").alias("q")), "place").where("p < q").select("p", "q")
+    both = apart.unionByName(first).unionByName(rest).where("p <> q")
     return both.select(F.least("p", "q").alias("pt_a"), F.greatest("p", "q").alias("pt_b")).distinct()
 
 
 class Regions:
-    """Polygons (closed rings of (lat, lon), even-odd) as edges in latitude bands."""
+    """Polygons (closed rings of (lat, lon), even-odd over all rings of a name) as edges in latitude bands.
+
+    Longitudes of a ring run on where it crosses the date line (170 to 190, or -190 to -170); points
+    are on [-180, 180), so such a ring is swept a second time, moved by 360 degrees.
+    """
 
     def __init__(self, rings: Sequence[tuple[str, Sequence[tuple[float, float]]]]) -> None:
-        edges = []
-        for name, ring in rings:
-            ring = list(ring)
-            for (la0, lo0), (la1, lo1) in zip(ring, ring[1:] + ring[:1]):
-                if la0 != la1:  # edges along a parallel never cross the sweep
-                    low, high = sorted(((la0, lo0), (la1, lo1)))
-                    edges.append((low[0], high[0], low[1], (high[1] - low[1]) / (high[0] - low[0]), name))
-        edges.sort(key=lambda e: e[0])
         self.names = sorted({name for name, _ in rings})
+        edges, pieces = [], {}
+        for name in self.names:
+            own = [list(ring) for n, ring in rings if n == name]
+            lons = [lo for ring in own for _, lo in ring]
+            for shift in [0.0] + [-360.0] * (max(lons, default=0.0) >= 180.0) + [360.0] * (min(lons, default=0.0) < -180.0):
+                piece = pieces.setdefault((name, shift), len(pieces))
+                for ring in own:
+                    for (la0, lo0), (la1, lo1) in zip(ring, ring[1:] + ring[:1]):
+                        if la0 != la1:  # edges along a parallel never cross the sweep
+                            low, high = sorted(((la0, lo0 + shift), (la1, lo1 + shift)))
+                            edges.append((low[0], high[0], low[1], (high[1] - low[1]) / (high[0] - low[0]), piece))
+        edges.sort(key=lambda e: e[0])
         self.low, self.high, self.lon, self.slope = (np.array([e[i] for e in edges], dtype=float) for i in range(4))
-        self.of = np.array([self.names.index(e[4]) for e in edges], dtype=np.int64)
+        self.of = np.array([e[4] for e in edges], dtype=np.int64)
+        self.region = np.array([self.names.index(name) for name, _ in pieces], dtype=np.int64)
 
     def sweep(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, region index) of the points inside. A point on a lower or left edge is inside, on an upper or right one outside."""
         order = np.argsort(lat, kind="stable")
-        rows, names, active, at = [], [], np.empty(0, dtype=np.int64), 0
+        rows, found, active, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.empty(0, dtype=np.int64), 0
         stops = np.unique(np.concatenate([self.low, self.high]))
         # between two stops the active edges stay the same
         first = np.searchsorted(lat[order], stops, side="left")
@@ -169,24 +232,24 @@ class Regions:
             entered = np.searchsorted(self.low, stops[k], side="right")
             active = np.concatenate([active[self.high[active] > stops[k]], np.arange(at, entered)])
             active, at = active[self.high[active] > stops[k]], entered
-            points = order[first[k]:first[k + 1]]
-            if not len(points) or not len(active):
+            if not len(active):
                 continue
-            crossing = self.lon[active][None, :] + (lat[points][:, None] - self.low[active][None, :]) * self.slope[active][None, :]
-            west = crossing <= lon[points][:, None]
-            for region in np.unique(self.of[active]):
-                odd = west[:, self.of[active] == region].sum(axis=1) % 2 == 1
-                rows.append(points[odd]), names.append(np.full(int(odd.sum()), region))
-        if not rows:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        return np.concatenate(rows), np.concatenate(names)
+            step = max(1, SWEEP_CELLS // len(active))
+            for a in range(first[k], first[k + 1], step):
+                points = order[a:min(a + step, first[k + 1])]
+                crossing = self.lon[active][None, :] + (lat[points][:, None] - self.low[active][None, :]) * self.slope[active][None, :]
+                west = crossing <= lon[points][:, None]
+                for piece in np.unique(self.of[active]):
+                    odd = west[:, self.of[active] == piece].sum(axis=1) % 2 == 1
+                    rows.append(points[odd]), found.append(np.full(int(odd.sum()), self.region[piece]))
+        return np.concatenate(rows), np.concatenate(found)
 
 
 def points_in_regions(located: DataFrame, rings: Sequence[tuple[str, Sequence[tuple[float, float]]]]) -> DataFrame:
     """pt_id, region of the points of ``located`` (pt_id, lat, lon) inside each region.
 
-    Regions are few and come from the caller; their edges go with the task. Longitudes are compared
-    on [-180, 180). A point in several regions has a row for each; equal rows come once. No regions
+    Rings of one name are one region, inner ones its holes. Regions come from the caller; their edges
+    go with the task. A point in several regions has a row for each; equal rows come once. No regions
     or no points give no rows.
     """
     regions = Regions(rings)

@@ -19,6 +19,8 @@ from fieldloom.plans.scale import table
 REGIONS = [
     ("alpine arc", [(43.5, 5.0), (48.5, 6.5), (48.0, 16.5), (45.5, 15.0), (44.0, 8.0)]),
     ("inland sea", [(30.0, -6.0), (46.0, -6.0), (46.0, 37.0), (30.0, 37.0)]),
+    ("inland sea", [(38.0, 10.0), (40.0, 10.0), (40.0, 18.0), (38.0, 18.0)]),  # a hole
+    ("date line", [(-60.0, 160.0), (60.0, 150.0), (60.0, 215.0), (-60.0, 200.0)]),
     ("southern wedge", [(-60.0, -70.0), (-20.0, -40.0), (-35.0, -10.0), (-10.0, 20.0), (-60.0, 40.0)]),
 ]
 
@@ -40,11 +42,7 @@ r AS (
 g AS (SELECT series_id, step, t0, lead(t0) OVER (PARTITION BY series_id ORDER BY t0) AS t1 FROM r)
 """
 
-ORACLE = {
-    "p1_found": _PERIODS + "SELECT series_id, unnest(generate_series(t0 + step, t1 - step, step)) AS period_us FROM g WHERE t1 > t0 + step",
-    "p1_summary": _PERIODS + """
-SELECT series_id, CAST(count(*) AS BIGINT) AS n_with, CAST(sum(CASE WHEN t1 IS NULL THEN 0 ELSE (t1 - t0) // step - 1 END) AS BIGINT) AS n_missing FROM g GROUP BY series_id""",
-    "p2_found": """
+_LOCATED = """
 WITH c AS (
   SELECT domain_id, coalesce(json_extract_string(crs, '$.grid_mapping_name'), 'latitude_longitude') AS kind, radians(CAST(json_extract_string(crs, '$.grid_north_pole_latitude') AS DOUBLE)) AS pole,
          CAST(json_extract_string(crs, '$.grid_north_pole_longitude') AS DOUBLE) AS pole_lon, radians(CAST(json_extract_string(crs, '$.north_pole_grid_longitude') AS DOUBLE)) AS shift FROM domain_crs),
@@ -55,12 +53,35 @@ r AS (
 g AS (
   SELECT pt_id, CASE WHEN direct THEN latitude WHEN gridded AND kind = 'rotated_latitude_longitude' THEN degrees(asin(sin(gr) * sin(pole) + cos(gr) * cos(gs) * cos(pole))) WHEN gridded AND kind = 'latitude_longitude' THEN grid_latitude END AS lat,
          CASE WHEN direct THEN longitude WHEN gridded AND kind = 'rotated_latitude_longitude' THEN ((degrees(atan2(cos(gr) * sin(gs), cos(gr) * cos(gs) * sin(pole) - sin(gr) * cos(pole))) + pole_lon + 540) % 360)
-              WHEN gridded AND kind = 'latitude_longitude' THEN grid_longitude END AS lon FROM r),
+              WHEN gridded AND kind = 'latitude_longitude' THEN grid_longitude END AS lon FROM r)"""
+
+
+def _edges() -> str:
+    """The rings' edges as rows, moved over the date line where they cross it."""
+    rows = []
+    for name, ring in REGIONS:
+        for shift in (0, -360, 360):
+            for (la0, lo0), (la1, lo1) in zip(ring, ring[1:] + ring[:1]):
+                low, high = sorted(((la0, lo0), (la1, lo1)))
+                rows.append(f"('{name}', {shift}, {low[0]:.1f}, {low[1] + shift:.1f}, {high[0]:.1f}, {high[1] + shift:.1f})")
+    return ", ".join(rows)
+
+
+ORACLE = {
+    "p1_found": _PERIODS + "SELECT series_id, unnest(generate_series(t0 + step, t1 - step, step)) AS period_us FROM g WHERE t1 > t0 + step",
+    "p1_summary": _PERIODS + """
+SELECT series_id, CAST(count(*) AS BIGINT) AS n_with, CAST(sum(CASE WHEN t1 IS NULL THEN 0 ELSE (t1 - t0) // step - 1 END) AS BIGINT) AS n_missing FROM g GROUP BY series_id""",
+    "p2_found": _LOCATED + """,
 v AS (SELECT DISTINCT pt_id, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM g WHERE abs(lat) <= 90 AND abs(lon) <= 360),
 b AS (SELECT *, CAST(floor(z / 0.00004) AS BIGINT) AS band FROM v),
 n AS (SELECT pt_id, x, y, z, unnest([band - 1, band, band + 1]) AS band FROM b)
 SELECT DISTINCT b.pt_id AS pt_a, n.pt_id AS pt_b FROM b JOIN n ON b.band = n.band AND b.pt_id < n.pt_id
 WHERE (b.x - n.x) ** 2 + (b.y - n.y) ** 2 + (b.z - n.z) ** 2 <= (2 * sin(250.0 / 6371229.0 / 2)) ** 2""",
+    "p2_regions": _LOCATED + f""",
+p AS (SELECT DISTINCT pt_id, lat, ((lon + 180) % 360 + 360) % 360 - 180 AS lon FROM g WHERE abs(lat) <= 90 AND abs(lon) <= 360),
+e AS (SELECT * FROM (VALUES {_edges()}) AS v(region, shift, la0, lo0, la1, lo1) WHERE la0 < la1),
+h AS (SELECT pt_id, lat, lon, region, shift FROM p JOIN e ON lat >= la0 AND lat < la1 AND lo0 + (lat - la0) * (lo1 - lo0) / (la1 - la0) <= lon GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT DISTINCT pt_id, region FROM h""",
     "p3_found": """
 WITH l AS (
   SELECT file_id, written_at, dataset, vars, unnest(string_split(payload, chr(10))) AS line, generate_subscripts(string_split(payload, chr(10)), 1) AS line_no

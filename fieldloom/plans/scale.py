@@ -32,13 +32,18 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary one on a local master, whose executors are this machine; on a cluster a RuntimeError.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     current = context._jsc.sc().getCheckpointDir()
     if not named and current.isDefined():
         named = current.get()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="fieldloom-checkpoint-")
     if not current.isDefined():
         context.setCheckpointDir(named)

@@ -86,13 +86,14 @@ def test_near_data(spark, data):
     want = _brute(located.distinct().toPandas(), 250.0)
     assert {(r.pt_a, r.pt_b) for r in near_pairs(points, crs).collect()} == want
     for blocks in (10**9, 40):  # small groups, also cut into blocks
-        pairs, members = near_locations(located, 250.0, sample=500, group=60, group_most=blocks)
+        pairs, others = near_locations(located, 250.0, sample=500, group=60, group_most=blocks)
         rows = pairs.collect()
-        assert len(rows) == len(set(rows)) and members.count() >= located.select("pt_id").distinct().count()
+        assert len(rows) == len(set(rows))
         where = {}
-        for r in members.collect():
-            where.setdefault(r.place, []).append(r.pt_id)
-        got = {(min(a, b), max(a, b)) for r in rows for a in where[r.place_a] for b in where[r.place_b] if a != b}
+        for r in others.collect():
+            where.setdefault(r.place, [r.place]).append(r.pt_id)
+        at = lambda p: where.get(p, [p])
+        got = {(min(a, b), max(a, b)) for r in rows for a in at(r.place_a) for b in at(r.place_b) if a != b}
         got |= {(a, b) for v in where.values() for a in v for b in v if a < b}
         assert got == want
 
@@ -113,8 +114,17 @@ def test_near_hostile(spark):
 def test_hot_place(spark):
     """A third of all rows at one place meets in one row of pairs, not in all of its copies."""
     points = spark.range(3000).selectExpr("id pt_id", "1 domain_id", "0 points", "case when id % 3 = 0 then 10.0 else id / 100.0 - 20 end latitude", "20.0 longitude", "cast(null as double) grid_latitude", "cast(null as double) grid_longitude")
-    pairs, members = near_locations(geographic(points, spark.createDataFrame([], CRS)), 250.0)
-    assert pairs.count() <= 2 and members.groupBy("place").count().agg({"count": "max"}).first()[0] >= 1000
+    pairs, others = near_locations(geographic(points, spark.createDataFrame([], CRS)), 250.0)
+    assert pairs.count() <= 2 and others.groupBy("place").count().agg({"count": "max"}).first()[0] >= 999
+
+
+def test_dense_group(spark):
+    """Places that space can't cut are cut into pairs of blocks, with the same pairs."""
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"pt_id": np.arange(1200), "lat": 43 + rng.normal(0, 2e-3, 1200), "lon": 12 + rng.normal(0, 2e-3, 1200)})
+    pairs, others = near_locations(spark.createDataFrame(pdf), 250.0, sample=2000, group=100, group_most=90)
+    rows = [tuple(r) for r in pairs.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == _brute(pdf, 250.0) and others.count() == 0
 
 
 @settings(max_examples=25, deadline=None)
@@ -123,9 +133,10 @@ def test_kdtree(seed, n, radius):
     xyz = np.random.default_rng(seed).random((n, 3))
     if n > 20:
         xyz[:10] = xyz[10]
-    got = {(int(a), int(b)) for i, j in KDTree(xyz, 8).pairs(radius) for a, b in zip(i, j)}
-    gap = ((xyz[:, None] - xyz[None]) ** 2).sum(-1)
-    assert got == {(i, j) for i, j in zip(*np.nonzero(gap <= radius * radius)) if i != j}
+    half = xyz[: n // 2]
+    got = [(int(a), int(b)) for i, j in KDTree(half, 8).pairs_with(KDTree(xyz, 8), radius) for a, b in zip(i, j)]
+    gap = ((half[:, None] - xyz[None]) ** 2).sum(-1)
+    assert len(got) == len(set(got)) and set(got) == set(zip(*np.nonzero(gap <= radius * radius)))
     splits = Splits(xyz, 9, 0.01)
     row, leaf, home = splits.assign(xyz, radius)
     assert sorted(row[home]) == list(range(n)) and (leaf < splits.leaf_count).all()
@@ -147,6 +158,9 @@ def test_regions(spark):
     got = set(zip(row.tolist(), region.tolist()))
     want = {(i, k) for k, name in enumerate("ab") for i in range(3000) if sum(inside(r, lat[i], lon[i]) for n, r in rings if n == name) % 2}
     assert got == want
+    across = [("c", [(-5.0, 170.0), (5.0, 170.0), (5.0, 190.0), (-5.0, 190.0)]), ("c", [(-1.0, 178.0), (1.0, 178.0), (1.0, 183.0), (-1.0, 183.0)]), ("d", [(-5.0, -190.0), (5.0, -190.0), (5.0, -170.0), (-5.0, -170.0)])]
+    line = spark.createDataFrame([(1, 0.0, 175.0), (2, 0.0, -175.0), (3, 0.0, 179.0), (4, 0.0, 165.0), (5, 0.0, 180.0), (6, 3.0, -180.0)], "pt_id long, lat double, lon double")
+    assert sorted((r.pt_id, r.region) for r in points_in_regions(line, across).collect()) == [(1, "c"), (1, "d"), (2, "c"), (2, "d"), (3, "d"), (5, "d"), (6, "c"), (6, "d")]
     df = spark.createDataFrame(pd.DataFrame({"pt_id": np.arange(3000), "lat": lat, "lon": lon + 360.0}))
     assert points_in_regions(df, rings).count() == len(want) and points_in_regions(df, []).count() == 0
 
