@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.crs.systems import EARTH_RADIUS, RotatedGeogCS
 from fieldloom.functions.kdtree import KDTree, Splits
+from fieldloom.plans.ordered import sorted_groups
 from fieldloom.plans.scale import broadcast_if_small, checkpointed
 
 #: Locations in the sample that the cuts are made from: at least so many, so many for each group, and never more than the last.
@@ -129,7 +130,7 @@ def near_locations(located: DataFrame, metres: float, sample: int = SAMPLE, grou
                 yield pd.DataFrame({"g": leaf[at_], "i": i, "j": j, "asks": asks, "found": found, "place": name[at_], **{c: xyz[at_, n] for n, c in enumerate("xyz")}})
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _groups(batches, ["g", "i", "j"]):
+        for pdf in sorted_groups(batches, ["g", "i", "j"]):
             xyz, name = pdf[["x", "y", "z"]].to_numpy(), pdf["place"].to_numpy()
             asks, found = np.flatnonzero(pdf["asks"]), np.flatnonzero(pdf["found"])
             held, n = [], 0
@@ -153,27 +154,6 @@ def _pair_frame(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
     return pd.DataFrame({"place_a": a, "place_b": b})
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of rows that are sorted by keys, one at a time."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        k = b[keys].to_numpy()
-        starts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        cuts = [0, *starts, len(b)]
-        if held and (held[-1][keys].to_numpy()[-1] != k[0]).any():
-            yield pd.concat(held)
-            held = []
-        for a, z in zip(cuts[:-1], cuts[1:]):
-            held.append(b.iloc[a:z])
-            if z < len(b):
-                yield pd.concat(held)
-                held = []
-    if held:
-        yield pd.concat(held)
-
-
 def near_pairs(points: DataFrame, crs: DataFrame, metres: float = 250.0) -> DataFrame:
     """pt_a, pt_b (pt_a < pt_b): different pt_id at most ``metres`` apart on the great circle.
 

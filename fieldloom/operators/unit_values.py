@@ -9,17 +9,20 @@ the source's recorded values, in the common unit, is in the unit of that factor.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.changepoint import TOLERANCE, level_changes, nearest_factor
 from fieldloom.meta.unit import parse_unit
-from fieldloom.plans.scale import broadcast_if_small, checkpointed
+from fieldloom.plans.ordered import sorted_groups
+from fieldloom.plans.scale import broadcast_if_small, checkpointed, spread
 
 # The common unit of each quantity, and whether a mass of water per area is a layer of it.
 COMMON = {
@@ -90,10 +93,6 @@ def recorded(quantity: str | None, value: float | None, text: str | None, units:
     return value, unit_in_name(quantity, long_name)
 
 
-def usable(value: float | None) -> bool:
-    return value is not None and value == value and abs(value) < FILL_FROM
-
-
 def infer_units(quantity: str, raw: np.ndarray, level: float, deviation: float) -> list[str | None]:
     """The unit of each value of a history without units: by the level of its segment against that of the recorded values.
 
@@ -117,13 +116,9 @@ def infer_units(quantity: str, raw: np.ndarray, level: float, deviation: float)
     return out
 
 
-def _is_common(c: tuple[float, float] | None) -> bool:
-    return c is not None and c[1] == 0.0 and abs(c[0] - 1.0) < 1e-12
-
-
 def _inferred(parsed: DataFrame) -> DataFrame:
     """The rows without a known unit, with the units that their histories tell."""
-    logs = parsed.where("origin = 'recorded' and common_value > 0").withColumn("log", F.log("common_value"))
+    logs = parsed.where("origin = 'recorded'").withColumn("common_value", _common()).where("common_value > 0").withColumn("log", F.log("common_value"))
     middle, quarters = F.percentile_approx("log", 0.5, 10_000), F.percentile_approx("log", [0.25, 0.75], 10_000)
     width = (quarters[1] - quarters[0]) / 1.349
     by_source = logs.groupBy("source", "quantity").agg(middle.alias("level"), width.alias("own"), F.count("*").alias("n"))
@@ -142,27 +137,87 @@ def _inferred(parsed: DataFrame) -> DataFrame:
     blocks = F.array_compact(F.array(own, F.when((within < BESIDE) & (own > 0), own - 1), F.when(within >= BLOCK - BESIDE, own + 1)))
     rows = rows.select("sample_id", "item", "quantity", "value", "unit", "source", "position", "level", "deviation", F.explode(blocks).alias("block"))
 
-    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        quantity, level, deviation = pdf["quantity"].iloc[0], pdf["level"].iloc[0], pdf["deviation"].iloc[0]
-        guess = infer_units(quantity, pdf["value"].to_numpy(), level, deviation) if quantity in INFERABLE and level == level and level is not None else [None] * len(pdf)
-        out = pdf[["sample_id", "item", "quantity", "value", "unit"]].copy()
-        c = [conversion(quantity, g) if g else None for g in guess]
-        out["unit"] = [g or (u if isinstance(u, str) else None) for g, u in zip(guess, pdf["unit"])]
-        out["origin"] = ["inferred" if g else "unknown" for g in guess]
-        out["common_value"] = pd.Series([v * k[0] + k[1] if k else None for v, k in zip(pdf["value"], c)], index=out.index, dtype="float64")
-        out["same"] = [_is_common(k) for k in c]
-        return out[(pdf["position"] // BLOCK == pdf["block"]).to_numpy()]
-
+    def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in sorted_groups(batches, ["source", "block"]):
+            quantity, level, deviation = pdf["quantity"].iloc[0], pdf["level"].iloc[0], pdf["deviation"].iloc[0]
+            guess = infer_units(quantity, pdf["value"].to_numpy(), level, deviation)
+            home = (pdf["position"].to_numpy() // BLOCK) == pdf["block"].iloc[0]
+            c = [conversion(quantity, g) if g else None for g in guess]
+            out = pdf[["sample_id", "item", "quantity", "value", "unit"]].copy()
+            out["unit"] = [g or (u if isinstance(u, str) else None) for g, u in zip(guess, pdf["unit"])]
+            out["a"], out["b"] = (np.array([k[i] if k else np.nan for k in c]) for i in (0, 1))
+            yield out[home]
+
+    # a history without a level, or of a quantity whose units aren't inferred, has nothing to be told by
+    told = F.col("level").isNotNull() & F.col("deviation").isNotNull() & F.col("quantity").isin(sorted(INFERABLE))
+    columns = ["sample_id", "item", "quantity", "value", "unit"]
+    plain = rows.where(~F.coalesce(told, F.lit(False)) & (F.col("block") == F.floor(F.col("position") / BLOCK))).select(*columns, F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
     # a fixed number of partitions: small rows of many groups would be coalesced into one task
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, "source", "block").groupBy("source", "block").applyInPandas(segment, _VALUES)
+    sought = rows.where(told).repartition(tasks, "source", "block").sortWithinPartitions("source", "block", "position")
+    found = sought.mapInPandas(segment, "sample_id long, item string, quantity string, value double, unit string, a double, b double").withColumns({c: F.nanvl(c, F.lit(None)) for c in "ab"})
+    return plain.unionByName(found).withColumn("origin", F.when(F.col("a").isNotNull(), "inferred").otherwise("unknown"))
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, list[str | None]]:
+    """Numbers of a text column's values, and the values; null is the first one."""
+    held = column.dictionary_encode()
+    return held.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1, [None, *held.dictionary.to_pylist()]
 
 
-_VALUES = "sample_id long, item string, quantity string, value double, unit string, origin string, common_value double, same boolean"
+def _told(quantity: tuple[np.ndarray, list], text: tuple[np.ndarray, list], unit_of: Callable[[str | None, str | None], str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(a, b, unit) of each row by its quantity and a text; each different pair is read once."""
+    pairs, at = np.unique(quantity[0] * len(text[1]) + text[0], return_inverse=True)
+    units = [unit_of(quantity[1][k // len(text[1])], text[1][k % len(text[1])]) for k in pairs.tolist()]
+    factors = [conversion(quantity[1][k // len(text[1])], u) for k, u in zip(pairs.tolist(), units)]
+    a, b = (np.array([np.nan if f is None else f[i] for f in factors]) for i in (0, 1))
+    known = pa.array([u.strip() if u is not None and f is not None else None for u, f in zip(units, factors)], pa.string())
+    return a[at], b[at], known.take(pa.array(at))
 
 
-def values_in_common_units(samples: DataFrame, infer: bool = True) -> DataFrame:
+def _factors(rows: DataFrame) -> DataFrame:
+    """Adds a, b and unit of the field's value (from its text, its attribute or its long name) and depth_a, depth_b.
+
+    Texts are compared as Arrow dictionaries, so an expression is parsed once for each batch it is in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            quantity = _codes(column["quantity"])
+            a, b, unit = _told(quantity, _codes(column["own"]), lambda _, u: u)
+            for name, unit_of in (("field_units", lambda _, u: u), ("long_name", unit_in_name)):
+                a2, b2, unit2 = _told(quantity, _codes(column[name]), unit_of)
+                b = np.where(np.isnan(a), b2, b)
+                unit, a = pc.coalesce(unit, unit2), np.where(np.isnan(a), a2, a)
+            depth_a, depth_b, _ = _told((np.zeros(len(a), np.int64), ["depth"]), _codes(column["depth_units"]), lambda _, u: u)
+            kept = [n for n in batch.schema.names if n not in ("own", "field_units", "long_name")]
+            number = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v))
+            yield pa.RecordBatch.from_arrays([*[column[n] for n in kept], number(a), number(b), unit, number(depth_a), number(depth_b)], names=[*kept, "a", "b", "unit", "depth_a", "depth_b"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("own", "field_units", "long_name"))
+    return rows.mapInArrow(run, f"{kept}, a double, b double, unit string, depth_a double, depth_b double")
+
+
+_NUMBER = r"(?sU)^\s*([+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+(?![\d.]))?)\s*(.*?)\s*$"
+
+
+def _items(samples: DataFrame) -> DataFrame:
+    """sample_id, item, quantity, value, unit, a, b, source, sampled_at of each usable value; a and b are null without a known unit."""
+    rows = samples.where(F.col("sample_id").isNotNull()).select(
+        F.col("sample_id").cast("long").alias("sample_id"), "sampled_at", F.to_json(F.struct("dataset", "ncvar", "standard_name")).alias("source"), F.col("standard_name").alias("quantity"), "long_name", "field_units", "depth_units",
+        F.col("data_value").cast("double").alias("value"), F.col("depth_value").cast("double").alias("depth_value"), F.when(F.col("data_value").isNull(), F.col("data_text")).alias("text"))
+    rows = rows.withColumns({"number": F.replace(F.regexp_extract("text", _NUMBER, 1), F.lit(","), F.lit(".")), "own": F.nullif(F.regexp_extract("text", _NUMBER, 2), F.lit(""))})
+    bracketed = (F.length("own") > 1) & F.concat(F.substring("own", 1, 1), F.substring("own", -1, 1)).isin("[]", "()")
+    rows = rows.withColumns({"value": F.coalesce("value", F.expr("try_cast(number as double)")), "own": F.when(bracketed, F.trim(F.expr("substring(own, 2, length(own) - 2)"))).otherwise(F.col("own"))})
+    rows = _factors(spread(rows.drop("text", "number")))
+    item = lambda name, quantity, value, unit, a, b: F.struct(F.lit(name).alias("item"), quantity.alias("quantity"), F.col(value).alias("value"), F.col(unit).alias("unit"), F.col(a).alias("a"), F.col(b).alias("b"))
+    both = F.array(item("field", F.col("quantity"), "value", "unit", "a", "b"), item("depth", F.lit("depth"), "depth_value", "depth_units", "depth_a", "depth_b"))
+    usable_value = lambda x: x["value"].isNotNull() & ~F.isnan(x["value"]) & (F.abs(x["value"]) < FILL_FROM)
+    return rows.select("sample_id", "sampled_at", "source", F.explode(F.filter(both, usable_value)).alias("x")).select("sample_id", "x.*", F.concat(F.col("x.item"), F.lit(" "), F.col("source")).alias("source"), "sampled_at")
+
+
+def values_in_common_units(samples: DataFrame) -> DataFrame:
     """One row for each usable value: sample_id, item, quantity, value, unit, origin, common_value, micro.
 
     ``item`` is field or depth; ``value`` and ``unit`` are as recorded; ``origin`` is recorded, inferred
@@ -173,42 +228,24 @@ def values_in_common_units(samples: DataFrame, infer: bool = True) -> DataFrame:
     are read with ``BESIDE`` values of both neighbours, against the level of all its recorded values.
     """
     used = ["sample_id", "dataset", "ncvar", "standard_name", "long_name", "sampled_at", "data_value", "data_text", "field_units", "depth_value", "depth_units"]
-    rows = samples.where(F.col("sample_id").isNotNull()).select(*used).distinct()
-    # null and NaN differ here, so nulls travel as a flag through pandas
-    rows = rows.withColumns({"no_value": F.col("data_value").isNull(), "no_depth": F.col("depth_value").isNull(), "at": F.to_json(F.struct("dataset", "ncvar", "standard_name"))})
-
-    def text(x: object) -> str | None:
-        return x if isinstance(x, str) else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out: list[tuple] = []
-            for sample, source, when, quantity, name, value, words, units, depth, depth_units, no_value, no_depth in zip(
-                b["sample_id"], b["at"], b["sampled_at"], b["standard_name"], b["long_name"], b["data_value"], b["data_text"], b["field_units"], b["depth_value"], b["depth_units"], b["no_value"], b["no_depth"]
-            ):
-                quantity = text(quantity)
-                number, unit = recorded(quantity, None if no_value else value, text(words), text(units), text(name))
-                found = [("field", quantity, number, unit)] if usable(number) else []
-                if not no_depth and usable(depth):
-                    found.append(("depth", "depth", depth, text(depth_units)))
-                for item, kind, v, u in found:
-                    c = conversion(kind, u)
-                    out.append((sample, item, kind, v, u, "recorded" if c else "unknown", v * c[0] + c[1] if c else None, _is_common(c), f"{item} {source}", when))
-            pdf = pd.DataFrame(out, columns=["sample_id", "item", "quantity", "value", "unit", "origin", "common_value", "same", "source", "sampled_at"])
-            yield pdf.astype({"common_value": "float64"})
-
-    kind = samples.schema["sampled_at"].dataType.simpleString()
-    done = rows.mapInPandas(run, f"{_VALUES}, source string, sampled_at {kind}")
-    columns = ["sample_id", "item", "quantity", "value", "unit", "origin", "common_value", "same"]
-    if infer:
-        done = checkpointed(done)
-        done = done.where("origin = 'recorded'").select(*columns).unionByName(_inferred(done))
-    done = done.select(*columns)
-    millionths = F.round(F.col("common_value") * 1e6)
-    return done.withColumn("micro", F.when(~F.isnan("common_value") & (F.abs(millionths) < 9e18), millionths.cast("long"))).withColumn("common_value", F.nanvl("common_value", F.lit(None)))
+    found = checkpointed(_items(samples.select(*used).distinct()).withColumn("origin", F.when(F.col("a").isNotNull(), "recorded").otherwise("unknown")))
+    columns = ["sample_id", "item", "quantity", "value", "unit", "origin", "a", "b"]
+    done = found.where("origin = 'recorded'").select(*columns).unionByName(_inferred(found).select(*columns))
+    return done.withColumn("common_value", _common()).select("sample_id", "item", "quantity", "value", "unit", "origin", "common_value", _millionths().alias("micro"))
+
+
+def _common() -> Column:
+    """The value in the common unit; null without a known unit, or beyond what a number holds."""
+    return F.nanvl(F.col("value") * F.col("a") + F.col("b"), F.lit(None))
+
+
+def _millionths() -> Column:
+    rounded = F.round(F.col("common_value") * 1e6)
+    return F.when(F.abs(rounded) < 9e18, rounded.cast("long"))
 
 
 def other_units(samples: DataFrame) -> DataFrame:
     """sample_id, item, micro of the values recorded in a known unit other than the common one."""
-    found = values_in_common_units(samples, infer=False)
-    return found.where((F.col("origin") == "recorded") & ~F.col("same") & F.col("micro").isNotNull()).select("sample_id", "item", "micro").distinct()
+    other = F.col("a").isNotNull() & ~((F.col("b") == 0.0) & (F.abs(F.col("a") - 1.0) < 1e-12))
+    found = _items(samples).where(other).withColumn("common_value", _common())
+    return found.select("sample_id", "item", _millionths().alias("micro")).where("micro is not null").distinct()

@@ -94,6 +94,23 @@ r AS (
 SELECT file_id, CAST(line_no AS INTEGER) AS line_no FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset, vars, t, p, v ORDER BY written_at, file_id, line_no) AS k FROM r WHERE t IS NOT NULL AND p IS NOT NULL)
 WHERE k > 1""",
+    "p6_found": """
+WITH u(name, kind, a, b) AS (VALUES ('m', 'L', 1, 0), ('metre', 'L', 1, 0), ('metres', 'L', 1, 0), ('meters', 'L', 1, 0), ('meter', 'L', 1, 0), ('cm', 'L', 0.01, 0), ('centimetre', 'L', 0.01, 0), ('centimeter', 'L', 0.01, 0), ('mm', 'L', 0.001, 0), ('millimetre', 'L', 0.001, 0), ('millimeter', 'L', 0.001, 0),
+    ('km', 'L', 1000, 0), ('in', 'L', 0.0254, 0), ('inch', 'L', 0.0254, 0), ('inches', 'L', 0.0254, 0), ('ft', 'L', 0.3048, 0), ('foot', 'L', 0.3048, 0), ('feet', 'L', 0.3048, 0), ('fathom', 'L', 1.8288, 0), ('fathoms', 'L', 1.8288, 0),
+    ('kg m-2', 'W', 0.001, 0), ('kg m**-2', 'W', 0.001, 0), ('kg/m2', 'W', 0.001, 0), ('l/m2', 'W', 0.001, 0), ('l m-2', 'W', 0.001, 0), ('1', 'R', 1, 0), ('fraction', 'R', 1, 0), ('%', 'R', 0.01, 0), ('pct', 'R', 0.01, 0), ('percent', 'R', 0.01, 0),
+    ('k', 'T', 1, 0), ('kelvin', 'T', 1, 0), ('degk', 'T', 1, 0), ('degc', 'T', 1, 273.15), ('deg c', 'T', 1, 273.15), ('°c', 'T', 1, 273.15), ('degrees_c', 'T', 1, 273.15), ('celsius', 'T', 1, 273.15), ('degf', 'T', 5.0::DOUBLE / 9, 459.67 * 5.0::DOUBLE / 9), ('deg f', 'T', 5.0::DOUBLE / 9, 459.67 * 5.0::DOUBLE / 9), ('°f', 'T', 5.0::DOUBLE / 9, 459.67 * 5.0::DOUBLE / 9), ('fahrenheit', 'T', 5.0::DOUBLE / 9, 459.67 * 5.0::DOUBLE / 9),
+    ('pa', 'P', 1, 0), ('pascal', 'P', 1, 0), ('n m-2', 'P', 1, 0), ('hpa', 'P', 100, 0), ('mb', 'P', 100, 0), ('mbar', 'P', 100, 0), ('millibar', 'P', 100, 0), ('kpa', 'P', 1000, 0), ('kilopascal', 'P', 1000, 0), ('bar', 'P', 100000, 0), ('atm', 'P', 101325, 0), ('atmosphere', 'P', 101325, 0),
+    ('m s-1', 'V', 1, 0), ('m s**-1', 'V', 1, 0), ('m/s', 'V', 1, 0), ('metre/second', 'V', 1, 0), ('cm s-1', 'V', 0.01, 0), ('cm/s', 'V', 0.01, 0), ('km h-1', 'V', 1 / 3.6::DOUBLE, 0), ('km/h', 'V', 1 / 3.6::DOUBLE, 0), ('kmh', 'V', 1 / 3.6::DOUBLE, 0), ('kt', 'V', 1852 / 3600::DOUBLE, 0), ('kn', 'V', 1852 / 3600::DOUBLE, 0), ('knots', 'V', 1852 / 3600::DOUBLE, 0), ('mph', 'V', 0.44704, 0), ('mile/hour', 'V', 0.44704, 0)),
+c AS (SELECT q, name, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM u JOIN (VALUES ('air_temperature', 'T'), ('precipitation_amount', 'L'), ('precipitation_amount', 'W'), ('soil_water', 'L'), ('soil_water', 'W'), ('surface_air_pressure', 'P'), ('wind_speed', 'V'), ('relative_humidity', 'R'), ('depth', 'L')) AS k(q, kind) USING (kind)),
+s AS (SELECT DISTINCT * FROM field_samples WHERE sample_id IS NOT NULL),
+t AS (SELECT sample_id, standard_name AS q, data_value, field_units, depth_value, depth_units, long_name, CASE WHEN data_value IS NULL THEN regexp_extract(data_text, '^ *([+-]?[0-9]*[.,]?[0-9]+|[0-9]+[.,])', 1) END AS n, CASE WHEN data_value IS NULL THEN trim(regexp_replace(data_text, '^ *([+-]?[0-9]*[.,]?[0-9]+|[0-9]+[.,]) *', ''), ' []()') END AS own FROM s),
+r AS (SELECT 'field' AS item, sample_id, q, coalesce(data_value, TRY_CAST(replace(n, ',', '.') AS DOUBLE)) AS v, [own, field_units, regexp_extract(long_name, '(?:\\[([^\\[\\]]+)\\]) *$', 1), regexp_extract(long_name, '(?:[(]([^()]+)[)]) *$', 1), regexp_extract(long_name, 'units?: *(.+?) *$', 1), regexp_extract(long_name, ' in ([^ ].*?) *$', 1)] AS said FROM t
+  UNION ALL SELECT 'depth', sample_id, 'depth', depth_value, [depth_units] FROM t),
+f AS (SELECT row_number() OVER () AS id, * FROM r WHERE v IS NOT NULL AND NOT isnan(v) AND abs(v) < 1e20),
+e AS (SELECT id, item, sample_id, q, v, unnest(said) AS said, generate_subscripts(said, 1) AS place FROM f),
+m AS (SELECT id, item, sample_id, v, place, coalesce(x.a, y.a * TRY_CAST(regexp_extract(trim(said), '^([0-9.]+(e-?[0-9]+)?) +[^0-9 ]', 1) AS DOUBLE)) AS a, coalesce(x.b, y.b) AS b FROM e LEFT JOIN c x ON x.q = e.q AND x.name = lower(trim(said)) LEFT JOIN c y ON y.q = e.q AND y.name = lower(regexp_replace(trim(said), '^[0-9.]+(e-?[0-9]+)? +', '')) AND regexp_matches(trim(said), '^[0-9.]+(e-?[0-9]+)? +[^0-9 ]')),
+o AS (SELECT DISTINCT ON (id) * FROM m WHERE a IS NOT NULL ORDER BY id, place)
+SELECT DISTINCT sample_id, item, CAST(round(round((v * a + b) * 1000000, 4)) AS BIGINT) AS micro FROM o WHERE NOT (a = 1 AND b = 0)""",
 }
 
 

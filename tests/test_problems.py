@@ -380,6 +380,20 @@ def test_whole_histories(spark):
     assert (deep["origin"] == "inferred").sum() == 5 and np.allclose(deep["common_value"], 2.0)
 
 
+@pytest.mark.parametrize("query,name", [(values_in_common_units, "field_samples"), (normalise_labels, "time_coords")])
+def test_partitions_decide_nothing(spark, data, query, name):
+    """The same rows at any number of partitions."""
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = query(table(spark, data, name))
+            found.append(sorted(map(str, out.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
 def test_changepoints():
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.normal(0, 0.1, 50), rng.normal(3, 0.1, 40), rng.normal(0, 0.1, 30)])
