@@ -20,7 +20,7 @@ from fieldloom.operators.regular_grid import missing_periods, regular_grid
 from fieldloom.operators.schema_drift import changes, promoted, schema_changes, type_of, unified_schema
 from fieldloom.operators.small_files import consolidate, kept_records, records, surplus_copies
 from fieldloom.operators.spatial_near import Regions, chord, geographic, near_locations, near_pairs, points_in_regions
-from fieldloom.operators.time_labels import Viterbi, normalise_labels, one_instant, zone_names
+from fieldloom.operators.time_labels import _readings as label_readings, _runs, cheapest, crossing, link_runs, normalise_labels, one_instant, zone_names
 from fieldloom.operators.unit_values import conversion, other_units, recorded, unit_in_name, value_in_text, values_in_common_units
 from fieldloom.plans.scale import table
 from fieldloom.sources.parquet_blocks import Footer, merge_files, merge_folder, plan_bins
@@ -251,10 +251,35 @@ def test_label_rounding():
 
 
 def test_viterbi():
-    path = Viterbi()
-    for states in ([("d/m/y", 10), ("m/d/y", 100)], [("d/m/y", 11), ("m/d/y", 40)], [("d/m/y", 12)]):
-        path.add(states)
-    assert path.decide() == [0, 0, 0] and path.decide() == []
+    run = [(1, [("a", 10)]), (2, [("b", 11), ("a", 12)]), (3, [("a", 5), ("b", 13)]), (4, [("b", 14)])]
+    # two switches are dearer than one, and a jump back than a switch
+    assert cheapest(run) in ([0, 0, 1, 0], [0, 1, 1, 0]) and cheapest(run, last=0)[-1] == 0
+    assert cheapest([(9, [("x", 1), ("y", 1)])]) == [0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.floats(0, 1))
+def test_linked_runs(seed, n, share):
+    """Whatever partitions a sequence is cut into, the choice is that of the whole one."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for dataset in ("a", "b", None):
+        for _ in range(int(rng.integers(0, n))):
+            states = [(str(rng.choice(["x", "y", "z"])), int(ns)) for ns in rng.choice(50, 1 if rng.random() < share else int(rng.integers(2, 4)), replace=False)]
+            rows.append((dataset, len(states), json.dumps(states), len(rows), len(rows), []))
+    frame = lambda part: pd.DataFrame(part, columns=["dataset", "n", "states", "key", "coord_id", "interpretations"])
+
+    def chosen(cuts):
+        parts = [rows[a:z] for a, z in zip([0, *cuts], [*cuts, len(rows)]) if z > a]
+        runs = [(p, place, run) for p, part in enumerate(parts) for place, run in _runs(iter([frame(part[: len(part) // 2]), frame(part[len(part) // 2:])]))]
+        sums = [(p, place, run[0][0], label_readings(run)[0][1], label_readings(run)[-1][1], crossing(label_readings(run))) for p, place, run in runs if place != "inner"]
+        ends = link_runs(sums)
+        return {row[4]: k for p, place, run in runs for row, k in zip(run, cheapest(label_readings(run), *(ends[p, place] if place != "inner" else (None, None)))) if row[1] > 1}
+
+    whole = chosen([])
+    assert set(whole) == {r[4] for r in rows if r[1] > 1}
+    for _ in range(3):
+        assert chosen(sorted(rng.choice(len(rows) + 1, min(len(rows), int(rng.integers(0, 6))), replace=False).tolist())) == whole
 
 
 LABELS = "coord_id long, dataset string, coord_text string, coord_encoding string, loaded_at timestamp_ntz, form string"
