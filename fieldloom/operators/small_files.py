@@ -12,10 +12,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.plans.scale import shared_path
+from fieldloom.plans.scale import shared_path, spread, stored
 from fieldloom.sources.parquet_blocks import merge_folder
 
 KEY = ["dataset", "vars", "t_us", "points", "value", "odd"]
+_PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.]\d{1,6})?)?Z?$"
+_REST = "CASE WHEN instr(stamp, ':') = 0 THEN ' 00:00:00Z' WHEN length(stamp) - length(replace(stamp, ':', '')) = 1 THEN ':00Z' ELSE 'Z' END"
 _STAMP = r"^\d{4}-\d{1,2}-\d{1,2}([T ]+\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?)?\s*(Z|z|[+-]\d{2}:?\d{2})?$"
 
 
@@ -28,23 +30,27 @@ def records(files: DataFrame) -> DataFrame:
     that can't be read stands in ``odd`` as text, which is null otherwise. Lines are those between
     line feeds, carriage returns and blanks around an entry don't count. Null payloads have none.
     """
-    lines = files.select("file_id", "written_at", "dataset", "vars", F.posexplode(F.split("payload", "\n")).alias("pos", "line"))
-    part = lambda i: F.trim(F.regexp_replace(F.get("entries", F.lit(i)), r"[\r\t]", " "))
+    lines = spread(files.select("file_id", "written_at", "dataset", "vars", "payload").where(F.col("payload").isNotNull()))
+    lines = lines.select("file_id", "written_at", "dataset", "vars", F.posexplode(F.split("payload", "\n")).alias("pos", "line"))
+    part = lambda i: F.trim(F.translate(F.get("entries", F.lit(i)), "\r\t", "  "))
     lines = (
         lines.where(F.instr("line", ",") > 0)
         .where(~F.ltrim("line").startswith("#"))
         .withColumn("entries", F.split("line", ","))
         .where(F.size("entries") >= 3)
         .withColumns({"e0": part(0), "e1": part(1), "e2": part(2)})
+        .where(F.col("e2") != "")
+        .drop("line", "entries")
     )
-    lines = lines.where(F.col("e0").rlike(_STAMP) & (F.col("e2") != ""))
+    # most times are written plainly; others are taken apart
+    plain = F.col("e0").rlike(_PLAIN)
     zone = F.regexp_extract("e0", r"([+-])(\d{2}):?(\d{2})$", 0)
     has_zone = F.col("e0").rlike(r":\d{2}([.]\d+)?\s*[+-]\d{2}:?\d{2}$")
     sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    shift = F.when(has_zone, sign * (F.substring(zone, 2, 2).cast("long") * 3600 + F.expr("right(e0, 2)").cast("long") * 60)).otherwise(F.lit(0))
+    shift = F.when(~plain & has_zone, sign * (F.substring(zone, 2, 2).cast("long") * 3600 + F.expr("right(e0, 2)").cast("long") * 60)).otherwise(F.lit(0))
     bare = F.when(has_zone, F.regexp_replace("e0", r"\s*[+-]\d{2}:?\d{2}$", "")).otherwise(F.regexp_replace("e0", r"\s*[Zz]$", ""))
-    lines = lines.withColumn("stamp", bare).withColumn("shift", shift)
-    lines = lines.withColumn("t_us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', try_cast(stamp as timestamp_ntz))") - F.col("shift") * 1_000_000)
+    lines = lines.withColumn("stamp", F.when(plain, F.rtrim("e0", F.lit("Z"))).when(F.col("e0").rlike(_STAMP), F.regexp_replace(bare, "[T ]+", " "))).where("stamp is not null").withColumn("shift", shift)
+    lines = lines.withColumn("t_us", F.expr(f"unix_micros(try_cast(concat(stamp, {_REST}) as timestamp))") - F.col("shift") * 1_000_000)
     number = F.expr("try_cast(e2 as double)")
     missing = F.lower("e2").isin("nan", "na", "n/a", "null", "none", "-")
     return lines.withColumns({
@@ -82,7 +88,7 @@ def kept_records(files: DataFrame) -> DataFrame:
 def consolidate(files: DataFrame, out: str | None = None, target_bytes: int = 256 * 1024 * 1024) -> DataFrame:
     """Write each record once and merge the written parts into files of about ``target_bytes``.
 
-    Returns one row for each merged file, see :func:`merge_folder`. ``out`` is a folder that all
+    Returns one row for each merged file in ``out``/merged, see :func:`merge_folder`. ``out`` is a folder that all
     executors share; by default a new one below the folder named by spark.checkpoint.dir.
     """
     spark = files.sparkSession

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.plans.scale import broadcast_if_small, checkpointed
+
 
 def with_next(df: DataFrame, source: DataFrame, keys: list[str], chunk: str, order: str, out: str) -> DataFrame:
     """Add ``out``, the next value of ``order`` within ``keys``; null for the last row of a key.
@@ -60,6 +62,24 @@ def with_previous(df: DataFrame, keys: list[str], chunk: str, order: str, payloa
     )
 
 
+def with_running_total(df: DataFrame, keys: list[str], order: list[str], size: str, out: str) -> DataFrame:
+    """Add ``out``, the sum of ``size`` over the rows before each one of its key, which may be spread over many tasks.
+
+    ``keys`` and ``order`` together are unique. Rows are range-partitioned; each partition's sums are
+    moved by those of the partitions before it.
+    """
+    rows = checkpointed(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)).withColumn("__part", F.spark_partition_id())
+    parts = rows.groupBy(*keys, "__part").agg(F.sum(size).alias("__size"))
+    moved = F.sum("__size").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    moves = parts.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__of"), F.coalesce(moved, F.lit(0)).alias("__moved"))
+    within = F.sum(size).over(Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__within", F.coalesce(within, F.lit(0)))
+    same = (F.col("__part") == F.col("__of"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(broadcast_if_small(moves), same).withColumn(out, F.col("__within") + F.col("__moved")).select(*df.columns, out)
+
+
 def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of rows that are sorted by keys, one at a time, in a task that streams them.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from fieldloom.operators.small_files import consolidate, kept_records, surplus_c
 from fieldloom.operators.spatial_near import geographic, near_pairs, points_in_regions
 from fieldloom.operators.time_labels import normalise_labels, one_instant
 from fieldloom.operators.unit_values import other_units, values_in_common_units
-from fieldloom.plans.scale import table
+from fieldloom.plans.scale import shared_path, table
 
 #: Regions of the query p2_regions: (name, ring of (latitude, longitude)).
 REGIONS = [
@@ -56,6 +57,18 @@ g AS (
               WHEN gridded AND kind = 'latitude_longitude' THEN grid_longitude END AS lon FROM r)"""
 
 
+_RECORDS = """
+WITH l AS (
+  SELECT file_id, written_at, dataset, vars, unnest(string_split(payload, chr(10))) AS line, generate_subscripts(string_split(payload, chr(10)), 1) AS line_no
+  FROM dataset_files WHERE payload IS NOT NULL),
+e AS (SELECT *, string_split(replace(line, chr(13), ''), ',') AS x FROM l WHERE NOT starts_with(ltrim(line), '#')),
+r AS (
+  SELECT file_id, written_at, dataset, vars, line_no, TRY_CAST(replace(replace(trim(x[1]), 'Z', ''), 'T', ' ') || CASE WHEN length(replace(trim(x[1]), 'Z', '')) = 16 THEN ':00' ELSE '' END AS TIMESTAMP) AS t,
+         TRY_CAST(trim(x[2]) AS DOUBLE) AS p, CASE WHEN lower(trim(x[3])) = 'nan' THEN NULL ELSE TRY_CAST(trim(x[3]) AS DOUBLE) END AS v
+  FROM e WHERE len(x) >= 3 AND trim(x[3]) <> '')
+"""
+
+
 def _edges() -> str:
     """The rings' edges as rows, moved over the date line where they cross it."""
     rows = []
@@ -82,18 +95,13 @@ p AS (SELECT DISTINCT pt_id, lat, ((lon + 180) % 360 + 360) % 360 - 180 AS lon F
 e AS (SELECT * FROM (VALUES {_edges()}) AS v(region, shift, la0, lo0, la1, lo1) WHERE la0 < la1),
 h AS (SELECT pt_id, lat, lon, region, shift FROM p JOIN e ON lat >= la0 AND lat < la1 AND lo0 + (lat - la0) * (lo1 - lo0) / (la1 - la0) <= lon GROUP BY ALL HAVING count(*) % 2 = 1)
 SELECT DISTINCT pt_id, region FROM h""",
-    "p3_found": """
-WITH l AS (
-  SELECT file_id, written_at, dataset, vars, unnest(string_split(payload, chr(10))) AS line, generate_subscripts(string_split(payload, chr(10)), 1) AS line_no
-  FROM dataset_files WHERE payload IS NOT NULL),
-e AS (SELECT *, string_split(replace(line, chr(13), ''), ',') AS x FROM l WHERE NOT starts_with(ltrim(line), '#')),
-r AS (
-  SELECT file_id, written_at, dataset, vars, line_no, TRY_CAST(replace(replace(trim(x[1]), 'Z', ''), 'T', ' ') || CASE WHEN length(replace(trim(x[1]), 'Z', '')) = 16 THEN ':00' ELSE '' END AS TIMESTAMP) AS t,
-         TRY_CAST(trim(x[2]) AS DOUBLE) AS p, CASE WHEN lower(trim(x[3])) = 'nan' THEN NULL ELSE TRY_CAST(trim(x[3]) AS DOUBLE) END AS v
-  FROM e WHERE len(x) >= 3 AND trim(x[3]) <> '')
+    "p3_found": _RECORDS + """
 SELECT file_id, CAST(line_no AS INTEGER) AS line_no FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset, vars, t, p, v ORDER BY written_at, file_id, line_no) AS k FROM r WHERE t IS NOT NULL AND p IS NOT NULL)
 WHERE k > 1""",
+    **{k: _RECORDS + """
+SELECT dataset, vars, epoch_us(t) AS t_us, p AS points, v AS value, count(*) AS copies, arg_min(file_id, (written_at, file_id, line_no)) AS file_id, CAST(arg_min(line_no, (written_at, file_id, line_no)) AS INTEGER) AS line_no
+FROM r WHERE t IS NOT NULL AND p IS NOT NULL GROUP BY ALL""" for k in ("p3_records", "p3_merged")},
     "p6_found": """
 WITH u(name, kind, a, b) AS (VALUES ('m', 'L', 1, 0), ('metre', 'L', 1, 0), ('metres', 'L', 1, 0), ('meters', 'L', 1, 0), ('meter', 'L', 1, 0), ('cm', 'L', 0.01, 0), ('centimetre', 'L', 0.01, 0), ('centimeter', 'L', 0.01, 0), ('mm', 'L', 0.001, 0), ('millimetre', 'L', 0.001, 0), ('millimeter', 'L', 0.001, 0),
     ('km', 'L', 1000, 0), ('in', 'L', 0.0254, 0), ('inch', 'L', 0.0254, 0), ('inches', 'L', 0.0254, 0), ('ft', 'L', 0.3048, 0), ('foot', 'L', 0.3048, 0), ('feet', 'L', 0.3048, 0), ('fathom', 'L', 1.8288, 0), ('fathoms', 'L', 1.8288, 0),
@@ -119,6 +127,17 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.groupBy("series_id").agg(F.sum((~F.col("missing")).cast("long")).alias("n_with"), F.sum(F.col("missing").cast("long")).alias("n_missing"))
 
 
+def _merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as they stand in the merged files."""
+    base = shared_path(spark, f"merged-{uuid.uuid4().hex}")
+    consolidate(table(spark, sf_dir, "dataset_files"), base).count()
+    return _shown_records(spark.read.parquet(f"{base}/merged"))
+
+
+def _shown_records(records: DataFrame) -> DataFrame:
+    return records.select("dataset", "vars", "t_us", "points", "value", "copies", "file_id", "line_no")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = table
     return {
@@ -128,8 +147,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": lambda s, d: near_pairs(t(s, d, "domain_points"), t(s, d, "domain_crs")),
         "p2_regions": lambda s, d: points_in_regions(geographic(t(s, d, "domain_points"), t(s, d, "domain_crs")), REGIONS),
         "p3_found": lambda s, d: surplus_copies(t(s, d, "dataset_files")),
-        "p3_records": lambda s, d: kept_records(t(s, d, "dataset_files")),
-        "p3_merged": lambda s, d: consolidate(t(s, d, "dataset_files")),
+        "p3_records": lambda s, d: _shown_records(kept_records(t(s, d, "dataset_files"))),
+        "p3_merged": _merged_records,
+        "p3_files": lambda s, d: consolidate(t(s, d, "dataset_files")),
         "p4_found": lambda s, d: one_instant(t(s, d, "time_coords")),
         "p4_labels": lambda s, d: normalise_labels(t(s, d, "time_coords")),
         "p5_found": lambda s, d: schema_changes(t(s, d, "dataset_files")).select("file_id", "ncvar", "change_kind"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table in the shared folder and read it: as a checkpoint, but compressed and read by column."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"stored-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared folder, without a ``file:`` scheme so that local libraries can use it."""
     base = checkpoint_dir(spark)

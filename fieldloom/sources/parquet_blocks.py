@@ -4,18 +4,31 @@ A Parquet file is a magic number, column blocks, a footer in Thrift's compact en
 and the magic number again. Blocks are position-independent: the footer holds their offsets. So a
 merged file is the blocks of its parts one after another, and a footer with the parts' row groups,
 every offset moved by what stands before. Nothing is decompressed or decoded.
+
+Copied blocks stay as small as they were, and a large file of very small blocks reads as slowly as the
+small files did. So files whose blocks are tiny on average are written anew with blocks of a good size,
+in merged files of their own; all others are copied.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.plans.ordered import with_running_total
+from fieldloom.plans.scale import checkpointed
 
+#: Mean bytes of a block below which a file is written anew, and the bytes in memory that make a new block.
+LEAST_BLOCK, NEW_BLOCK = 1024 * 1024, 128 * 1024 * 1024
 MAGIC = b"PAR1"
 COPY_BYTES = 8 * 1024 * 1024
 
@@ -147,13 +160,20 @@ def encode(kind: int, value) -> bytes:
     return bytes(w.out)
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, HDFS, object stores), and the path in it."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
 class Footer:
     """The footer of one file, and where its blocks end."""
 
     def __init__(self, path: str) -> None:
-        with open(path, "rb") as f:
-            f.seek(0, os.SEEK_END)
-            size = f.tell()
+        system, at = file_system(path)
+        with system.open_input_file(at) as f:
+            size = f.size()
             if size < 12:
                 raise ValueError(f"{path}: too short for Parquet")
             f.seek(size - 8)
@@ -163,7 +183,7 @@ class Footer:
             self.blocks_end = size - 8 - length
             f.seek(self.blocks_end)
             self.meta = _Reader(f.read(length)).value(STRUCT)
-        self.path = path
+        self.path, self.size = path, size
 
     @property
     def schema(self) -> bytes:
@@ -177,6 +197,11 @@ class Footer:
     def groups(self) -> list[dict]:
         return self.meta[4][1][1]
 
+    @property
+    def has_int96(self) -> bool:
+        """Timestamps of an old kind, which are only copied."""
+        return any(column.get(1, [I32, 0])[1] == 3 for column in self.meta[2][1][1])
+
 
 def _shift(fields: dict, keys: tuple[int, ...], by: int) -> None:
     for k in keys:
@@ -212,13 +237,15 @@ def merge_files(paths: list[str], out: str) -> dict[str, int]:
         if f.schema != schema:
             raise ValueError(f"{f.path}: its schema differs from that of {paths[0]}")
     groups: list[dict] = []
-    temporary = f"{out}.{uuid.uuid4().hex}.part"
-    os.makedirs(os.path.dirname(out), exist_ok=True)
-    with open(temporary, "wb") as target:
+    system, at = file_system(out)
+    temporary = f"{at}.{uuid.uuid4().hex}.part"
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(temporary) as target:
         target.write(MAGIC)
         for f in footers:
             by = target.tell() - 4
-            with open(f.path, "rb") as source:
+            source_system, source_at = file_system(f.path)
+            with source_system.open_input_file(source_at) as source:
                 source.seek(4)
                 left = f.blocks_end - 4
                 while left:
@@ -233,56 +260,85 @@ def merge_files(paths: list[str], out: str) -> dict[str, int]:
         meta[4] = [LIST, (STRUCT, groups)]
         footer = _Writer()
         footer.value(STRUCT, meta)
-        target.write(footer.out)
+        target.write(bytes(footer.out))
         target.write(struct.pack("<I4s", len(footer.out), MAGIC))
-    done = Footer(temporary)
     wanted = sum(sum(1 for g in Footer(p).groups if g[3][1]) for p in paths)
-    if done.schema != schema or len(done.groups) != wanted or done.rows != sum(f.rows for f in footers) or done.rows != sum(g[3][1] for g in done.groups):
-        os.remove(temporary)
+    return _finished(system, temporary, at, footers, wanted, schema) | {"copied": True}
+
+
+def _finished(system: fs.FileSystem, temporary: str, out: str, footers: list[Footer], blocks: int | None, schema: bytes | None) -> dict[str, int]:
+    """Check a written file against its parts and give it its name; the wanted blocks and schema only where they were copied."""
+    with system.open_input_file(temporary) as f:
+        found = pq.read_metadata(f)
+    size = system.get_file_info(temporary).size
+    rows = sum(f.rows for f in footers)
+    counted = sum(found.row_group(i).num_rows for i in range(found.num_row_groups))
+    written = Footer(temporary) if schema is not None and isinstance(system, fs.LocalFileSystem) else None
+    if found.num_rows != rows or counted != rows or (blocks is not None and found.num_row_groups != blocks) or (written is not None and written.schema != schema):
+        system.delete_file(temporary)
         raise ValueError(f"{out}: the merged file doesn't hold what its parts hold")
-    os.replace(temporary, out)
-    return {"n_files": len(paths), "n_blocks": wanted, "n_rows": done.rows, "n_bytes": os.path.getsize(out)}
+    system.move(temporary, out)
+    return {"n_files": len(footers), "n_blocks": found.num_row_groups, "n_rows": rows, "n_bytes": size}
 
 
-def plan_bins(sizes: list[tuple[str, str, int]], target_bytes: int) -> list[tuple[str, list[str]]]:
-    """(schema key, paths) of each merged file: files of one schema in path order, up to the target size."""
-    bins: list[tuple[str, list[str]]] = []
-    held = 0
-    for key, path, size in sorted(sizes):
-        if not bins or bins[-1][0] != key or held + size > target_bytes:
-            bins.append((key, []))
-            held = 0
-        bins[-1][1].append(path)
-        held += size
-    return bins
-
-
-def merge_folder(spark: SparkSession, source: str, out: str, target_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+def rewrite_files(paths: list[str], out: str, block_bytes: int = NEW_BLOCK) -> dict[str, int]:
+    """Write the rows of files of one schema into ``out`` in blocks of about ``block_bytes`` of memory; for files of tiny blocks."""
+    footers = [Footer(p) for p in paths]
+    for f in footers[1:]:
+        if f.schema != footers[0].schema:
+            raise ValueError(f"{f.path}: its schema differs from that of {paths[0]}")
+    system, at = file_system(out)
+    temporary = f"{at}.{uuid.uuid4().hex}.part"
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    writer, held, size = None, [], 0
+    for p in paths:
+        source_system, source_at = file_system(p)
+        with source_system.open_input_file(source_at) as source:
+            part = pq.ParquetFile(source)
+            if writer is None:
+                codec = part.metadata.row_group(0).column(0).compression if part.metadata.num_row_groups and part.metadata.num_columns else "SNAPPY"
+                schema = part.schema_arrow
+                writer = pq.ParquetWriter(temporary, schema, filesystem=system, compression="none" if codec == "UNCOMPRESSED" else codec.lower())
+            for batch in part.iter_batches():
+                held.append(batch)
+                size += batch.nbytes
+                if size >= block_bytes:
+                    writer.write_table(pa.Table.from_batches(held, schema), row_group_size=sum(map(len, held)))
+                    held, size = [], 0
+    if held:
+        writer.write_table(pa.Table.from_batches(held, schema), row_group_size=max(1, sum(map(len, held))))
+    writer.close()
+    return _finished(system, temporary, at, footers, None, None) | {"copied": False}
+
+
+def merge_folder(spark: SparkSession, source: str, out: str, target_bytes: int = 256 * 1024 * 1024, least_block: int = LEAST_BLOCK) -> DataFrame:
     """Consolidate the Parquet files below ``source`` into files of about ``target_bytes`` in ``out``.
 
-    Both folders are on storage that all executors share. One task merges one file. Returns out_file,
-    n_files, n_blocks, n_rows, n_bytes, one row for each merged file; files of different schemas
-    never share one. An empty folder gives no rows.
+    Both folders are on storage that all executors share. Spark lists the files, and the merged files
+    are cut by running totals of their sizes in path order, so neither is held by the driver; one task
+    makes one file. Returns out_file, n_files, n_blocks, n_rows, n_bytes, copied, one row for each
+    merged file; files of different schemas never share one. Files whose blocks have under
+    ``least_block`` bytes on average are written anew, all others copied. An empty folder gives no rows.
     """
-    found = [os.path.join(d, f) for d, _, names in os.walk(source) for f in names if f.endswith(".parquet") and not f.startswith(("_", "."))]
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
 
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": [hashlib.sha256(Footer(p).schema).hexdigest() for p in b["path"]], "path": b["path"], "size": [os.path.getsize(p) for p in b["path"]]})
+            footers = [Footer(p) for p in b["path"]]
+            tiny = [f.blocks_end < least_block * max(1, len(f.groups)) and not f.has_int96 for f in footers]
+            yield pd.DataFrame({"key": [hashlib.sha256(f.schema).hexdigest() for f in footers], "tiny": tiny, "path": b["path"], "size": [f.size for f in footers]})
 
-    schema = "out_file string, n_files long, n_blocks long, n_rows long, n_bytes long"
-    if not found:
-        return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame(pd.DataFrame({"path": found})).repartition(max(1, min(len(found) // 200 + 1, 1000))).mapInPandas(keys, "key string, path string, size long")
-    sizes = [(r.key, r.path, r.size) for r in listed.toLocalIterator()]
-    bins = pd.DataFrame([(i, paths) for i, (_, paths) in enumerate(plan_bins(sizes, target_bytes))], columns=["i", "paths"])
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(source).select("path")
+    files = checkpointed(listed.mapInPandas(described, "key string, tiny boolean, path string, size long"))
+    placed = with_running_total(files, ["key", "tiny"], ["path"], "size", "before")
+    groups = placed.groupBy("key", "tiny", F.floor(F.col("before") / int(target_bytes)).alias("bin")).agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    groups = checkpointed(groups)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i, paths in zip(b["i"], b["paths"]):
-                name = f"merged-{int(i):06d}.parquet"
-                yield pd.DataFrame([{"out_file": name, **merge_files(list(paths), os.path.join(out, name))}])
+            for key, tiny, n, paths in zip(b["key"], b["tiny"], b["bin"], b["paths"]):
+                name = f"merged-{key[:12]}-{'new' if tiny else 'copy'}-{int(n):06d}.parquet"
+                work = rewrite_files if tiny and len(paths) > 1 else merge_files
+                yield pd.DataFrame([{"out_file": name, **work(list(paths), f"{out.rstrip('/')}/{name}")}])
 
-    return spark.createDataFrame(bins, "i long, paths array<string>").repartition(len(bins), "i").mapInPandas(merge, schema)
+    tasks = max(1, min(groups.count(), 20_000))
+    return groups.repartition(tasks, "key", "tiny", "bin").mapInPandas(merge, "out_file string, n_files long, n_blocks long, n_rows long, n_bytes long, copied boolean")

@@ -23,7 +23,7 @@ from fieldloom.operators.spatial_near import Regions, chord, geographic, near_lo
 from fieldloom.operators.time_labels import _readings as label_readings, _runs, cheapest, crossing, link_runs, normalise_labels, one_instant, zone_names
 from fieldloom.operators.unit_values import conversion, other_units, recorded, unit_in_name, value_in_text, values_in_common_units
 from fieldloom.plans.scale import table
-from fieldloom.sources.parquet_blocks import Footer, merge_files, merge_folder, plan_bins
+from fieldloom.sources.parquet_blocks import Footer, merge_files, merge_folder
 
 T0 = datetime(2020, 1, 1)
 READINGS = "value_id long, series_id long, points int, obs_time timestamp_ntz, data_value double, arrived_at timestamp_ntz, interval_us string, t string"
@@ -203,9 +203,13 @@ def test_block_merge(spark, tmp_path):
     whole = pa.concat_tables(frames)
     assert pq.read_table(out).equals(whole) and counts["n_rows"] == whole.num_rows and counts["n_blocks"] == sum(pq.ParquetFile(source / f"{i}.parquet").num_row_groups for i in range(1, 7))
     assert spark.read.parquet(out).where("a = 305").count() == 1 and pq.ParquetFile(out).metadata.num_rows == whole.num_rows
-    merged = merge_folder(spark, str(source), str(tmp_path / "merged"), 6000).toPandas()
+    merged = merge_folder(spark, str(source), str(tmp_path / "merged"), 6000, least_block=0).toPandas()
     assert merged["n_rows"].sum() == whole.num_rows and len(merged) < 7 and merged["n_files"].sum() == 7
     assert spark.read.parquet(str(tmp_path / "merged")).count() == whole.num_rows
+    assert merged["copied"].all() and merged["n_blocks"].sum() == counts["n_blocks"]
+    # blocks of at most 50 rows are written anew as one, and the rows stay as they were
+    anew = merge_folder(spark, str(source), str(tmp_path / "anew"), 10**9).toPandas()
+    assert anew["n_blocks"].tolist() == [1] and not anew["copied"].any() and pq.read_table(tmp_path / "anew").equals(whole)
     pq.write_table(pa.table({"z": [1]}), source / "other.parquet")
     with pytest.raises(ValueError):
         merge_files([str(source / "1.parquet"), str(source / "other.parquet")], out)
@@ -215,7 +219,6 @@ def test_block_merge(spark, tmp_path):
         Footer(str(tmp_path / "bad.parquet"))
     (tmp_path / "none").mkdir()
     assert merge_folder(spark, str(tmp_path / "none"), out).count() == 0
-    assert plan_bins([("s", "a", 5), ("s", "b", 5), ("t", "c", 1)], 8) == [("s", ["a"]), ("s", ["b"]), ("t", ["c"])]
 
 
 def test_consolidate(spark, data, tmp_path):
