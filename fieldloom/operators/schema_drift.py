@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.matching import assign, name_similarity
 from fieldloom.plans.ordered import with_previous
+from fieldloom.plans.scale import broadcast_if_small, spread, stored
 
 # C and CDL names whose numpy reading differs or doesn't exist.
 _C_TYPES = {"float": "f4", "real": "f4", "int": "i4", "integer": "i4", "long": "i8", "byte": "i1", "char": "S1", "string": "str", "ushort": "u2", "uint": "u4", "ubyte": "u1", "int64": "i8", "uint64": "u8"}
@@ -129,7 +130,7 @@ def versions(files: DataFrame) -> DataFrame:
             yield b[["dataset", "vars", "start_at", "file_id"]].assign(profile=profiles)
 
     rows = files.where(F.col("field_encoding").isNotNull() & F.col("start_at").isNotNull() & F.col("file_id").isNotNull()).select("dataset", "vars", F.col("start_at").cast("timestamp_ntz").alias("start_at"), "file_id", "field_encoding", "field_properties")
-    profiles = rows.mapInPandas(read, "dataset string, vars string, start_at timestamp_ntz, file_id long, profile string").where("profile is not null")
+    profiles = spread(rows).mapInPandas(read, "dataset string, vars string, start_at timestamp_ntz, file_id long, profile string").where("profile is not null")
     # equal profiles of one start are combined before they meet
     once = profiles.groupBy("dataset", "vars", "start_at", "profile").agg(F.min("file_id").alias("file_id"))
     return once.groupBy("dataset", "vars", "start_at").agg(F.min("file_id").alias("file_id"), F.array_sort(F.collect_list("profile")).alias("profiles"))
@@ -142,7 +143,8 @@ def schema_changes(files: DataFrame) -> DataFrame:
     at once has both rows. A type that either side doesn't state is no change. The first start of a
     dataset and vars has none; null dataset or vars is a group of its own.
     """
-    steps = with_previous(versions(files).withColumn("month", F.expr("year(start_at) * 12 + month(start_at)")), ["dataset", "vars"], "month", "start_at", ["profiles"], "before")
+    # the JSON is read once: a version's row is wanted twice
+    steps = with_previous(stored(versions(files)).withColumn("month", F.expr("year(start_at) * 12 + month(start_at)")), ["dataset", "vars"], "month", "start_at", ["profiles"], "before")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,7 +162,6 @@ def schema_changes(files: DataFrame) -> DataFrame:
 
 
 
-
 def promoted(types: list[str]) -> str | None:
     """The narrowest type that holds all; text if one of them isn't a number."""
     types = sorted({t for t in types if t})
@@ -175,30 +176,59 @@ def promoted(types: list[str]) -> str | None:
         return "str"
 
 
-def unified_schema(files: DataFrame) -> DataFrame:
-    """dataset, vars, field, names, dtypes, dtype, n_starts: one consistent column for each quantity.
-
-    Columns of one quantity are one field, whatever their name; a column that doesn't say what it is
-    goes by its name. ``field`` is the quantity, ``dtype`` the narrowest type that holds all of ``dtypes``.
-    """
+def described_fields(files: DataFrame) -> DataFrame:
+    """file_id, dataset, vars, start_at, ncvar, dtype, quantity, units of every field of every described file."""
 
     def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            known: dict[tuple, dict[str, list] | None] = {}
             out = []
-            for dataset, name, start, profiles in zip(b["dataset"], b["vars"], b["start_at"], b["profiles"]):
-                for column, (dtype, quantity, _) in merge_profiles(list(profiles)).items():
-                    out.append((dataset, name, start, quantity.partition(":")[2] if quantity else None, column, dtype))
-            yield pd.DataFrame(out, columns=["dataset", "vars", "start_at", "quantity", "ncvar", "dtype"])
-
-    columns = versions(files).select("dataset", "vars", "start_at", "profiles").mapInPandas(unfold, "dataset string, vars string, start_at timestamp_ntz, quantity string, ncvar string, dtype string")
-    # a start without descriptions learns from the others what a name stands for
-    columns = columns.groupBy("dataset", "vars", "ncvar").agg(F.max("quantity").alias("quantity"), F.collect_set("dtype").alias("types"), F.count_distinct("start_at").alias("n"))
-    columns = columns.withColumn("field", F.coalesce("quantity", "ncvar"))
-    grouped = columns.groupBy("dataset", "vars", "field").agg(
-        F.array_sort(F.collect_set("ncvar")).alias("names"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("dtypes"), F.sum("n").alias("n_starts"))
+            for dataset, name, start, file_id, encoding, properties in zip(b["dataset"], b["vars"], b["start_at"], b["file_id"], b["field_encoding"], b["field_properties"]):
+                if (encoding, properties) not in known:
+                    text = profile(encoding, properties)
+                    known[encoding, properties] = None if text is None else json.loads(text)
+                for column, (dtype, quantity, units) in (known[encoding, properties] or {}).items():
+                    out.append((file_id, dataset, name, start, column, dtype, quantity.partition(":")[2] if quantity else None, units))
+            yield pd.DataFrame(out, columns=["file_id", "dataset", "vars", "start_at", "ncvar", "dtype", "quantity", "units"])
+
+    rows = files.where(F.col("field_encoding").isNotNull() & F.col("start_at").isNotNull() & F.col("file_id").isNotNull()).select("dataset", "vars", F.col("start_at").cast("timestamp_ntz").alias("start_at"), "file_id", "field_encoding", "field_properties")
+    return spread(rows).mapInPandas(unfold, "file_id long, dataset string, vars string, start_at timestamp_ntz, ncvar string, dtype string, quantity string, units string")
+
+
+def unified_fields(files: DataFrame) -> DataFrame:
+    """The fields of all files in one consistent table: file_id, dataset, vars, start_at, field, ncvar, dtype, unified_dtype, units.
+
+    ``field`` is the quantity that a column says it is. A column that doesn't say it is what the same
+    name stood for at the last start that says it, else at the first one; a name that never says
+    anything is a field of its own. So a field keeps its name over renames, and a name that comes to
+    stand for another quantity changes its field. ``unified_dtype`` is the narrowest type that holds
+    all of the field's in the dataset and vars; units and dtype are as said.
+    """
+    columns = stored(described_fields(files).dropDuplicates())
+    key = ["dataset", "vars", "ncvar"]
+    # what a name stood for, since when: as many rows as there are meanings, not files
+    said = columns.where("quantity is not null").groupBy(*key, "quantity").agg(F.min("start_at").alias("since"))
+    meant = F.when(F.count(F.when(F.col("since") <= F.col("start_at"), 1)) > 0, F.max(F.when(F.col("since") <= F.col("start_at"), F.struct("since", "quantity")))).otherwise(F.min(F.struct("since", "quantity")))
+    silent = columns.where("quantity is null").select(*key, "start_at").distinct().alias("c").join(
+        said.alias("s"), (F.col("c.dataset").eqNullSafe(F.col("s.dataset"))) & (F.col("c.vars").eqNullSafe(F.col("s.vars"))) & (F.col("c.ncvar") == F.col("s.ncvar")))
+    learned = silent.groupBy("c.dataset", "c.vars", "c.ncvar", "start_at").agg(meant.alias("m")).select(
+        F.col("dataset").alias("d_"), F.col("vars").alias("v_"), F.col("ncvar").alias("n_"), F.col("start_at").alias("s_"), F.col("m.quantity").alias("learned"))
+    same = F.col("dataset").eqNullSafe(F.col("d_")) & F.col("vars").eqNullSafe(F.col("v_")) & (F.col("ncvar") == F.col("n_")) & (F.col("start_at") == F.col("s_"))
+    rows = columns.where("quantity is null").join(learned, same, "left").withColumn("field", F.coalesce("learned", "ncvar")).drop("d_", "v_", "n_", "s_", "learned")
+    rows = columns.where("quantity is not null").withColumn("field", F.col("quantity")).unionByName(rows)
+    types = rows.groupBy("dataset", "vars", "field").agg(F.array_sort(F.collect_set("dtype")).alias("types"))
 
     @F.pandas_udf("string")
-    def widest(types: pd.Series) -> pd.Series:
+    def holding(types: pd.Series) -> pd.Series:
         return pd.Series([promoted(list(t)) for t in types], dtype=object)
 
-    return grouped.select("dataset", "vars", "field", "names", "dtypes", widest("dtypes").alias("dtype"), "n_starts")
+    types = types.select(F.col("dataset").alias("d_"), F.col("vars").alias("v_"), F.col("field").alias("f_"), holding("types").alias("unified_dtype"))
+    out = rows.join(broadcast_if_small(types), F.col("dataset").eqNullSafe(F.col("d_")) & F.col("vars").eqNullSafe(F.col("v_")) & (F.col("field") == F.col("f_")))
+    return out.select("file_id", "dataset", "vars", "start_at", "field", "ncvar", "dtype", "unified_dtype", "units")
+
+
+def unified_schema(files: DataFrame) -> DataFrame:
+    """dataset, vars, field, names, dtypes, dtype, n_starts: the columns of :func:`unified_fields`, a row for each field."""
+    fields = unified_fields(files)
+    return fields.groupBy("dataset", "vars", "field").agg(
+        F.array_sort(F.collect_set("ncvar")).alias("names"), F.array_sort(F.collect_set("dtype")).alias("dtypes"), F.max("unified_dtype").alias("dtype"), F.count_distinct("start_at").alias("n_starts"))

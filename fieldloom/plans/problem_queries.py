@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.operators.column_union import unite
 from fieldloom.operators.regular_grid import missing_periods, regular_grid
-from fieldloom.operators.schema_drift import schema_changes, unified_schema
+from fieldloom.operators.schema_drift import schema_changes, unified_fields, unified_schema
 from fieldloom.operators.small_files import consolidate, kept_records, surplus_copies
 from fieldloom.operators.spatial_near import geographic, near_pairs, points_in_regions
 from fieldloom.operators.time_labels import normalise_labels, one_instant
@@ -69,6 +70,20 @@ r AS (
 """
 
 
+#: Fields of described files: e by file, d what their properties say, c by start, v the starts.
+_FIELDS = """
+WITH f AS (SELECT file_id, dataset, vars, start_at, CAST(field_encoding AS JSON) AS enc, CAST(field_properties AS JSON) AS prop FROM dataset_files WHERE field_encoding IS NOT NULL AND start_at IS NOT NULL),
+ke AS (SELECT file_id, enc AS j, unnest(json_keys(enc)) AS k FROM f WHERE json_type(enc) = 'OBJECT'), kp AS (SELECT file_id, prop AS j, unnest(json_keys(prop)) AS k FROM f WHERE json_type(prop) = 'OBJECT'),
+je AS (SELECT file_id, k AS ncvar, json_extract(j, '$."' || k || '"') AS x FROM ke UNION ALL SELECT file_id, json_extract_string(x, '$.ncvar'), x FROM (SELECT file_id, unnest(CAST(enc AS JSON[])) AS x FROM f WHERE json_type(enc) = 'ARRAY')),
+jp AS (SELECT file_id, k AS ncvar, json_extract(j, '$."' || k || '"') AS x FROM kp UNION ALL SELECT file_id, json_extract_string(x, '$.ncvar'), x FROM (SELECT file_id, unnest(CAST(prop AS JSON[])) AS x FROM f WHERE json_type(prop) = 'ARRAY')),
+e AS (SELECT file_id, ncvar, CASE WHEN json_extract_string(x, '$.dtype') IN ('float32', 'f4', '<f4', 'float') THEN 'f4' WHEN json_extract_string(x, '$.dtype') IN ('float64', 'f8', '<f8', 'double') THEN 'f8'
+    WHEN json_extract_string(x, '$.dtype') IN ('int16', 'i2', '<i2', 'short') THEN 'i2' WHEN json_extract_string(x, '$.dtype') IN ('int32', 'i4', '<i4', 'int') THEN 'i4' ELSE json_extract_string(x, '$.dtype') END AS dt FROM je),
+d AS (SELECT file_id, ncvar, coalesce('s:' || trim(json_extract_string(x, '$.standard_name')), 'l:' || lower(trim(json_extract_string(x, '$.long_name')))) AS q, json_extract_string(x, '$.units') AS u FROM jp),
+c AS (SELECT dataset, vars, start_at, e.ncvar, max(dt) AS dt, max(q) AS q FROM f JOIN e USING (file_id) LEFT JOIN d ON d.file_id = e.file_id AND d.ncvar = e.ncvar GROUP BY ALL),
+v AS (SELECT dataset, vars, start_at, min(file_id) AS file_id FROM f GROUP BY ALL)
+"""
+
+
 def _edges() -> str:
     """The rings' edges as rows, moved over the date line where they cross it."""
     rows = []
@@ -102,6 +117,31 @@ WHERE k > 1""",
     **{k: _RECORDS + """
 SELECT dataset, vars, epoch_us(t) AS t_us, p AS points, v AS value, count(*) AS copies, arg_min(file_id, (written_at, file_id, line_no)) AS file_id, CAST(arg_min(line_no, (written_at, file_id, line_no)) AS INTEGER) AS line_no
 FROM r WHERE t IS NOT NULL AND p IS NOT NULL GROUP BY ALL""" for k in ("p3_records", "p3_merged")},
+    "p5_found": _FIELDS + """,
+p AS (SELECT dataset, vars, start_at, file_id, lag(start_at) OVER (PARTITION BY dataset, vars ORDER BY start_at) AS before FROM v),
+n AS (SELECT p.file_id, p.dataset, p.vars, p.before, c.ncvar, c.dt, c.q FROM p JOIN c ON c.dataset IS NOT DISTINCT FROM p.dataset AND c.vars IS NOT DISTINCT FROM p.vars AND c.start_at = p.start_at WHERE before IS NOT NULL),
+o AS (SELECT p.file_id, c.ncvar, c.dt, c.q FROM p JOIN c ON c.dataset IS NOT DISTINCT FROM p.dataset AND c.vars IS NOT DISTINCT FROM p.vars AND c.start_at = p.before),
+come AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file_id = n.file_id AND o.ncvar = n.ncvar)),
+gone AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE o.file_id = n.file_id AND o.ncvar = n.ncvar)),
+pairs AS (SELECT come.file_id, come.ncvar AS new, gone.ncvar AS old, come.dt AS dt, gone.dt AS odt FROM come JOIN gone ON come.file_id = gone.file_id AND come.q = gone.q)
+SELECT file_id, new AS ncvar, 'renamed' AS change_kind FROM pairs
+UNION ALL SELECT file_id, new, 'retyped' FROM pairs WHERE dt <> odt
+UNION ALL SELECT n.file_id, n.ncvar, 'retyped' FROM n JOIN o USING (file_id, ncvar) WHERE n.dt <> o.dt
+UNION ALL SELECT file_id, ncvar, 'added' FROM come WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE pairs.file_id = come.file_id AND pairs.new = come.ncvar)
+UNION ALL SELECT file_id, ncvar, 'removed' FROM gone WHERE NOT EXISTS (SELECT 1 FROM pairs WHERE pairs.file_id = gone.file_id AND pairs.old = gone.ncvar)""",
+    "p5_table": _FIELDS + """,
+a AS (SELECT DISTINCT e.file_id, dataset, vars, start_at, e.ncvar, dt, substr(q, 3) AS quantity, u FROM f JOIN e USING (file_id) LEFT JOIN d ON d.file_id = e.file_id AND d.ncvar = e.ncvar),
+k AS (SELECT dataset, vars, ncvar, quantity, min(start_at) AS since FROM a WHERE quantity IS NOT NULL GROUP BY ALL),
+w AS (SELECT a.*, coalesce(quantity, (SELECT max((since, k.quantity))[2] FROM k WHERE k.dataset IS NOT DISTINCT FROM a.dataset AND k.vars IS NOT DISTINCT FROM a.vars AND k.ncvar = a.ncvar AND since <= a.start_at),
+    (SELECT min((since, k.quantity))[2] FROM k WHERE k.dataset IS NOT DISTINCT FROM a.dataset AND k.vars IS NOT DISTINCT FROM a.vars AND k.ncvar = a.ncvar), ncvar) AS field FROM a),
+t AS (SELECT dataset, vars, field, string_agg(DISTINCT dt, ' ' ORDER BY dt) AS ts FROM w GROUP BY ALL)
+SELECT file_id, w.dataset, w.vars, w.field, ncvar, dt AS dtype, CASE WHEN ts NOT LIKE '% %' THEN ts WHEN ts = 'f4 i2' THEN 'f4' WHEN ts = 'i2 i4' THEN 'i4' ELSE 'f8' END AS unified_dtype, u AS units
+FROM w JOIN t ON w.dataset IS NOT DISTINCT FROM t.dataset AND w.vars IS NOT DISTINCT FROM t.vars AND w.field = t.field""",
+    "p5_united": """SELECT CASE WHEN l_shipdate < '1997-06-01' THEN 'first' WHEN l_shipdate < '1999-06-01' THEN 'second' ELSE 'third' END AS version, CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice,
+  CASE WHEN l_shipdate < '1997-06-01' OR l_shipdate >= '1999-06-01' THEN l_discount END AS l_discount, l_returnflag, l_shipdate FROM lineitem""",
+    "p5_changes": """SELECT * FROM (VALUES ('second', 'l_orderkey', 'retyped', NULL, 'bigint'), ('second', 'amount', 'renamed', 'l_quantity', NULL), ('second', 'gross', 'renamed', 'l_extendedprice', NULL), ('second', 'l_discount', 'removed', NULL, NULL),
+  ('third', 'position', 'renamed', 'l_linenumber', NULL), ('third', 'position', 'retyped', 'l_linenumber', 'int'), ('third', 'l_discount', 'added', NULL, NULL), ('third', 'shipped', 'renamed', 'l_shipdate', NULL)) AS v("version", "column", change_kind, old_name, old_type)
+  WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate < '1997-06-01') AND EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate >= '1999-06-01')""",
     "p6_found": """
 WITH u(name, kind, a, b) AS (VALUES ('m', 'L', 1, 0), ('metre', 'L', 1, 0), ('metres', 'L', 1, 0), ('meters', 'L', 1, 0), ('meter', 'L', 1, 0), ('cm', 'L', 0.01, 0), ('centimetre', 'L', 0.01, 0), ('centimeter', 'L', 0.01, 0), ('mm', 'L', 0.001, 0), ('millimetre', 'L', 0.001, 0), ('millimeter', 'L', 0.001, 0),
     ('km', 'L', 1000, 0), ('in', 'L', 0.0254, 0), ('inch', 'L', 0.0254, 0), ('inches', 'L', 0.0254, 0), ('ft', 'L', 0.3048, 0), ('foot', 'L', 0.3048, 0), ('feet', 'L', 0.3048, 0), ('fathom', 'L', 1.8288, 0), ('fathoms', 'L', 1.8288, 0),
@@ -138,6 +178,19 @@ def _shown_records(records: DataFrame) -> DataFrame:
     return records.select("dataset", "vars", "t_us", "points", "value", "copies", "file_id", "line_no")
 
 
+def _drifting(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    """The order lines in three versions: of the second two columns are renamed, one retyped, one left out, of the third another is renamed and one comes back."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
+    early, middle, late = (rows.where(c) for c in ("l_shipdate < '1997-06-01'", "l_shipdate >= '1997-06-01' and l_shipdate < '1999-06-01'", "l_shipdate >= '1999-06-01'"))
+    second = middle.selectExpr("cast(l_orderkey as string) as l_orderkey", "l_linenumber", "l_quantity as amount", "l_extendedprice as gross", "l_returnflag", "l_shipdate")
+    third = late.selectExpr("cast(l_orderkey as string) as l_orderkey", "cast(l_linenumber as bigint) as position", "l_quantity as amount", "l_extendedprice as gross", "l_discount", "l_returnflag", "l_shipdate as shipped")
+    return [("first", early), ("second", second), ("third", third)]
+
+
+def _drifting_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(unite(_drifting(spark, sf_dir))[1], "version string, column string, change_kind string, old_name string, old_type string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = table
     return {
@@ -153,6 +206,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": lambda s, d: one_instant(t(s, d, "time_coords")),
         "p4_labels": lambda s, d: normalise_labels(t(s, d, "time_coords")),
         "p5_found": lambda s, d: schema_changes(t(s, d, "dataset_files")).select("file_id", "ncvar", "change_kind"),
+        "p5_table": lambda s, d: unified_fields(t(s, d, "dataset_files")).drop("start_at"),
+        "p5_changes": _drifting_changes,
+        "p5_united": lambda s, d: unite(_drifting(s, d))[0],
         "p5_schema": lambda s, d: unified_schema(t(s, d, "dataset_files")),
         "p6_found": lambda s, d: other_units(t(s, d, "field_samples")),
         "p6_values": lambda s, d: values_in_common_units(t(s, d, "field_samples")),

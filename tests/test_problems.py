@@ -17,7 +17,8 @@ from fieldloom.functions.kdtree import KDTree, Splits
 from fieldloom.functions.matching import assign, name_similarity
 from fieldloom.functions.timelabels import Reader, abbreviations, nearest_ms
 from fieldloom.operators.regular_grid import missing_periods, regular_grid
-from fieldloom.operators.schema_drift import changes, promoted, schema_changes, type_of, unified_schema
+from fieldloom.operators.column_union import unite
+from fieldloom.operators.schema_drift import changes, promoted, schema_changes, type_of, unified_fields, unified_schema
 from fieldloom.operators.small_files import consolidate, kept_records, records, surplus_copies
 from fieldloom.operators.spatial_near import Regions, chord, geographic, near_locations, near_pairs, points_in_regions
 from fieldloom.operators.time_labels import _readings as label_readings, _runs, cheapest, crossing, link_runs, normalise_labels, one_instant, zone_names
@@ -353,6 +354,39 @@ def test_schema_changes(spark):
     assert schema_changes(files.limit(0)).count() == 0 and unified_schema(files.limit(0)).count() == 0
 
 
+def test_unite(spark):
+    """Renames without any stated quantity are told by values."""
+    rng = np.random.default_rng(3)
+    frame = lambda n, **c: spark.createDataFrame(pd.DataFrame(c))
+    temp = lambda: rng.normal(280, 5, 500)
+    codes = lambda: rng.choice(["alpha", "beta", "gamma", None], 500)
+    first = frame(0, id=np.arange(500), temperature=temp(), pressure=rng.normal(1e5, 300, 500), site=codes())
+    second = frame(1, id=np.arange(500), ta=temp(), p=rng.normal(1e5, 300, 500), place=codes(), wind=rng.random(500))
+    third = frame(2, id=np.arange(500).astype(float), ta=temp(), place=codes(), flag=rng.random(500) < 0.5)
+    rows, changes = unite([("1", first), ("2", second), ("3", third)])
+    assert rows.columns == ["version", "id", "temperature", "pressure", "site", "wind", "flag"] and rows.count() == 1500 and dict(rows.dtypes)["id"] == "double"
+    assert set(changes) == {("2", "ta", "renamed", "temperature", None), ("2", "p", "renamed", "pressure", None), ("2", "place", "renamed", "site", None), ("2", "wind", "added", None, None),
+                            ("3", "id", "retyped", None, "bigint"), ("3", "p", "removed", None, None), ("3", "wind", "removed", None, None), ("3", "flag", "added", None, None)}
+    got = rows.groupBy("version").agg({"temperature": "avg", "pressure": "count", "site": "count"}).toPandas().set_index("version")
+    assert got["avg(temperature)"].between(278, 282).all() and got["count(pressure)"].to_dict() == {"1": 500, "2": 500, "3": 0}
+    # empty versions, clashing names, nested columns
+    again, changes = unite([("a", first.limit(0)), ("b", first), ("c", spark.createDataFrame([([1], "x")], "list array<int>, temperature string"))])
+    assert again.count() == 501 and ("c", "temperature", "retyped", None, "double") in changes
+    for bad in ([], [("a", first.withColumn("version", F.lit(1)))]):
+        with pytest.raises(ValueError):
+            unite(bad)
+
+
+def test_unified_fields(spark):
+    enc, day = (lambda **f: json.dumps({k: {"dtype": v} for k, v in f.items()})), (lambda n: T0 + timedelta(days=n))
+    about = lambda **f: json.dumps({k: {"standard_name": v} for k, v in f.items()})
+    # t stands for temp, then silently, then for thickness; u never says what it is
+    rows = [(1, day(0), enc(t="f4", u="i2"), about(t="temp")), (2, day(1), enc(t="f8"), None), (3, day(2), enc(t="i4", temp2="f8"), about(t="thickness", temp2="temp")), (4, day(3), enc(t="i4"), "{bad"), (5, None, enc(t="f4"), None), (6, day(1), None, None)]
+    files = spark.createDataFrame([(i, "d", None, s, T0, e, p, None, "l", "p") for i, s, e, p in rows], FILES)
+    got = {(r.file_id, r.ncvar): (r.field, r.unified_dtype) for r in unified_fields(files).collect()}
+    assert got == {(1, "t"): ("temp", "f8"), (1, "u"): ("u", "i2"), (2, "t"): ("temp", "f8"), (3, "t"): ("thickness", "i4"), (3, "temp2"): ("temp", "f8"), (4, "t"): ("thickness", "i4")}
+
+
 # units -------------------------------------------------------------------
 def test_unit_places():
     assert value_in_text("0,688 [1]") == (0.688, "1") and value_in_text("99242N m-2") == (99242.0, "N m-2") and value_in_text("763 [0.01 degC]") == (763.0, "0.01 degC") and value_in_text("x") == (None, None) and value_in_text(None) == (None, None)
