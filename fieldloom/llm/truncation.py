@@ -9,15 +9,16 @@ corpus' usual closing lines has (a closed brace, a signature, a table row, a log
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.plans.scale import broadcast_if_small, checkpointed, spread
+from fieldloom.plans.scale import broadcast_if_small, spread, stored
 
 #: A spike holds this share of its source's texts, and this many.
 SPIKE_SHARE, SPIKE_LEAST = 0.02, 3
@@ -137,30 +138,51 @@ def endings(documents: DataFrame) -> DataFrame:
 def limits(ends: DataFrame) -> DataFrame:
     """source, n_texts, char_limit, byte_limit, mark_limit of every source; a limit that no spike shows is null.
 
-    The spike is the most frequent length in the top part of the lengths; of characters and bytes the
-    unit with the larger spike is the limit's. A null source counts as one without a name. ``mark_limit`` is the greatest length of a source of
-    which the longest texts mostly end in an ellipsis.
+    Lengths are counted by source, in characters and in bytes. The top of a source is the greatest length
+    within ``SPIKE_TOP`` below which enough texts end, so a few longer ones, kept whole or from before the
+    limit, don't hide it. The spike is the most frequent length in that part, of which most texts don't end
+    as a sentence; of characters and bytes the unit with the larger spike is the limit's. ``mark_limit`` is
+    the top of a source of which the longest texts mostly end in an ellipsis. A null source counts as one
+    without a name.
     """
-    texts = ends.where("kind <> 'blank'").select(F.coalesce("source", F.lit("")).alias("source"), "chars", "bytes", "kind")
-    per = texts.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.max("chars").alias("max_c"), F.max("bytes").alias("max_b"))
-    out = per
-    for unit, top in (("chars", "max_c"), ("bytes", "max_b")):
-        sized = texts.groupBy("source", F.col(unit).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("kind") == "ellipsis").cast("long")).alias("marked"))
-        high = sized.join(broadcast_if_small(per), "source").where(F.col("size") >= F.col(top) * BAND)
-        best = high.groupBy("source").agg(
-            F.max(F.when(F.col("size") >= F.col(top) * SPIKE_TOP, F.struct("n", "size"))).alias("best"), F.sum("marked").alias("marked"), F.sum("n").alias("longest"))
-        here = ["source", F.col("best.n").alias(f"n_{unit}"), F.col("best.size").alias(f"l_{unit}")]
-        out = out.join(best.select(*here, *(["marked", "longest"] if unit == "chars" else [])), "source", "left")
-    enough = lambda n: (F.col(n) >= SPIKE_LEAST) & (F.col(n) >= F.col("n_texts") * SPIKE_SHARE)
-    by_chars = F.col("n_chars") >= F.col("n_bytes")
+    count = lambda c: F.sum(c.cast("long"))
+    texts = ends.where("kind <> 'blank'").select(F.coalesce("source", F.lit("")).alias("source"), "kind", F.inline(F.expr("array(struct('chars' as unit, chars as size), struct('bytes' as unit, bytes as size))")))
+    sizes = texts.groupBy("source", "unit", "size").agg(F.count(F.lit(1)).alias("n"), count(F.col("kind") == "ellipsis").alias("marked"), count(F.col("kind") != "terminal").alias("open"))
+    # a row for each length that occurs: a source's window is bounded by its longest text
+    source = Window.partitionBy("source", "unit")
+    enough = f"greatest({SPIKE_LEAST}, n_texts * {SPIKE_SHARE})"
+    sizes = sizes.withColumns({"n_texts": F.sum("n").over(source), "near": F.expr(f"sum(n) over (partition by source, unit order by ln(size) range between {-math.log(SPIKE_TOP)}D preceding and current row)")})
+    sizes = sizes.withColumn("top", F.max(F.when(F.expr(f"near >= {enough}"), F.col("size"))).over(source)).where("size <= coalesce(top, size)")
+    high, close = F.col("size") >= F.col("top") * SPIKE_TOP, F.col("size") >= F.col("top") * BAND
+    per = sizes.groupBy("source", "unit").agg(
+        F.max("n_texts").alias("n_texts"), F.max("top").alias("top"), F.max(F.when(high & (F.col("open") * 2 >= F.col("n")), F.struct("n", "size"))).alias("best"),
+        F.sum(F.when(close, F.col("marked"))).alias("marked"), F.sum(F.when(close, F.col("n"))).alias("longest"))
+    of = lambda unit, c: F.max(F.when(F.col("unit") == unit, F.col(c)))
+    out = per.groupBy("source").agg(
+        F.max("n_texts").alias("n_texts"), of("chars", "best.n").alias("n_chars"), of("chars", "best.size").alias("l_chars"), of("bytes", "best.n").alias("n_bytes"), of("bytes", "best.size").alias("l_bytes"),
+        of("chars", "top").alias("top"), of("chars", "marked").alias("marked"), of("chars", "longest").alias("longest"))
+    by_chars = F.coalesce("n_chars", F.lit(0)) >= F.coalesce("n_bytes", F.lit(0))
     return out.select(
         "source", "n_texts",
-        F.when(enough("n_chars") & by_chars, F.col("l_chars")).alias("char_limit"),
-        F.when(enough("n_bytes") & ~by_chars, F.col("l_bytes")).alias("byte_limit"),
-        F.when((F.col("marked") >= SPIKE_LEAST) & (F.col("marked") >= F.col("longest") * 0.5), F.col("max_c")).alias("mark_limit"),
+        F.when(F.expr(f"n_chars >= {enough}") & by_chars, F.col("l_chars")).alias("char_limit"),
+        F.when(F.expr(f"n_bytes >= {enough}") & ~by_chars, F.col("l_bytes")).alias("byte_limit"),
+        F.when((F.col("marked") >= SPIKE_LEAST) & (F.col("marked") >= F.col("longest") * 0.5), F.col("top")).alias("mark_limit"),
     )
 
 
+def _closing_statistics(rows: DataFrame) -> DataFrame:
+    """what, key, n, m: counts of closing lines, their forms and words, and of texts by type (m of them end as a sentence), by one aggregate.
+
+    Texts of a limit's length are left out, but for the words inside of lines.
+    """
+    one = lambda what, key, ended="0": f"struct('{what}' as what, {key} as key, {ended} as ended)"
+    free = F.expr(f"if(not at_limit, array({one('form', 'form')}, {one('total', chr(39) * 2)}, {one('final', 'word')}), array())")
+    inside = F.expr(f"transform(inner, w -> {one('inside', 'w')})")
+    by_type = F.expr(f"if(kind <> 'blank' and not at_limit, array({one('type', 'doc_type', 'if(kind in (' + repr('terminal') + ', ' + repr('ellipsis') + '), 1, 0)')}), array())")
+    keys = F.concat(F.when(F.col("kind") == "line", F.concat(free, inside)).otherwise(F.expr("array()")), by_type)
+    return rows.select(F.inline(keys)).where("key is not null").groupBy("what", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("ended").alias("m"))
+
+
 def judge(documents: DataFrame) -> DataFrame:
     """doc_id, source, truncated, reason (limit, mark or transfer; null if whole) of every row.
 
@@ -168,24 +190,22 @@ def judge(documents: DataFrame) -> DataFrame:
     sentence or a usual closing line does. Statistics cover all documents; rows that repeat are judged
     each. A null source counts as one without a name.
     """
-    ends = checkpointed(endings(documents))
-    sources = limits(ends).withColumnRenamed("source", "__source")
+    ends = stored(endings(documents))
+    sources = stored(limits(ends).withColumnRenamed("source", "__source"))
     rows = ends.join(broadcast_if_small(sources), F.coalesce("source", F.lit("")) == F.col("__source"), "left").drop("__source")
     # half a character may count less or more bytes than what the limit cut off
     at_limit = F.coalesce(F.col("chars") == F.col("char_limit"), F.lit(False)) | F.coalesce(F.col("bytes").between(F.col("byte_limit") - 3, F.col("byte_limit") + 2), F.lit(False))
     at_mark = F.coalesce(F.col("chars") >= F.col("mark_limit") * BAND, F.lit(False))
     rows = rows.withColumns({"at_limit": at_limit, "at_mark": at_limit | at_mark})
 
-    lines = rows.where("kind = 'line'")
-    total = lines.where("not at_limit").agg(F.count(F.lit(1)).alias("total"))
-    usual = lines.where("not at_limit").groupBy("form").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).where((F.col("n") >= USUAL_LEAST) & (F.col("n") >= F.col("total") * USUAL_SHARE)).select(F.col("form").alias("usual_form"))
-    inside = lines.select(F.explode("inner").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_LEAST).select("w")
-    final = lines.where("not at_limit and word is not null").groupBy(F.col("word").alias("w")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).where((F.col("n") >= USUAL_LEAST) & (F.col("n") >= F.col("total") * WORD_SHARE)).select("w")
-    known = inside.unionByName(final).distinct().select(F.col("w").alias("known_word"))
-    prose = rows.where("kind <> 'blank' and not at_limit").groupBy(F.col("doc_type").alias("__type")).agg(F.avg(F.col("kind").isin("terminal", "ellipsis").cast("double")).alias("share")).where("share >= 0.5").select("__type")
+    counts = stored(_closing_statistics(rows))
+    total = (counts.where("what = 'total'").agg(F.sum("n")).first()[0] or 0)  # one number
+    usual = counts.where((F.col("what") == "form") & (F.col("n") >= max(USUAL_LEAST, total * USUAL_SHARE))).select(F.col("key").alias("usual_form"))
+    known = counts.where(((F.col("what") == "inside") & (F.col("n") >= WORD_LEAST)) | ((F.col("what") == "final") & (F.col("n") >= max(USUAL_LEAST, total * WORD_SHARE)))).select(F.col("key").alias("known_word")).distinct()
+    prose = counts.where((F.col("what") == "type") & (F.col("m") >= F.col("n") * 0.5)).select(F.col("key").alias("__type"))
 
     # only closing lines meet their statistics; usual forms are at most 1 / USUAL_SHARE
-    closed = rows.where("kind = 'line'").join(F.broadcast(usual), F.col("form") == F.col("usual_form"), "left").join(known, F.col("word") == F.col("known_word"), "left")
+    closed = rows.where("kind = 'line'").join(F.broadcast(usual), F.col("form") == F.col("usual_form"), "left").join(broadcast_if_small(known), F.col("word") == F.col("known_word"), "left")
     closed = closed.withColumn("closing", F.col("usual_form").isNotNull() & (F.col("word").isNull() | F.col("known_word").isNotNull())).select(*rows.columns, "closing")
     rows = closed.unionByName(rows.where("kind <> 'line'").withColumn("closing", F.lit(False)))
     rows = rows.join(broadcast_if_small(prose), F.col("doc_type") == F.col("__type"), "left")
