@@ -9,17 +9,22 @@ sought by three words in a row, which no allowed pattern of substitutions can av
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from fieldloom.plans.scale import spread
+from fieldloom.plans.ordered import with_running_total
+from fieldloom.plans.scale import shared_path, spread, stored
+from fieldloom.sources.parquet_blocks import file_system
 
 #: Words of an item that must stand in a row.
 LEAST_WORDS = 12
@@ -29,8 +34,8 @@ MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 7, 9, 10, 11), (0, 2, 3, 5, 6
 RUN: tuple[tuple[int, ...], ...] = ((0, 1, 2),)
 #: Hits, and words along diagonals, that are held at once.
 CHUNK = 1_000_000
-#: Words of items that are held by a task at once; more items take more passes over the corpus.
-PASS_WORDS = 1_500_000
+#: Characters of items up to which their seeds are sent to every task (about 48 MB); more are joined by hash with the corpus' seeds.
+HELD_CHARS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -209,71 +214,158 @@ def close_overlap(doc: list[str], item: list[str], shift: int) -> tuple[int, int
     return held[0], n, (n - best) // 4, start + found[0] + shift, start + found[0]
 
 
-def passes(items: DataFrame, pass_words: int = PASS_WORDS, masks: tuple[tuple[int, ...], ...] = MASKS) -> Iterator[Items]:
-    """The items in groups whose words a task can hold; an item without enough words is in none."""
-    ids: list[int] = []
-    words: list[list[str]] = []
-    held = 0
-    for r in items.select("item_id", "item_text").where("item_id is not null and item_text is not null").toLocalIterator():
-        w = words_of(r.item_text)
-        if len(w) < LEAST_WORDS:
-            continue
-        if held and held + len(w) > pass_words:
-            yield Items(ids, words, masks)
-            ids, words, held = [], [], 0
-        ids.append(int(r.item_id)), words.append(w)
-        held += len(w)
-    if ids:
-        yield Items(ids, words, masks)
+def held_items(items: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, held_chars: int = HELD_CHARS) -> Items | None:
+    """The items with enough words, if all texts together are within the bound; else None."""
+    texts = _item_texts(items)
+    if (texts.agg(F.sum(F.length("item_text"))).first()[0] or 0) > held_chars:
+        return None
+    found = [(r.item_id, words_of(r.item_text)) for r in texts.collect()]
+    found = [(i, w) for i, w in found if len(w) >= LEAST_WORDS]
+    return Items([i for i, _ in found], [w for _, w in found], masks)
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, pass_words: int = PASS_WORDS) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, held_chars: int = HELD_CHARS) -> DataFrame:
     """doc_id, item_id, exact_words, overlap_words, substitutions, doc_start, item_start.
 
     A row for each document and item that share an overlap of at least 12 words with at most one
     substitution in four, all of them (recall 1 by ``RUN``; words put in or left out end an overlap):
     ``exact_words`` is the longest run of at least 3 equal words, the others describe the best
     overlap (positions count words from 0). Whole texts are read; null, empty and
-    short texts have no rows; repeated documents have the rows of each. One pass over the corpus
-    without a shuffle for every ``pass_words`` words of items.
+    short texts have no rows; repeated documents have the rows of each. An item_id with several texts
+    has a row for each. Items within ``held_chars`` are joined in the tasks that read the corpus,
+    without a shuffle; of more, each such task reads them in blocks, with the same rows.
     """
-    return _passages(documents, items, pass_words, RUN)
+    return _passages(documents, items, held_chars, RUN)
+
+
+_COLUMNS = ["doc_id", "item_id", "exact_words", "overlap_words", "substitutions", "doc_start", "item_start"]
+_SCHEMA = "doc_id long, item_id int, exact_words int, overlap_words int, substitutions int, doc_start int, item_start int"
+
+
+def _corpus(documents: DataFrame) -> DataFrame:
+    return spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null and text is not null"))
 
 
-def _passages(documents: DataFrame, items: DataFrame, pass_words: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+def _best(group: Items, doc: list[str], diagonals: Iterable[tuple[int, int]], runs: dict[int, int]) -> dict[int, tuple[int, ...]]:
+    """Of each item the best overlap on its diagonals with a document."""
+    best: dict[int, tuple[int, ...]] = {}
+    for k, shift in diagonals:
+        exact, n, changed, at, begin = close_overlap(doc, group.words[k], shift)
+        exact = max(exact, runs.get(k, 0))
+        held = best.get(k)
+        longest = max(exact, held[0]) if held else exact
+        if held is None or n - 4 * changed > held[1] - 4 * held[2]:
+            held = (longest, n, changed, at, begin)
+        best[k] = (longest, *held[1:])
+    return {k: v for k, v in best.items() if v[0] >= LEAST_WORDS or (v[1] >= LEAST_WORDS and 4 * v[2] <= v[1])}
+
+
+def _passages(documents: DataFrame, items: DataFrame, held_chars: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     """The passages that share a seed of the masks; all with ``RUN``, and with ``MASKS`` only the exact ones are sure to be there."""
-    schema = "doc_id long, item_id int, exact_words int, overlap_words int, substitutions int, doc_start int, item_start int"
-    found = None
-    for group in passes(items, pass_words, masks):
-
-        def run(batches: Iterator[pd.DataFrame], group: Items = group) -> Iterator[pd.DataFrame]:
-            coder = Coder()
-            for b in batches:
-                out = []
-                for doc_id, text in zip(b["doc_id"], b["text"]):
-                    doc = words_of(text)
-                    if len(doc) < LEAST_WORDS:
-                        continue
-                    codes, best = coder.codes(doc), {}
-                    fitting, runs = group.alike(codes) if masks == RUN else (sorted(group.diagonals(codes)), {})
-                    for k, shift in fitting:
-                        exact, n, changed, at, begin = close_overlap(doc, group.words[k], shift)
-                        exact = max(exact, runs.get(k, 0))
-                        held = best.get(k)
-                        longest = max(exact, held[0]) if held else exact
-                        if held is None or n - 4 * changed > held[1] - 4 * held[2]:
-                            held = (longest, n, changed, at, begin)
-                        best[k] = (longest, *held[1:])
-                    out += [(doc_id, group.ids[k], *v) for k, v in best.items() if v[0] >= LEAST_WORDS or (v[1] >= LEAST_WORDS and 4 * v[2] <= v[1])]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "exact_words", "overlap_words", "substitutions", "doc_start", "item_start"])
-
-        part = spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null and text is not null")).mapInPandas(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return documents.sparkSession.createDataFrame([], schema)
-    return found
+    group = held_items(items, masks, held_chars)
+    if group is None:
+        return _joined_passages(documents, items) if masks == MASKS else _blocked_passages(documents, items, held_chars)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = Coder()
+        for b in batches:
+            yield _matches(b, group, coder)
+
+    return _corpus(documents).mapInPandas(run, _SCHEMA)
+
+
+def _matches(batch: pd.DataFrame, group: Items, coder: Coder) -> pd.DataFrame:
+    out = []
+    for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        doc = words_of(text)
+        if len(doc) < LEAST_WORDS:
+            continue
+        codes = coder.codes(doc)
+        fitting, runs = group.alike(codes) if group.masks == RUN else (sorted(group.diagonals(codes)), {})
+        out += [(doc_id, group.ids[k], *v) for k, v in _best(group, doc, fitting, runs).items()]
+    return pd.DataFrame(out, columns=_COLUMNS)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id of the documents that hold at least 12 consecutive words of an item, in order."""
-    return _passages(documents, items, PASS_WORDS, MASKS).where(f"exact_words >= {LEAST_WORDS}").select("doc_id", "item_id").distinct()
+def _item_texts(items: DataFrame) -> DataFrame:
+    return items.selectExpr("cast(item_id as int) as item_id", "item_text").where("item_id is not null and item_text is not null").distinct()
+
+
+def _blocked_passages(documents: DataFrame, items: DataFrame, held_chars: int) -> DataFrame:
+    """The altered passages of items too many to be held: each task meets blocks of them, read from the shared folder one after another.
+
+    Three words in a row are too common for a join; so the driver and a task hold no more than one block.
+    """
+    texts = _item_texts(items).select(F.xxhash64("item_id", "item_text").alias("name"), F.lit(0).alias("all"), "item_id", "item_text", F.length("item_text").alias("size"))
+    placed = with_running_total(texts, ["all"], ["name", "item_id"], "size", "before").withColumn("block", F.floor(F.col("before") / held_chars))
+    folder = shared_path(items.sparkSession, f"items-{uuid.uuid4().hex}")
+
+    def store(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = [(int(i), words_of(t)) for i, t in zip(pdf["item_id"], pdf["item_text"])]
+        words = [(i, w) for i, w in words if len(w) >= LEAST_WORDS]
+        system, at = file_system(f"{folder}/{int(pdf['block'].iloc[0])}")
+        system.create_dir(at.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(at) as f:
+            f.write(pickle.dumps(([i for i, _ in words], [w for _, w in words])))
+        return pd.DataFrame({"path": [f"{folder}/{int(pdf['block'].iloc[0])}"]})
+
+    paths = [r.path for r in placed.select("block", "item_id", "item_text").groupBy("block").applyInPandas(store, "path string").collect()]  # one for each block
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = Coder()
+        for b in batches:
+            for path in paths:
+                system, at = file_system(path)
+                with system.open_input_file(at) as f:
+                    yield _matches(b, Items(*pickle.loads(f.read()), RUN), coder)
+
+    return _corpus(documents).mapInPandas(run, _SCHEMA)
+
+
+def _seeds(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, mask, h, at: a row for each window of each mask."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = Coder()
+        for b in batches:
+            for name, t in zip(b[key], b[text]):
+                words = words_of(t)
+                if len(words) < LEAST_WORDS:
+                    continue
+                codes = coder.codes(words)
+                for m, mask in enumerate(MASKS):
+                    h = window_hashes(codes, mask).view(np.int64)
+                    yield pd.DataFrame({key: name, "mask": m, "h": h, "at": np.arange(len(h))})
+
+    return texts.mapInPandas(run, f"{key} long, mask int, h long, at int")
+
+
+def _joined_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """The exact passages of items too many to be held, by a join of both sides' hashes.
+
+    A seed of many documents and items is split by the skew join. The hits of a document and an item
+    come down to their different diagonals, and only such pairs meet their texts.
+    """
+    texts = stored(_item_texts(items).withColumn("item_key", F.monotonically_increasing_id()))
+    corpus = _corpus(documents).select(F.xxhash64("doc_id", "text").alias("doc_key"), "doc_id", "text")
+    left = _seeds(corpus, "doc_key", "text").withColumnRenamed("at", "pos")
+    right = _seeds(spread(texts.select("item_key", "item_text")), "item_key", "item_text")
+    pairs = left.join(right, ["mask", "h"]).select("doc_key", "item_key", (F.col("pos") - F.col("at")).alias("shift")).distinct().groupBy("doc_key", "item_key").agg(F.collect_list("shift").alias("shifts"))
+    met = pairs.join(texts, "item_key").join(corpus, "doc_key")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc_id, text, item_id, item_text, shifts in zip(b["doc_id"], b["text"], b["item_id"], b["item_text"], b["shifts"]):
+                group = Items([int(item_id)], [words_of(item_text)])
+                out += [(doc_id, group.ids[k], *v) for k, v in _best(group, words_of(text), [(0, int(s)) for s in sorted(shifts)], {}).items()]
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    return met.select("doc_id", "text", "item_id", "item_text", "shifts").mapInPandas(run, _SCHEMA)
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, held_chars: int = HELD_CHARS) -> DataFrame:
+    """doc_id, item_id of the documents that hold at least 12 consecutive words of an item, in order.
+
+    Items within ``held_chars`` are joined in the tasks that read the corpus, more by a hash join of both sides' seeds.
+    """
+    return _passages(documents, items, held_chars, MASKS).where(f"exact_words >= {LEAST_WORDS}").select("doc_id", "item_id").distinct()

@@ -26,5 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these is expressible in SQL at whole-table size; tests compare with brute force."""
-    return {}
+    """Exact leaks as a join of 12-grams; the others aren't expressible in SQL, and tests compare them with brute force."""
+    words = "list_transform(regexp_extract_all(nfc_normalize({0}), '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x))".replace("list_transform(", "[lower(x) for x in ").replace(", lambda x: lower(x))", "]")
+    grams = "SELECT DISTINCT {1}, unnest([array_to_string(w[i:i + 11], ' ') for i in generate_series(1, len(w) - 11)]) AS g FROM (SELECT {1}, " + words + " AS w FROM {2} WHERE {0} IS NOT NULL) WHERE len(w) >= 12"
+    return {"p8_found": f"WITH d AS ({grams.format('text', 'doc_id', 'documents')}), i AS ({grams.format('item_text', 'item_id', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"}
