@@ -131,7 +131,9 @@ class DataCube:
         def join(left: tuple, right: tuple) -> tuple:
             on = [d for d in left[0] if d in right[0]]
             dims = (*left[0], *(d for d in right[0] if d not in left[0]))
-            return dims, left[1].join(right[1], on, "full_outer") if on else left[1].join(right[1])
+            if not on and left[0] and right[0]:
+                raise ValueError(f"fields on {left[0]} and on {right[0]} share no dimension; a table of both would hold every pair of cells")
+            return dims, left[1].join(right[1], on, "full_outer") if on else left[1].join(right[1])  # one of them is one row
 
         dims, out = functools.reduce(join, frames)
         return out.select(*dims, *self.fields)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.core.domain import Domain, DomainType, GeodeticGrid
 from fieldloom.crs.systems import CoordSystem, CurvilinearGrid, GeogCS, RegularLatLon, RotatedGeogCS
+from fieldloom.functions.kdtree import nearest_rows
 from fieldloom.meta.axis import AxisType, MethodType, RegridMethod
 from fieldloom.meta.cell_methods import CellMethod, parse_cell_methods
 from fieldloom.meta.coordinate import Coordinate, CoordinateType, LazyCoordinate
@@ -30,10 +31,16 @@ from fieldloom.plans.scale import broadcast_if_small
 
 log = logging.getLogger(__name__)
 VALUE = "value"
+#: Labels of an axis that the driver reads from a table, at most.
+MOST_LABELS = 5_000_000
 
 
 def distinct_labels(df: DataFrame, dim: str) -> np.ndarray:
-    labels = np.array([r[0] for r in df.select(dim).where(F.col(dim).isNotNull()).distinct().collect()])
+    """The labels of a column, sorted; ValueError for more than ``MOST_LABELS``, which are no axis."""
+    found = df.select(dim).where(F.col(dim).isNotNull()).distinct().limit(MOST_LABELS + 1).toArrow().column(0)
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"{dim} has more than {MOST_LABELS} labels; give its coordinate")
+    labels = found.to_numpy()
     return np.sort(labels.astype("datetime64[us]") if labels.dtype == object else labels)
 
 
@@ -310,7 +317,7 @@ class Field:
             rlat, rlon = np.atleast_1d(clat.values)[i], np.atleast_1d(clon.values)[k]
             keys = {c.name: values for c, values in ((clat, rlat), (clon, rlon)) if c.name in self.dims}
         else:
-            flat = [int(np.argmin((clat.values - a) ** 2 + (clon.values - o) ** 2)) for a, o in zip(lat, lon)]
+            flat = nearest_rows(np.stack([clat.values.ravel(), clon.values.ravel()], axis=1), np.stack([lat, lon], axis=1))
             at = np.unravel_index(flat, clat.values.shape)
             rlat, rlon = clat.values[at], clon.values[at]
             keys = {}
@@ -360,7 +367,7 @@ class Field:
         pairs = wy.merge(wx, on="t", suffixes=("y", "x"))
         table = pd.DataFrame({"p": pairs["t"].astype("int32"), "sy": pairs["sy"].astype(float), "sx": pairs["sx"].astype(float), "w": pairs["wy"].astype(float) * pairs["wx"].astype(float)})
         table["n"] = table.groupby("p")["w"].transform("size").astype("int64")
-        small = broadcast_if_small(self.df.sparkSession.createDataFrame(table.astype(object).where(table.notna(), None).values.tolist(), "__p int, __sy double, __sx double, __w double, __n long"))
+        small = broadcast_if_small(weights.small_frame(self.df.sparkSession, table, "__p int, __sy double, __sx double, __w double, __n long"))
         joined = self.df.join(small, (F.col(cy.name) == F.col("__sy")) & (F.col(cx.name) == F.col("__sx")))
         others = self._sampled(cy.name, cx.name)
         product = F.col(VALUE) * F.col("__w")
@@ -399,7 +406,7 @@ class Field:
         west = np.mod(glon + 180.0, 360.0) - 180.0
         mask = polygons.inside(geometry, glat, west)
         cells = pd.DataFrame({lat.name: glat[mask].astype(float), lon.name: glon[mask].astype(float)})
-        small = broadcast_if_small(self.df.sparkSession.createDataFrame(cells.values.tolist(), f"`{lat.name}` double, `{lon.name}` double"))
+        small = broadcast_if_small(weights.small_frame(self.df.sparkSession, cells, f"`{lat.name}` double, `{lon.name}` double"))
         if crop:
             rows = source.df.join(small, [lat.name, lon.name], "left_semi")
         else:
@@ -507,7 +514,7 @@ class Field:
                 table.to_parquet(weights_path)
         t = table["t"].to_numpy()
         rows = pd.DataFrame({"latitude": glat[t], "longitude": glon[t], "__sy": table["sy"].to_numpy(), "__sx": table["sx"].to_numpy(), "__w": table["w"].to_numpy(), "__n": table.groupby("t")["w"].transform("size").to_numpy()})
-        small = broadcast_if_small(self.df.sparkSession.createDataFrame(rows.astype(object).where(rows.notna(), None).values.tolist(), "latitude double, longitude double, __sy double, __sx double, __w double, __n long"))
+        small = broadcast_if_small(weights.small_frame(self.df.sparkSession, rows, "latitude double, longitude double, __sy double, __sx double, __w double, __n long"))
         joined = self.df.join(small, (F.col(over[0]) == F.col("__sy")) & (F.col(over[1]) == F.col("__sx")))
         others = self._sampled(*over)
         product = F.col(VALUE) * F.col("__w")

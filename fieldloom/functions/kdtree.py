@@ -1,4 +1,4 @@
-"""A k-d tree over 3-d points in numpy, for pairs within a chord length."""
+"""A k-d tree over points in numpy, for pairs within a chord length and for nearest points."""
 
 from __future__ import annotations
 
@@ -72,6 +72,43 @@ class KDTree:
                             yield self.order[i + a0], other.order[j + c0]
 
 
+def nearest_rows(points: np.ndarray, queries: np.ndarray, within: float = 1e-14) -> np.ndarray:
+    """The row of the point nearest to each query (in two or three dimensions), the first of those equally near up to rounding.
+
+    Queries that find nothing within a radius go on with twice of it; each leaf of queries meets only leaves near it.
+    """
+    points, queries = np.asarray(points, float), np.asarray(queries, float)
+    out = np.full(len(queries), -1, dtype=np.int64)
+    if not len(points) or not len(queries):
+        return out
+    tree = KDTree(points)
+    width = float(np.linalg.norm(points.max(axis=0) - points.min(axis=0)))
+    reach = float(np.linalg.norm(np.maximum(points.max(axis=0), queries.max(axis=0)) - np.minimum(points.min(axis=0), queries.min(axis=0)))) * 1.01 + 1e-300
+    radius = min(reach, max(width / max(1.0, np.sqrt(len(points))), reach * 1e-6))
+    left = np.arange(len(queries))
+    while len(left):
+        best, row = np.full(len(left), np.inf), np.full(len(left), -1, dtype=np.int64)
+        for i, j in KDTree(queries[left]).pairs_with(tree, radius):
+            gap = ((queries[left[i]] - points[j]) ** 2).sum(axis=1)
+            order = np.lexsort((j, gap, i))
+            i, j, gap = i[order], j[order], gap[order]
+            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            least = np.repeat(gap[first], np.diff(np.append(first, len(i))))
+            level = gap <= least + within
+            i, j, gap = i[level], j[level], gap[level]
+            order = np.lexsort((j, i))
+            i, j = i[order], j[order]
+            keep = np.concatenate([[True], i[1:] != i[:-1]])
+            for q, p, g in zip(i[keep], j[keep], least[level][order][keep]):
+                if g < best[q] - within or (g <= best[q] + within and p < row[q]):
+                    row[q] = p
+                best[q] = min(best[q], g)
+        found = row >= 0
+        out[left[found]] = row[found]
+        left, radius = left[~found], min(reach, radius * 2)
+    return out
+
+
 class Splits:
     """k-d cuts of space made from a bounded sample; every leaf is one group of work, ``leaf_size`` its part of the sample."""
 

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fieldloom.functions.kdtree import nearest_rows
 from fieldloom.plans.scale import broadcast_if_small
 
 
@@ -60,15 +63,10 @@ def overlap_weights(source: np.ndarray, source_bounds: np.ndarray, target_bounds
     return pd.DataFrame(rows, columns=["t", "s", "w"])
 
 
-def nearest_cells(lat: np.ndarray, lon: np.ndarray, tlat: np.ndarray, tlon: np.ndarray, block: int = 256) -> np.ndarray:
+def nearest_cells(lat: np.ndarray, lon: np.ndarray, tlat: np.ndarray, tlon: np.ndarray) -> np.ndarray:
     """Index of the cell nearest to each target on the sphere, the first of equally near ones."""
     unit = lambda a, o: np.stack([np.cos(np.radians(a)) * np.cos(np.radians(o)), np.cos(np.radians(a)) * np.sin(np.radians(o)), np.sin(np.radians(a))], axis=-1)
-    cells = unit(lat.ravel(), lon.ravel())
-    targets = unit(tlat.ravel(), tlon.ravel())
-    out = np.empty(len(targets), dtype=np.int64)
-    for a in range(0, len(targets), block):
-        out[a:a + block] = np.argmax(np.round(targets[a:a + block] @ cells.T, 14), axis=1)
-    return out
+    return nearest_rows(unit(lat.ravel(), lon.ravel()), unit(tlat.ravel(), tlon.ravel()))
 
 
 def patch_weights(slat: np.ndarray, slon: np.ndarray, tlat: np.ndarray, tlon: np.ndarray) -> pd.DataFrame:
@@ -108,9 +106,14 @@ def patch_weights(slat: np.ndarray, slon: np.ndarray, tlat: np.ndarray, tlon: np
     return pd.DataFrame(rows, columns=["ti", "tj", "sy", "sx", "w"])
 
 
-def _frame(spark: SparkSession, pdf: pd.DataFrame, names: dict[str, str], types: str) -> DataFrame:
-    pdf = pdf.rename(columns=names)
-    return broadcast_if_small(spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), types))
+def small_frame(spark: SparkSession, pdf: pd.DataFrame, types: str) -> DataFrame:
+    """A table of weights by way of Arrow; NaN becomes null."""
+    held = pa.Table.from_arrays([pa.array(pdf[c].to_numpy(), from_pandas=True) for c in pdf], names=[f"c{i}" for i in range(pdf.shape[1])])
+    return spark.createDataFrame(held).select(*[F.col(f"c{i}").cast(t.dataType).alias(t.name) for i, t in enumerate(T._parse_datatype_string(types))])
+
+
+def _small(spark: SparkSession, pdf: pd.DataFrame, types: str) -> DataFrame:
+    return broadcast_if_small(small_frame(spark, pdf, types))
 
 
 def apply_separable(df: DataFrame, value: str, dims: list[str], y: str, x: str, wy: pd.DataFrame, wx: pd.DataFrame, labels_y: np.ndarray, labels_x: np.ndarray, poison: bool = True) -> DataFrame:
@@ -123,7 +126,7 @@ def apply_separable(df: DataFrame, value: str, dims: list[str], y: str, x: str,
     others = [d for d in dims if d not in (y, x)]
     for axis, weights, labels, rest in ((y, wy, labels_y, [*others, x]), (x, wx, labels_x, [*others, y])):
         table = weights.assign(t=labels[weights["t"].to_numpy()].astype(float), n=weights.groupby("t")["s"].transform("size").astype(int))
-        small = _frame(spark, table[["t", "s", "w", "n"]], {}, "__t double, __s double, __w double, __n long")
+        small = _small(spark, table[["t", "s", "w", "n"]], "__t double, __s double, __w double, __n long")
         joined = df.join(small, df[axis] == F.col("__s")).drop(axis)
         total = F.sum(F.col(value) * F.col("__w"))
         if poison:
@@ -137,7 +140,7 @@ def apply_table(df: DataFrame, value: str, dims: list[str], y: str, x: str, weig
     others = [d for d in dims if d not in (y, x)]
     n = weights.groupby(["ti", "tj"])["w"].transform("size").astype(int)
     table = pd.DataFrame({"ty": labels_y[weights["ti"].to_numpy()].astype(float), "tx": labels_x[weights["tj"].to_numpy()].astype(float), "sy": weights["sy"], "sx": weights["sx"], "w": weights["w"], "n": n})
-    small = _frame(df.sparkSession, table, {}, "__ty double, __tx double, __sy double, __sx double, __w double, __n long")
+    small = _small(df.sparkSession, table, "__ty double, __tx double, __sy double, __sx double, __w double, __n long")
     joined = df.join(small, (df[y] == F.col("__sy")) & (df[x] == F.col("__sx"))).drop(y, x)
     product = F.col(value) * F.col("__w")
     out = joined.groupBy(*others, F.col("__ty").alias(y), F.col("__tx").alias(x)).agg(F.when(F.count(product) == F.max("__n"), F.sum(product)).alias(value))

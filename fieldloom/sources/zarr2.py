@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.plans.scale import broadcast_if_small
+
 
 def array_meta(path: str, name: str) -> tuple[dict[str, Any], dict[str, Any]]:
     """(.zarray, .zattrs) of one array."""
@@ -124,7 +126,7 @@ def write_field(field: Any, path: str, name: str, chunks: dict[str, int] | None
         if own is not None and own.is_dim:
             pdf = pd.DataFrame({d: own.values, f"__i{k}": np.arange(own.values.size, dtype="int32")})
             kind = "timestamp_ntz" if own.values.dtype.kind == "M" else "double" if own.values.dtype.kind == "f" else "string"
-            df = df.join(F.broadcast(spark.createDataFrame(pdf, f"`{d}` {kind}, __i{k} int")), d)
+            df = df.join(broadcast_if_small(spark.createDataFrame(pdf, f"`{d}` {kind}, __i{k} int")), d)
         else:
             df = df.withColumn(f"__i{k}", F.col(d).cast("int"))
     tiles = [f"__t{k}" for k in range(len(dims))]

@@ -11,9 +11,10 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fieldloom.functions.changepoint import level_changes, nearest_factor
-from fieldloom.functions.kdtree import KDTree, Splits
+from fieldloom.functions.kdtree import KDTree, Splits, nearest_rows
 from fieldloom.functions.matching import assign, name_similarity
 from fieldloom.functions.timelabels import Reader, abbreviations, nearest_ms
 from fieldloom.operators.regular_grid import missing_periods, regular_grid
@@ -143,6 +144,15 @@ def test_kdtree(seed, n, radius):
     assert sorted(row[home]) == list(range(n)) and (leaf < splits.leaf_count).all()
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 300), st.sampled_from([2, 3]))
+def test_nearest_rows(seed, n, d):
+    rng = np.random.default_rng(seed)
+    points, queries = rng.integers(0, 12, (n, d)).astype(float), rng.integers(-5, 18, (40, d)).astype(float)
+    gap = ((queries[:, None] - points[None]) ** 2).sum(-1)
+    assert nearest_rows(points, queries).tolist() == gap.argmin(axis=1).tolist()
+
+
 def test_regions(spark):
     rng = np.random.default_rng(4)
     rings = [("a", [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]), ("b", [(5.0, 5.0), (15.0, 7.0), (9.0, 20.0)]), ("a", [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0)])]
