@@ -423,7 +423,7 @@ class Field:
         missing; nearest_d2s: each source cell goes to its nearest target, which adds them up. A target
         that no source covers, or that needs a missing value, is null. ``weights_path`` keeps the
         weights as Parquet and reuses them. From two-dimensional latitude and longitude, bilinear and
-        patch work along the source's own x and y, and the conservative methods raise NotImplementedError.
+        patch work along the source's own x and y, and the conservative methods on four-cornered cells.
         """
         domain = target.domain if isinstance(target, Field) else target
         method = RegridMethod(method) if not isinstance(method, RegridMethod) else method
@@ -477,25 +477,47 @@ class Field:
         both = [wy.assign(axis="y"), wx.assign(axis="x")]
         return pd.concat([t.astype({"w": "float64"}) for t in both], ignore_index=True)
 
+    def _cell_corners(self) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, 4) latitudes and longitudes of the corners: the bounds where they are given, those of x and y in a system with a formula, else from the centres."""
+        lat, lon = self.latitude, self.longitude
+        if lat.bounds is not None and lon.bounds is not None and lat.bounds.shape[-1] == 4:
+            return lat.bounds.reshape(-1, 4), lon.bounds.reshape(-1, 4)
+        if not isinstance(self.domain.crs, (CurvilinearGrid, GeogCS)) and AxisType.X in self.domain and AxisType.Y in self.domain:
+            middle = lambda v: np.concatenate([[v[0] - (v[1] - v[0]) / 2], (v[1:] + v[:-1]) / 2, [v[-1] + (v[-1] - v[-2]) / 2]])
+            gx, gy = np.meshgrid(middle(self.domain.x.values.astype(float)), middle(self.domain.y.values.astype(float)))
+            nodes = self.domain.crs.inverse(gx, gy)
+            if lat.dims != (self.domain.y.name, self.domain.x.name):
+                nodes = tuple(n.T for n in nodes)
+        else:
+            nodes = weights.corner_nodes(lat.values.astype(float), lon.values.astype(float))
+        return tuple(np.stack([n[:-1, :-1], n[:-1, 1:], n[1:, 1:], n[1:, :-1]], axis=-1).reshape(-1, 4) for n in nodes)
+
     def _regrid_cells(self, domain: Domain, method: RegridMethod, weights_path: str | None, reuse_weights: bool) -> Field:
         """``regrid`` from two-dimensional latitude and longitude, by one weight table over both dimensions."""
         if method in (RegridMethod.CONSERVATIVE, RegridMethod.CONSERVATIVE_NORMED):
-            raise NotImplementedError("conservative regridding from two-dimensional latitude and longitude")
+            if domain.type is DomainType.POINTS:
+                raise NotImplementedError(f"{method.value} weights of points")
         if method is RegridMethod.BILINEAR and domain.type is DomainType.POINTS and not weights_path:
             return self.interpolate(domain, "linear")
+        conservative = method in (RegridMethod.CONSERVATIVE, RegridMethod.CONSERVATIVE_NORMED)
         nearest = method in (RegridMethod.NEAREST_S2D, RegridMethod.NEAREST_D2S)
         if domain.type is DomainType.POINTS and not nearest:
             raise NotImplementedError(f"{method.value} weights of points")
-        if not nearest and isinstance(self.domain.crs, CurvilinearGrid):
+        if not nearest and not conservative and isinstance(self.domain.crs, CurvilinearGrid):
             raise NotImplementedError("a curvilinear grid has no formula; use locations or regrid by nearest_s2d or nearest_d2s")
         lat, lon = self.latitude, self.longitude
-        over = list(lat.dims) if nearest else [self.domain.y.name, self.domain.x.name]
+        over = list(lat.dims) if nearest or conservative else [self.domain.y.name, self.domain.x.name]
         tlat, tlon = domain.latitude.values.astype(float), domain.longitude.values.astype(float)
         glat, glon = (v.ravel() for v in np.meshgrid(tlat, tlon, indexing="ij"))
         if weights_path and reuse_weights and os.path.exists(weights_path):
             table = pd.read_parquet(weights_path)
         else:
-            if nearest:
+            if conservative:
+                cells = weights.cell_overlaps(*self._cell_corners(), *(c.bounds if c.bounds is not None else c.cell_bounds() for c in (domain.latitude, domain.longitude)), method is RegridMethod.CONSERVATIVE_NORMED)
+                own = [self.domain.get(d) for d in over]
+                labels = [c.values[k] if c is not None and c.is_dim else k for c, k in zip(own, np.unravel_index(cells["s"].to_numpy(), lat.values.shape))]
+                table = pd.DataFrame({"t": cells["t"], "sy": labels[0].astype(float), "sx": labels[1].astype(float), "w": cells["w"]})
+            elif nearest:
                 back = method is RegridMethod.NEAREST_D2S
                 to = np.arange(glat.size) if not back else weights.nearest_cells(glat, glon, lat.values, lon.values)
                 cells = np.arange(lat.values.size) if back else weights.nearest_cells(lat.values, lon.values, glat, glon)

@@ -63,6 +63,78 @@ def overlap_weights(source: np.ndarray, source_bounds: np.ndarray, target_bounds
     return pd.DataFrame(rows, columns=["t", "s", "w"])
 
 
+def corner_nodes(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n + 1, m + 1) corners of cells of which only the centres are known: means of four neighbours, carried on by half a cell at the rim."""
+
+    def widened(v: np.ndarray) -> np.ndarray:
+        v = np.concatenate([2 * v[:1] - v[1:2], v, 2 * v[-1:] - v[-2:-1]])
+        v = np.concatenate([2 * v[:, :1] - v[:, 1:2], v, 2 * v[:, -1:] - v[:, -2:-1]], axis=1)
+        return (v[:-1, :-1] + v[1:, :-1] + v[:-1, 1:] + v[1:, 1:]) / 4
+
+    if min(lat.shape) < 2:
+        raise ValueError("cells without bounds need two centres along each dimension")
+    lon = np.degrees(np.unwrap(np.unwrap(np.radians(lon), axis=0), axis=1))
+    return np.clip(widened(lat), -90.0, 90.0), widened(lon)
+
+
+def _below(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Signed area of polygons (k, corners) left of x and below y: the line integral of min(X, x) dY over what lies below y."""
+    x0, y0 = px, py
+    dx, dy = np.roll(px, -1, axis=1) - px, np.roll(py, -1, axis=1) - py
+    x, y = x[:, None], y[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at_y = np.clip(np.nan_to_num((y - y0) / dy), 0.0, 1.0)
+        at_x = np.where(dx != 0, (x - x0) / dx, np.where(x0 <= x, np.inf, -np.inf))
+    a, b = np.where(dy < 0, at_y, 0.0), np.where(dy > 0, at_y, 1.0)
+    linear = lambda s, e: np.where(e > s, x0 * (e - s) + dx * (e * e - s * s) / 2, 0.0)
+    turn = np.clip(at_x, a, b)
+    rising = dx >= 0
+    inside = np.where(rising, linear(a, turn), linear(turn, b))
+    beyond = x * np.where(rising, b - turn, turn - a)
+    return np.where(dy != 0, dy * (inside + beyond), 0.0).sum(axis=1)
+
+
+def cell_overlaps(lat_corners: np.ndarray, lon_corners: np.ndarray, lat_bounds: np.ndarray, lon_bounds: np.ndarray, normed: bool) -> pd.DataFrame:
+    """(target position, source position, weight): overlap of four-cornered cells with the cells of a regular grid.
+
+    Corners are (cells, 4), in degrees. Areas are taken on the equal-area cylinder (longitude and sine of
+    latitude), with straight edges there; a cell around a pole isn't one. Weights are shares of the
+    target's area, or of its covered part if ``normed``; a target that nothing covers has a null weight.
+    """
+    centre = lon_corners[:, :1]
+    px, py = centre + np.mod(lon_corners - centre + 180.0, 360.0) - 180.0, np.sin(np.radians(lat_corners))
+    low_y, high_y = np.sin(np.radians(np.sort(lat_bounds, axis=1))).T
+    low_x, high_x = np.sort(lon_bounds, axis=1).T
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    order = np.argsort(low_y, kind="stable")
+    for shift in (-360.0, 0.0, 360.0):
+        moved = px + shift
+        left, right, bottom, top = moved.min(axis=1), moved.max(axis=1), py.min(axis=1), py.max(axis=1)
+        for i in order:
+            rows = np.flatnonzero((top > low_y[i]) & (bottom < high_y[i]) & (right > low_x.min()) & (left < high_x.max()))
+            if not len(rows):
+                continue
+            by_left = np.argsort(left[rows], kind="stable")
+            rows = rows[by_left]
+            for j in range(len(low_x)):
+                k = rows[: np.searchsorted(left[rows], high_x[j])]
+                k = k[right[k] > low_x[j]]
+                if not len(k):
+                    continue
+                part = lambda x, y, k=k: _below(moved[k], py[k], np.full(len(k), x), np.full(len(k), y))
+                area = np.abs(part(high_x[j], high_y[i]) - part(low_x[j], high_y[i]) - part(high_x[j], low_y[i]) + part(low_x[j], low_y[i]))
+                hit = area > 1e-12
+                if hit.any():
+                    found.append((np.full(int(hit.sum()), i * len(low_x) + j), k[hit], area[hit]))
+    t, s, area = (np.concatenate([f[n] for f in found]) if found else np.empty(0) for n in range(3))
+    table = pd.DataFrame({"t": t.astype(np.int64), "s": s.astype(np.int64), "w": area})
+    whole = ((high_x - low_x)[None, :] * (high_y - low_y)[:, None]).ravel()
+    table["w"] /= table.groupby("t")["w"].transform("sum") if normed else whole[table["t"].to_numpy()]
+    table = table.groupby(["t", "s"], as_index=False)["w"].sum()
+    bare = np.setdiff1d(np.arange(len(whole)), table["t"].to_numpy())
+    return pd.concat([table, pd.DataFrame({"t": bare, "s": np.zeros(len(bare), np.int64), "w": np.full(len(bare), np.nan)})], ignore_index=True)
+
+
 def nearest_cells(lat: np.ndarray, lon: np.ndarray, tlat: np.ndarray, tlon: np.ndarray) -> np.ndarray:
     """Index of the cell nearest to each target on the sphere, the first of equally near ones."""
     unit = lambda a, o: np.stack([np.cos(np.radians(a)) * np.cos(np.radians(o)), np.cos(np.radians(a)) * np.sin(np.radians(o)), np.sin(np.radians(a))], axis=-1)

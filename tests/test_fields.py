@@ -229,9 +229,38 @@ def test_regrid_from_two_dimensional(spark, tmp_path):
     assert np.isclose(np.nansum(f.regrid(target, "nearest_d2s").to_dense()), data.sum())
     assert np.allclose(f.regrid(target, "bilinear", str(tmp_path / "b.parquet")).to_dense(), f.interpolate(target, "linear").to_dense())
     assert set(f.regrid(target, "nearest_s2d").to_dense().ravel()) <= set(data.ravel())
-    for method in ("conservative", "conservative_normed"):
+    for method in ("conservative", "patch"):
         with pytest.raises(NotImplementedError):
-            f.regrid(target, method)
+            f.regrid(GeodeticPoints([42.0], [12.0]), method)
+
+
+def test_conservative_cells(spark):
+    """Cells of a rotated grid: overlaps against points spread evenly over each target."""
+    rng = np.random.default_rng(2)
+    crs = RotatedGeogCS(47.0, -168.0)
+    y, x = np.arange(-4.0, 4.1, 0.8), np.arange(-5.0, 5.1, 0.8)
+    data = rng.normal(10, 3, (len(y), len(x)))
+    f = Field.from_arrays(spark, data, "v", ("rlat", "rlon"), Domain({"rlat": y, "rlon": x}, crs, DomainType.GRIDDED).with_latlon())
+    lat0, lon0 = (float(v.mean()) for v in (f.latitude.values, f.longitude.values))
+    target = GeodeticGrid(lat0 + np.arange(-1.5, 1.6, 1.0), lon0 + np.arange(-2.0, 2.1, 1.0))
+    for method, normed in (("conservative", False), ("conservative_normed", True)):
+        got = f.regrid(target, method).df.toPandas().set_index(["latitude", "longitude"])["value"]
+        for la, (a, b) in zip(target.latitude.values, target.latitude.cell_bounds()):
+            for lo, (c, d) in zip(target.longitude.values, target.longitude.cell_bounds()):
+                py, px = np.meshgrid(np.degrees(np.arcsin(np.linspace(np.sin(np.radians(a)), np.sin(np.radians(b)), 201)[:-1])), np.linspace(c, d, 201)[:-1], indexing="ij")
+                gx, gy = crs.forward(py.ravel(), px.ravel())
+                i, j = np.round((gy - y[0]) / 0.8).astype(int), np.round((gx - x[0]) / 0.8).astype(int)
+                inside = (i >= 0) & (i < len(y)) & (j >= 0) & (j < len(x))
+                want = data[i[inside], j[inside]].sum() / (inside.sum() if normed else len(i))
+                assert abs(got[la, lo] - want) < 0.1
+    # a curvilinear grid that is a regular one agrees with the regular weights
+    lat2, lon2 = np.meshgrid(np.arange(40.0, 50.0), np.arange(0.0, 12.0), indexing="ij")
+    v = rng.random(lat2.shape)
+    bent = Field.from_arrays(spark, v, "v", ("y", "x"), Domain({"latitude": (("y", "x"), lat2), "longitude": (("y", "x"), lon2)}, CurvilinearGrid(), DomainType.GRIDDED))
+    flat = Field.from_arrays(spark, v, "v", ("latitude", "longitude"), {"latitude": lat2[:, 0], "longitude": lon2[0]})
+    coarse = GeodeticGrid(np.array([42.0, 45.0, 48.0]), np.array([2.5, 5.5, 8.5]))
+    a, b = (g.regrid(coarse, "conservative").df.orderBy("latitude", "longitude").toPandas() for g in (bent, flat))
+    assert np.allclose(a["value"], b["value"]) and len(a) == 9
 
 
 def test_polygons(field):
