@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import logging
 import os
 import tempfile
@@ -12,7 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.core.domain import Domain, DomainType, GeodeticGrid
@@ -44,6 +45,25 @@ def distinct_labels(df: DataFrame, dim: str) -> np.ndarray:
     return np.sort(labels.astype("datetime64[us]") if labels.dtype == object else labels)
 
 
+def prunable(scan: Any) -> DataFrame:
+    """The frame of ``scan(within)``, which selections make anew for the labels they keep, so that a source reads only these."""
+    df = scan({})
+    df._scan = (scan, {}, ())  # the frame itself remembers; any frame made of it otherwise doesn't
+    return df
+
+
+def narrowed(df: DataFrame, dim: str, ends: tuple[Any, Any] | None, where: Column) -> DataFrame:
+    """The rows of a predicate on a dimension, with ``ends`` around its labels."""
+    held = getattr(df, "_scan", None)
+    if held is None or ends is None:
+        return df.where(where)
+    scan, within, before = held
+    within, before = {**within, dim: ends}, (*before, where)
+    out = functools.reduce(DataFrame.where, before, scan(within))
+    out._scan = (scan, within, before)
+    return out
+
+
 def label_ends(df: DataFrame, dim: str) -> tuple[Any, Any]:
     """The least and the greatest label of a column; ValueError where it has none."""
     low, high = df.agg(F.min(dim), F.max(dim)).first()
@@ -164,7 +184,11 @@ class Field:
     def _keep(self, coord: Coordinate, at: np.ndarray) -> tuple[DataFrame, Domain]:
         """Rows and domain of the kept positions of an independent coordinate."""
         where = choose.predicate(coord.name, coord.values, at)
-        return (self.df if where is None else self.df.where(where)), self.domain.with_coords(*self._cut(coord.name, at))
+        df = self.df
+        if where is not None:
+            ends = (coord.values[at].min(), coord.values[at].max()) if len(at) else None
+            df = narrowed(df, coord.name, ends, where)
+        return df, self.domain.with_coords(*self._cut(coord.name, at))
 
     def _cut(self, dim: str, at: np.ndarray) -> list[Coordinate]:
         """All coordinates along a dimension, cut to positions of it."""
@@ -380,6 +404,10 @@ class Field:
         target = Domain([*rest, Coordinate("latitude", tlat, ("latitude",)), Coordinate("longitude", tlon, ("longitude",))], domain.crs, DomainType.GRIDDED)
         return self._with(out, target, (*others, "latitude", "longitude"))
 
+    def with_latlon(self) -> Field:
+        """The field with two-dimensional latitude and longitude from its own x and y, where they are missing."""
+        return self._with(self.df, self.domain.with_latlon())
+
     def to_regular(self) -> Field:
         """A rotated grid on a regular one of about the same spacing, by nearest cell."""
         if not isinstance(self.domain.crs, RotatedGeogCS):

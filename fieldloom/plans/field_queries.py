@@ -77,6 +77,13 @@ def rotated(spark: SparkSession, sf_dir: str) -> Field:
     return Field(df, "quantity", ("rlat", "rlon"), Domain(coords, RotatedGeogCS(47.0, -168.0), DomainType.GRIDDED))
 
 
+def _bent(spark: SparkSession, sf_dir: str) -> Field:
+    """GRID's means as a curvilinear grid whose two-dimensional labels are those of the regular one."""
+    df = flat(spark, sf_dir).df.select(((F.col("latitude") + 45) / 10).cast("int").alias("y"), (F.col("longitude") / 10).cast("int").alias("x"), "value")
+    lat, lon = np.meshgrid(LAT, LON, indexing="ij")
+    return Field(df, "quantity", ("y", "x"), Domain({"latitude": (("y", "x"), lat), "longitude": (("y", "x"), lon)}, CurvilinearGrid(), DomainType.GRIDDED))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Dataset:
     """One cube for each pair of return flag and line status."""
     entries = [Entry({"flag": f, "status": s}, (), lambda f=f, s=s: DataCube([grid(spark, sf_dir, f"l_returnflag = '{f}' AND l_linestatus = '{s}'")]), ("quantity",)) for f in "ANR" for s in "FO"]
@@ -227,6 +234,8 @@ def queries() -> dict[str, Query]:
         "to_regular": lambda s, d: shown(rotated(s, d).to_regular()),
         "regrid_bilinear": lambda s, d: shown(flat(s, d).regrid(coarse, "bilinear")),
         "regrid_conservative": lambda s, d: shown(flat(s, d).regrid(coarse, "conservative")),
+        "regrid_conservative_cells": lambda s, d: shown(_bent(s, d).regrid(coarse, "conservative")),
+        "regrid_conservative_rotated": lambda s, d: shown(rotated(s, d).with_latlon().regrid(GeodeticGrid(np.arange(36.0, 50.0, 4.0), np.arange(0.0, 25.0, 6.0)), "conservative_normed")),
         "regrid_conservative_normed": lambda s, d: shown(flat(s, d).regrid(coarse, "conservative_normed")),
         "regrid_nearest_s2d": lambda s, d: shown(flat(s, d).regrid(coarse, "nearest_s2d")),
         "regrid_nearest_d2s": lambda s, d: shown(flat(s, d).regrid(coarse, "nearest_d2s")),
@@ -378,6 +387,7 @@ def oracle_sql() -> dict[str, str]:
   s AS (SELECT a.t AS latitude, b.t AS longitude, value, row_number() OVER (PARTITION BY a.t, b.t ORDER BY abs(m.latitude - a.t), m.latitude DESC, abs(m.longitude - b.t), m.longitude DESC) AS k FROM a, b, m)
   SELECT latitude, longitude, round(value, 6) AS value FROM s WHERE k = 1""",
         "regrid_conservative": overlap.format(by="any_value((sin(radians(ahi)) - sin(radians(alo))) * (bhi - blo))"),
+        "regrid_conservative_cells": overlap.format(by="any_value((sin(radians(ahi)) - sin(radians(alo))) * (bhi - blo))"),
         "regrid_conservative_normed": overlap.format(by="sum(w)"),
         "extract_polygons": w + _ALL + _INSIDE,
         "cube_merge": """WITH a AS (SELECT l_shipdate AS time, CAST((l_suppkey % 10) * 10 - 45 AS DOUBLE) AS latitude, CAST((l_partkey % 36) * 10 AS DOUBLE) AS longitude, l_returnflag AS f, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS value FROM lineitem GROUP BY ALL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import glob as globbing
 import json
 import logging
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from fieldloom.core.cube import DataCube
 from fieldloom.core.dataset import Dataset, Entry
 from fieldloom.core.domain import Domain, DomainType
-from fieldloom.core.field import VALUE, Field
+from fieldloom.core.field import VALUE, Field, prunable
 from fieldloom.crs.systems import parse_crs
 from fieldloom.functions.timelabels import Reader
 from fieldloom.meta.axis import AxisType
@@ -106,7 +107,7 @@ def open_datacube(spark: SparkSession, path: str | list[str], id_pattern: str |
     files must agree or be null in all but one, else reading them is an error, as are files of one
     variable with other dimensions or units (ValueError). NetCDF-4, JPEG 2000 and remote stores need
     libraries that aren't here and raise NotImplementedError. ``metadata_cache_path`` keeps the
-    coordinates' manifest as JSON, keyed by the files and their times of change.
+    headers of NetCDF files as JSON; a file is looked at again only when it is new or has changed.
     """
     given, engine = engine, engine or engine_of(path)
     files = sorted(set(path)) if isinstance(path, (list, tuple)) else sorted(globbing.glob(path)) if any(c in str(path) for c in "*?[") else [str(path)]
@@ -114,12 +115,10 @@ def open_datacube(spark: SparkSession, path: str | list[str], id_pattern: str |
         raise FileNotFoundError(str(path))
     if given is None and isinstance(path, (list, tuple)) and {engine_of(f) for f in files} != {engine}:
         raise ValueError(f"files of several kinds: {files}")
-    if metadata_cache_path:
-        write_manifest(metadata_cache_path, files)
     if engine == "parquet" or engine == "csv":
         return _open_frames(spark, files, engine, dims, options)
     if engine == "netcdf":
-        return _open_netcdf(spark, files, id_pattern, mapping)
+        return _open_netcdf(spark, files, id_pattern, mapping, metadata_cache_path)
     if engine == "zarr":
         if str(files[0]).startswith("http"):
             raise NotImplementedError("a remote Zarr store needs a file-system library")
@@ -205,8 +204,8 @@ def _open_geotiff(spark: SparkSession, path: str) -> DataCube:
     return DataCube([Field.from_arrays(spark, data, "band_data", ("band", "y", "x"), {"band": np.arange(1, len(data) + 1), "y": y, "x": x}, domaintype=DomainType.GRIDDED)])
 
 
-def _open_netcdf(spark: SparkSession, files: list[str], id_pattern: str | None, mapping: dict[str, Any] | None) -> DataCube:
-    headers = [netcdf3.read_header(f) for f in files]
+def _open_netcdf(spark: SparkSession, files: list[str], id_pattern: str | None, mapping: dict[str, Any] | None, cache: str | None = None) -> DataCube:
+    headers = cached_headers(cache, files) if cache else [netcdf3.read_header(f) for f in files]
     as_reader = lambda h: {n: (v.dims, (lambda n=n, h=h: h.read(n)), v.attrs) for n, v in h.variables.items()}
     found = [_header(as_reader(h), mapping) for h in headers]
     fields = []
@@ -223,7 +222,8 @@ def _open_netcdf(spark: SparkSession, files: list[str], id_pattern: str | None,
             kind = np.result_type(*(x[d] for x in labels.values())) if all(x[d].dtype.kind in "iuf" for x in labels.values()) else None
             for x in labels.values():
                 x[d] = x[d] if kind is None else x[d].astype(kind)
-        df = netcdf3.scan(spark, [h.path for h, _, _ in holding], n, labels, dims)
+        paths = [h.path for h, _, _ in holding]
+        df = prunable(lambda within, paths=paths, n=n, labels=labels, dims=dims: netcdf3.scan(spark, paths, n, labels, dims, within))
         if len(holding) > 1 and _overlap(list(labels.values()), dims):
             df = _agreed(df, dims, n)
         fields.append(_field(df, n, dims, attrs, _merged([cs for _, cs, _ in holding]), grid, id_pattern, mapping))
@@ -243,20 +243,36 @@ def _open_zarr(spark: SparkSession, path: str, id_pattern: str | None, mapping:
         meta, _ = zarr2.array_meta(path, n)
         own = {c.name: c.values for c in coords if c.is_dim}
         labels = {d: own.get(d, np.arange(s, dtype="int32")) for d, s in zip(dims, meta["shape"])}
-        fields.append(_field(zarr2.scan(spark, path, n, labels, dims), n, dims, attrs, coords, grid, id_pattern, mapping))
+        df = prunable(lambda within, n=n, labels=labels, dims=dims: zarr2.scan(spark, path, n, labels, dims, within))
+        fields.append(_field(df, n, dims, attrs, coords, grid, id_pattern, mapping))
     return DataCube(fields)
 
 
-def write_manifest(path: str, files: list[str]) -> bool:
-    """Note the files and their times of change; True if they are as noted before."""
-    now = {f: os.path.getmtime(f) if os.path.exists(f) else None for f in files}
-    before = None
+def cached_headers(path: str, files: list[str]) -> list[netcdf3.Header]:
+    """The headers of files: from the JSON at ``path`` where a file has the time of change and size noted there, else read, and noted."""
+    noted: dict[str, Any] = {}
     if os.path.exists(path):
-        with open(path) as f:
-            before = json.load(f)
-    with open(path, "w") as f:
-        json.dump(now, f)
-    return before == now
+        try:
+            with open(path) as f:
+                noted = json.load(f)
+        except ValueError:
+            log.warning("%s can't be read and is made anew", path)
+    out, changed = [], False
+    for f in files:
+        about = os.stat(f)
+        seal = [about.st_mtime_ns, about.st_size]
+        held = noted.get(f) if isinstance(noted, dict) else None
+        if not isinstance(held, dict) or held.get("seal") != seal:
+            noted[f] = held = {"seal": seal, "header": dataclasses.asdict(netcdf3.read_header(f))}
+            changed = True
+        h = dict(held["header"])
+        variables = {n: netcdf3.Variable(**{**v, "dims": tuple(v["dims"])}) for n, v in h.pop("variables").items()}
+        out.append(netcdf3.Header(variables=variables, **h))
+    if changed:
+        with open(f"{path}.part", "w") as f:
+            json.dump(noted, f)
+        os.replace(f"{path}.part", path)
+    return out
 
 
 def name_pattern(pattern: str) -> re.Pattern:

@@ -133,14 +133,20 @@ def decode(values: np.ndarray, attrs: dict[str, Any]) -> np.ndarray:
     return out * float(attrs.get("scale_factor", 1.0)) + float(attrs.get("add_offset", 0.0))
 
 
-def scan(spark: SparkSession, paths: list[str], name: str, labels: dict[str, dict[str, np.ndarray]], dims: tuple[str, ...]) -> DataFrame:
-    """One variable of several files in long form, a task for each slab; ``labels`` holds each file's labels by dimension."""
+def scan(spark: SparkSession, paths: list[str], name: str, labels: dict[str, dict[str, np.ndarray]], dims: tuple[str, ...], within: dict[str, tuple[Any, Any]] | None = None) -> DataFrame:
+    """One variable of several files in long form, a task for each slab; ``labels`` holds each file's labels by dimension.
+
+    Files and slabs without labels ``within`` the given ends of dimensions aren't read.
+    """
     slabs = []
+    held = lambda path, d, a=None, z=None: d not in (within or {}) or bool(((labels[path][d][a:z] >= within[d][0]) & (labels[path][d][a:z] <= within[d][1])).any())
     for path in paths:
+        if not all(held(path, d) for d in dims):
+            continue
         h = read_header(path)
         shape = h.shape(name)
         step = max(1, SLAB_CELLS // max(1, int(np.prod(shape[1:], dtype=np.int64)))) if shape else 1
-        slabs += [(path, a, min(a + step, shape[0])) for a in range(0, shape[0], step)] if shape else [(path, 0, 1)]
+        slabs += [(path, a, min(a + step, shape[0])) for a in range(0, shape[0], step) if held(path, dims[0], a, a + step)] if shape else [(path, 0, 1)]
     first = labels[paths[0]]
     kinds = {d: "timestamp_ntz" if first[d].dtype.kind == "M" else "double" if first[d].dtype.kind == "f" else "int" for d in dims}
 

@@ -1,4 +1,4 @@
-"""Zarr version 2 folders with raw or zlib chunks: metadata on the driver, chunks on the executors."""
+"""Zarr version 2 folders: metadata on the driver, chunks on the executors."""
 
 from __future__ import annotations
 
@@ -15,16 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.plans.scale import broadcast_if_small
+from fieldloom.sources.codecs import COMPRESSORS, FILTERS, decompress, undo_filters
 
 
 def array_meta(path: str, name: str) -> tuple[dict[str, Any], dict[str, Any]]:
     """(.zarray, .zattrs) of one array."""
     with open(os.path.join(path, name, ".zarray")) as f:
         meta = json.load(f)
-    if meta.get("compressor") and meta["compressor"].get("id") not in ("zlib", "gzip"):
-        raise NotImplementedError(f"{name}: compressor {meta['compressor'].get('id')!r}; raw and zlib are read")
-    if meta.get("filters"):
-        raise NotImplementedError(f"{name}: filters aren't read")
+    if meta.get("compressor") and meta["compressor"].get("id") not in COMPRESSORS:
+        raise NotImplementedError(f"{name}: compressor {meta['compressor'].get('id')!r}")
+    if any(f.get("id") not in FILTERS for f in meta.get("filters") or []):
+        raise NotImplementedError(f"{name}: filters {meta['filters']!r}")
     at = os.path.join(path, name, ".zattrs")
     attrs = json.load(open(at)) if os.path.exists(at) else {}  # noqa: SIM115
     return meta, attrs
@@ -41,9 +42,7 @@ def read_chunk(path: str, name: str, meta: dict[str, Any], index: tuple[int, ...
     if os.path.exists(at):
         with open(at, "rb") as f:
             raw = f.read()
-        if meta.get("compressor"):
-            raw = zlib.decompress(raw, 15 + 32)
-        block = np.frombuffer(raw, meta["dtype"]).reshape(chunks, order=meta.get("order", "C"))
+        block = undo_filters(decompress(raw, meta.get("compressor")), meta.get("filters"), meta["dtype"]).reshape(chunks, order=meta.get("order", "C"))
     else:
         fill = meta.get("fill_value")
         block = np.full(chunks, np.nan if fill in (None, "NaN") else fill, dtype=np.dtype(meta["dtype"]) if fill not in (None, "NaN") else "f8")
@@ -62,12 +61,16 @@ def read_array(path: str, name: str) -> np.ndarray:
     return out
 
 
-def scan(spark: SparkSession, path: str, name: str, labels: dict[str, np.ndarray], dims: tuple[str, ...]) -> DataFrame:
-    """One variable in long form, a task for each chunk."""
+def scan(spark: SparkSession, path: str, name: str, labels: dict[str, np.ndarray], dims: tuple[str, ...], within: dict[str, tuple[Any, Any]] | None = None) -> DataFrame:
+    """One variable in long form, a task for each chunk; only of chunks that have labels ``within`` the given ends of dimensions."""
     from fieldloom.sources.netcdf3 import decode
 
     meta, attrs = array_meta(path, name)
-    index = list(itertools.product(*(range(-(-s // c)) for s, c in zip(meta["shape"], meta["chunks"]))))
+    touched = []
+    for d, s, c in zip(dims, meta["shape"], meta["chunks"]):
+        low, high = (within or {}).get(d, (None, None))
+        touched.append([k for k in range(-(-s // c)) if low is None or ((labels[d][k * c:(k + 1) * c] >= low) & (labels[d][k * c:(k + 1) * c] <= high)).any()])
+    index = list(itertools.product(*touched))
     if meta.get("fill_value") not in (None, "NaN"):
         attrs = {"_FillValue": meta["fill_value"], **attrs}
     kinds = {d: "timestamp_ntz" if labels[d].dtype.kind == "M" else "double" if labels[d].dtype.kind == "f" else "int" for d in dims}

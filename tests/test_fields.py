@@ -1,9 +1,12 @@
 import json
 import os
 import shutil
+import struct
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from fieldloom.core.cube import DataCube, plot_kind
@@ -13,6 +16,7 @@ from fieldloom.crs.systems import CurvilinearGrid, RotatedGeogCS
 from fieldloom.meta.coordinate import Coordinate
 from fieldloom.operators.resample import bins_of, parse_frequency
 from fieldloom.operators.select import EmptyDataError
+from fieldloom.sources.codecs import read_blosc
 from fieldloom.sources.catalog import engine_of, name_pattern, open_datacube, open_dataset
 
 TIMES = np.array(["2020-01-01", "2020-01-02", "2020-01-05", "2020-02-03"], dtype="datetime64[D]")
@@ -413,3 +417,89 @@ def test_stream(spark, tmp_path):
     with pytest.raises(ValueError):
         resample_stream(df, "t", ["k"], "v", "max", "ME")
     assert isinstance(Domain({}), Domain)
+
+
+def _blosc(values, width, codec, shuffled, block=256, split=True):
+    """A container as writers make it, for reading."""
+    raw = values.tobytes()
+    number, pack = {"lz4": (1, lambda b: pa.Codec("lz4_raw").compress(b, asbytes=True)), "zlib": (3, zlib.compress), "zstd": (4, lambda b: pa.Codec("zstd").compress(b, asbytes=True))}[codec]
+    body, starts, n = b"", [], -(-len(raw) // block)
+    for k in range(n):
+        content = raw[k * block:(k + 1) * block]
+        if shuffled == 1:
+            m = len(content) // width
+            content = np.frombuffer(content, np.uint8, m * width).reshape(m, width).T.tobytes() + content[m * width:]
+        elif shuffled == 4:
+            m = len(content) // width // 8 * 8
+            bits = np.unpackbits(np.frombuffer(content, np.uint8, m * width).reshape(m, width), axis=1, bitorder="little").T
+            content = np.packbits(bits, axis=1, bitorder="little").tobytes() + content[m * width:]
+        starts.append(16 + 4 * n + len(body))
+        parts = width if split and len(content) == block else 1
+        for i in range(parts):
+            part = content[i * (len(content) // parts):(i + 1) * (len(content) // parts)] if parts > 1 else content
+            packed = pack(part)
+            packed = part if len(packed) >= len(part) else packed
+            body += struct.pack("<i", len(packed)) + packed
+    flags = shuffled | (0 if split else 16) | number << 5
+    return struct.pack("<BBBBiii", 2, 1, flags, width, len(raw), block, 16 + 4 * n + len(body)) + struct.pack(f"<{n}i", *starts) + body
+
+
+@pytest.mark.parametrize("codec", ["lz4", "zlib", "zstd"])
+@pytest.mark.parametrize("shuffled", [0, 1, 4])
+def test_blosc(codec, shuffled):
+    rng = np.random.default_rng(9)
+    for dtype, n in (("<f4", 333), ("<i2", 1000), ("<f8", 32), ("u1", 700)):
+        values = np.cumsum(rng.integers(0, 3, n)).astype(dtype)
+        for split in (True, False):
+            assert read_blosc(_blosc(values, values.itemsize, codec, shuffled, split=split)) == values.tobytes()
+    assert read_blosc(struct.pack("<BBBBiii", 2, 1, 2, 4, 5, 5, 21) + b"plain") == b"plain"
+
+
+def test_zarr_codecs_and_filters(spark, tmp_path):
+    field = Field.from_arrays(spark, np.arange(24.0).reshape(4, 6), "v", ("latitude", "longitude"), {"latitude": np.arange(4.0), "longitude": np.arange(6.0)})
+    path = field.to_zarr(str(tmp_path / "a.zarr")) if hasattr(field, "to_zarr") else DataCube([field]).to_zarr(str(tmp_path / "a.zarr"))
+    at = os.path.join(path, "v", ".zarray")
+    meta, want = json.load(open(at)), field.to_dense()
+    raw = zlib.decompress(open(os.path.join(path, "v", "0.0"), "rb").read())
+    import zstandard
+
+    for compressor, packed in (({"id": "zstd"}, zstandard.ZstdCompressor().compress(raw)), ({"id": "lz4"}, struct.pack("<i", len(raw)) + pa.Codec("lz4_raw").compress(raw, asbytes=True)), ({"id": "blosc"}, _blosc(want, 8, "lz4", 1)), (None, raw)):
+        json.dump({**meta, "compressor": compressor}, open(at, "w"))
+        open(os.path.join(path, "v", "0.0"), "wb").write(packed)
+        assert np.array_equal(open_datacube(spark, path)["v"].to_dense(), want)
+    scaled = np.diff(np.concatenate([[0], (want.ravel() * 10).astype("<i4")])).astype("<i4")
+    json.dump({**meta, "compressor": None, "filters": [{"id": "fixedscaleoffset", "scale": 10, "offset": 0, "dtype": "<f8", "astype": "<i4"}, {"id": "delta", "dtype": "<i4"}, {"id": "shuffle", "elementsize": 4}]}, open(at, "w"))
+    open(os.path.join(path, "v", "0.0"), "wb").write(scaled.view(np.uint8).reshape(-1, 4).T.tobytes())
+    assert np.array_equal(open_datacube(spark, path)["v"].to_dense(), want)
+    json.dump({**meta, "compressor": {"id": "unheard"}}, open(at, "w"))
+    with pytest.raises(NotImplementedError):
+        open_datacube(spark, path)
+
+
+def test_pruned_sources(spark, tmp_path):
+    """Chunks and files beyond a box aren't read: here they are broken."""
+    coords = {"time": np.arange("2020-01-01", "2020-01-09", dtype="datetime64[D]"), "latitude": np.arange(4.0), "longitude": np.arange(6.0)}
+    data = np.random.default_rng(1).random((8, 4, 6))
+    field = Field.from_arrays(spark, data, "v", ("time", "latitude", "longitude"), coords)
+    path = DataCube([field]).to_zarr(str(tmp_path / "p.zarr"), {"time": 4, "latitude": 2, "longitude": 3})
+    open(os.path.join(path, "v", "1.1.1"), "wb").write(b"broken")
+    opened = open_datacube(spark, path)["v"]
+    box = opened.geobbox(north=1, south=0, west=0, east=5).sel(time=slice("2020-01-02", "2020-01-06"))
+    assert np.allclose(box.to_dense(), data[1:6, :2])
+    assert opened.geobbox(north=3, south=2, west=0, east=2).average("time").df.count() == 6
+    with pytest.raises(Exception):
+        opened.geobbox(north=3).sel(time="2020-01-08").df.count()
+    for k in range(2):
+        part = field.sel(time=slice(f"2020-01-0{4 * k + 1}", f"2020-01-0{4 * k + 4}"))
+        DataCube([part]).to_netcdf(str(tmp_path / f"n{k}.nc"))
+    cache = str(tmp_path / "headers.json")
+    cube = open_datacube(spark, str(tmp_path / "n*.nc"), metadata_cache_path=cache)
+    assert np.allclose(cube["v"].to_dense(), data)
+    noted = json.load(open(cache))
+    noted[str(tmp_path / "n0.nc")]["header"]["variables"]["v"]["attrs"]["units"] = noted[str(tmp_path / "n1.nc")]["header"]["variables"]["v"]["attrs"]["units"] = "from the cache"
+    json.dump(noted, open(cache, "w"))
+    again = open_datacube(spark, str(tmp_path / "n*.nc"), metadata_cache_path=cache)
+    assert again["v"].units == "from the cache"
+    first = again["v"].sel(time=slice("2020-01-01", "2020-01-03"))
+    os.truncate(tmp_path / "n1.nc", 100)
+    assert np.allclose(first.to_dense(), data[:3])
