@@ -42,7 +42,13 @@ _WORD = re.compile(r"[^\W_]+")
 
 def words_of(text: str | None) -> list[str]:
     """Maximal runs of letters and digits of the NFC text, in lower case; none for null."""
-    return [w.lower() for w in _WORD.findall(unicodedata.normalize("NFC", text))] if text else []
+    if not text:
+        return []
+    text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    # only these two depend on where a word ends when they are written small
+    if "\u0130" in text or "\u03a3" in text:
+        return [w.lower() for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower())
 
 
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 for i in range(LEAST_WORDS)], dtype=np.uint64)
@@ -72,13 +78,12 @@ class Coder:
         known = self.known
         if len(known) > self.memory:
             known.clear()
-        out = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
-            c = known.get(w)
-            if c is None:
-                c = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out[i] = c
-        return out
+        found = list(map(known.get, words))
+        if None in found:
+            for i, c in enumerate(found):
+                if c is None:
+                    found[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i].encode("utf-8", "surrogatepass"))
+        return np.array(found, dtype=np.uint64)
 
 
 @dataclass
@@ -122,6 +127,16 @@ class Items:
                 seed = np.repeat(first[a:b], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 yield item[seed], np.repeat(hit[a:b], times) - at[seed]
 
+    def touched(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which of the documents, whose codes stand one after another, may have a seed hit; one with a hit is never left out."""
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        out = np.zeros(len(sizes), dtype=bool)
+        for mask, (flat, _, _) in zip(self.masks, self.seeds):
+            hashes = window_hashes(codes, mask)
+            if len(hashes) and len(flat):
+                out[of[:len(hashes)][flat[np.minimum(np.searchsorted(flat, hashes), len(flat) - 1)] == hashes]] = True
+        return out
+
     def diagonals(self, codes: np.ndarray) -> set[tuple[int, int]]:
         """(item, document position minus item position) of all seed hits."""
         out: set[tuple[int, int]] = set()
@@ -276,13 +291,16 @@ def _passages(documents: DataFrame, items: DataFrame, held_chars: int, masks: tu
 
 def _matches(batch: pd.DataFrame, group: Items, coder: Coder) -> pd.DataFrame:
     out = []
-    for doc_id, text in zip(batch["doc_id"], batch["text"]):
-        doc = words_of(text)
-        if len(doc) < LEAST_WORDS:
-            continue
-        codes = coder.codes(doc)
+    docs = [(doc_id, doc) for doc_id, doc in zip(batch["doc_id"], map(words_of, batch["text"])) if len(doc) >= LEAST_WORDS]
+    sizes = np.array([len(doc) for _, doc in docs], dtype=np.int64)
+    every = coder.codes([w for _, doc in docs for w in doc])
+    ends = np.cumsum(sizes)
+    # the windows of all documents are looked up at once, then only documents with a hit by themselves
+    for k in np.flatnonzero(group.touched(every, sizes)):
+        doc_id, doc = docs[k]
+        codes = every[ends[k] - sizes[k]:ends[k]]
         fitting, runs = group.alike(codes) if group.masks == RUN else (sorted(group.diagonals(codes)), {})
-        out += [(doc_id, group.ids[k], *v) for k, v in _best(group, doc, fitting, runs).items()]
+        out += [(doc_id, group.ids[i], *v) for i, v in _best(group, doc, fitting, runs).items()]
     return pd.DataFrame(out, columns=_COLUMNS)
 
 
