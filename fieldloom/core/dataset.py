@@ -78,6 +78,10 @@ class Dataset:
         allowed = {k: {str(x) for x in ([v] if isinstance(v, (str, int, float)) else v)} for k, v in wanted.items()}
         return replace(self, entries=tuple(e for e in self.entries if all(e.attrs[k] in v for k, v in allowed.items())))
 
+    def with_metadata(self, **changes: Any) -> Dataset:
+        """The dataset with some of its metadata set; None takes one away."""
+        return replace(self, metadata={k: v for k, v in {**self.metadata, **changes}.items() if v is not None})
+
     def __getitem__(self, keys: str | Iterable[str]) -> Dataset:
         """The cubes with the given fields only; entries without any are left out."""
         names = [keys] if isinstance(keys, str) else list(keys)

@@ -575,12 +575,13 @@ class Field:
 
     # aggregation --------------------------------------------------------
     def resample(self, operator: str | MethodType, frequency: str, gaps: bool = True, empty_sum: float | None = None, **_ignored: Any) -> Field:
-        """Calendar bins of time by max, min, sum, mean, median, var or std; nulls don't count.
+        """Calendar bins of time by max, min, sum, mean, median, var or std, or by a function of an array; nulls don't count.
 
         Bins in a gap are kept and are null (``empty_sum`` for sums); ``gaps=False`` leaves them out.
         """
-        if callable(operator) or MethodType(operator if not isinstance(operator, MethodType) else operator.value[0]) not in bins.AGGREGATES:
-            raise NotImplementedError(f"no resampling by {operator!r}")
+        if isinstance(operator, MethodType) or not callable(operator):
+            if MethodType(operator if not isinstance(operator, MethodType) else operator.value[0]) not in bins.AGGREGATES:
+                raise NotImplementedError(f"no resampling by {operator!r}")
         time = self.time
         if time.name not in self.dims:
             raise ValueError("resampling needs a time dimension")
@@ -635,6 +636,16 @@ class Field:
         return self.apply_column(lambda v: F.when(v < low, F.lit(float(low))).otherwise(v) if high is None else F.when(v > high, F.lit(float(high))).otherwise(v) if low is None
                                  else F.when(v < low, F.lit(float(low))).when(v > high, F.lit(float(high))).otherwise(v))
 
+    def notnull(self) -> Field:
+        return self.apply_column(lambda v: v.isNotNull().cast("double"))
+
+    def item(self) -> float | None:
+        """The value of a field of one cell."""
+        rows = self.df.select(VALUE).limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError(f"{self.name} isn't one cell")
+        return rows[0][0]
+
     def isnull(self) -> Field:
         return self.apply_column(lambda v: v.isNull().cast("double"))
 
@@ -688,6 +699,55 @@ class Field:
             raise NotImplementedError(f"no {function!r} along a dimension")
         return self.apply_column(lambda _: made[function]())
 
+    def roll(self, dim: Any, n: int) -> Field:
+        """Values moved by ``n`` cells along a dimension, round its end; the labels stay."""
+        coord, name = self._along(dim)
+        labels = np.sort(coord.values) if coord is not None and coord.is_dim else np.arange(self._size(name), dtype="int32")
+        return self._relabelled(name, labels, np.roll(labels, -n))
+
+    def coarsen(self, windows: dict[str, int], operator: str = "mean", boundary: str = "exact") -> Field:
+        """Blocks of so many labels of each dimension as one cell; its label is the mean of theirs.
+
+        Labels that don't fill a block are an error (``exact``), are left out (``trim``), or make a smaller one (``pad``).
+        """
+        out = self
+        for dim, n in windows.items():
+            coord, name = self._along(dim)
+            labels = coord.values if coord is not None and coord.is_dim else np.arange(self._size(name), dtype="int32")
+            whole = len(labels) // n * n
+            if whole < len(labels) and boundary == "exact":
+                raise ValueError(f"{len(labels)} labels of {name} aren't blocks of {n}")
+            kept = labels if boundary == "pad" else labels[:whole]
+            blocks = [kept[k:k + n] for k in range(0, len(kept), n)]
+            mean = np.array([b[0] + (b - b[0]).mean() if b.dtype.kind == "M" else b.astype(float).mean() for b in blocks], dtype=labels.dtype if labels.dtype.kind == "M" else float)
+            out = out._relabelled(name, kept, np.repeat(mean, [len(b) for b in blocks]))
+        domain = out.domain
+        aggregate = bins.aggregate_of(operator, VALUE)
+        return out._with(out.df.groupBy(*out.dims).agg(aggregate.alias(VALUE)), domain)
+
+    def _along(self, dim: Any) -> tuple[Coordinate | None, str]:
+        coord = self.domain.get(dim)
+        name = coord.name if coord is not None else str(dim)
+        if name not in self.dims:
+            raise ValueError(f"{name!r} isn't a dimension of {self.name}")
+        return coord, name
+
+    def _relabelled(self, name: str, labels: np.ndarray, new: np.ndarray) -> Field:
+        """Each label of a dimension replaced; rows of others are left out."""
+        kind = dict(self.df.dtypes)[name]
+        target = "double" if new.dtype.kind == "f" else kind
+        small = broadcast_if_small(weights.small_frame(self.df.sparkSession, pd.DataFrame({"a": labels, "b": new}), f"__old {kind}, __new {target}"))
+        rows = self.df.join(small, F.col(name) == F.col("__old")).drop(name).withColumnRenamed("__new", name)
+        others = [c for c in self.domain if name not in c.dims]
+        own = self.domain.get(name)
+        fresh = [replace(own, values=np.unique(new), bounds=None)] if own is not None and own.is_dim else []
+        return self._with(rows.select(*self.dims, VALUE), Domain([*others, *fresh], self.domain.crs, self.domain.type))
+
+    def with_cells(self) -> DataFrame:
+        """The rows with the two-dimensional latitude and longitude of their cells."""
+        cells = self.cell_table()
+        return self.df.join(broadcast_if_small(cells), [c for c in cells.columns if c in self.dims])
+
     def quantile(self, q: float, dims: Iterable[str] | None = None) -> Field:
         """The exact interpolated quantile over dimensions (all by default)."""
         over = self.dims if dims is None else tuple(dims)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -89,7 +90,16 @@ def label_sequence(first_label: str, last_label: str, frequency: str) -> Column:
     return F.expr(f"transform(sequence(0, cast({count} as int), {step}), x -> cast({each} as timestamp_ntz))")
 
 
-def aggregate_of(operator: str | MethodType, value: str) -> Column:
+def aggregate_of(operator: Any, value: str) -> Column:
+    """A built-in aggregate, or a function of an array (NaN-free) as one in Python, of which a group is one bin of one cell."""
+    if callable(operator) and not isinstance(operator, MethodType):
+
+        @F.pandas_udf("double")
+        def own(v: pd.Series) -> float:
+            held = v.dropna().to_numpy()
+            return float(operator(held)) if len(held) else float("nan")
+
+        return F.nanvl(own(value), F.lit(None))
     method = MethodType(operator) if not isinstance(operator, MethodType) else operator
     if method not in AGGREGATES:
         raise NotImplementedError(f"no resampling by {operator!r}")
@@ -121,7 +131,7 @@ def resample(df: DataFrame, time: str, dims: list[str], value: str, operator: st
         labels = F.filter(label_sequence("__from", "__to", frequency), lambda x: F.col("__next").isNull() | (x < F.col("__next")))
         out = near.select(*others, "__bin", value, F.explode(labels).alias("__label")).select(
             F.col("__label").alias("__bin"), *others, F.when(F.col("__label") == F.col("__bin"), F.col(value)).alias(value))
-    if empty_sum is not None and MethodType(operator if not isinstance(operator, MethodType) else operator.value[0]) is MethodType.SUM:
+    if empty_sum is not None and not (callable(operator) and not isinstance(operator, MethodType)) and MethodType(operator if not isinstance(operator, MethodType) else operator.value[0]) is MethodType.SUM:
         out = out.withColumn(value, F.coalesce(value, F.lit(float(empty_sum))))
     return out.select(F.col("__bin").alias(time), *others, value)
 

@@ -273,6 +273,14 @@ def queries() -> dict[str, Query]:
         "along_cumsum": lambda s, d: shown(grid(s, d).along("time", "cumsum")),
         "along_rolling_max": lambda s, d: shown(grid(s, d).along("time", "rolling_max", 3)),
         "along_diff": lambda s, d: shown(grid(s, d).along("time", "diff")),
+        "along_shift": lambda s, d: shown(grid(s, d).along("time", "shift", 2)),
+        "along_cummax": lambda s, d: shown(grid(s, d).along("time", "cummax")),
+        "along_rolling_mean": lambda s, d: shown(grid(s, d).along("time", "rolling_mean", 4)),
+        "roll_cells": lambda s, d: shown(grid(s, d).roll("longitude", 3)),
+        "coarsen": lambda s, d: shown(grid(s, d).coarsen({"latitude": 2, "longitude": 3}, "sum")),
+        "resample_callable": lambda s, d: shown(grid(s, d).sel(latitude=[-5.0, 5.0]).resample(lambda v: v.max() - v.min(), "ME")),
+        "item": lambda s, d: s.createDataFrame([(round(grid(s, d).average().item(), 6),)], "value double"),
+        "cells_joined": lambda s, d: curvilinear(s, d).with_cells().select("y", "x", "latitude", "longitude", F.round("value", 6).alias("value")),
         "along_rank": lambda s, d: shown(flat(s, d).along("longitude", "rank")),
         "quantile": lambda s, d: shown(grid(s, d).quantile(0.9, ["time"])),
         "anomaly": lambda s, d: (lambda g: shown(g - g.average("time")))(grid(s, d)),
@@ -408,6 +416,14 @@ def oracle_sql() -> dict[str, str]:
         "along_cumsum": w + "SELECT time, latitude, longitude, round(sum(value) OVER (PARTITION BY latitude, longitude ORDER BY time), 6) AS value FROM g",
         "along_rolling_max": w + "SELECT time, latitude, longitude, round(max(value) OVER (PARTITION BY latitude, longitude ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS value FROM g",
         "along_diff": w + "SELECT time, latitude, longitude, round(value - lag(value) OVER (PARTITION BY latitude, longitude ORDER BY time), 6) AS value FROM g",
+        "along_shift": w + "SELECT time, latitude, longitude, round(lag(value, 2) OVER (PARTITION BY latitude, longitude ORDER BY time), 6) AS value FROM g",
+        "along_cummax": w + "SELECT time, latitude, longitude, round(max(value) OVER (PARTITION BY latitude, longitude ORDER BY time), 6) AS value FROM g",
+        "along_rolling_mean": w + "SELECT time, latitude, longitude, round(avg(value) OVER (PARTITION BY latitude, longitude ORDER BY time ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS value FROM g",
+        "roll_cells": w + "SELECT time, latitude, (longitude + 30) % 360 AS longitude, round(value, 6) AS value FROM g",
+        "coarsen": w + "SELECT time, floor((latitude + 45) / 20) * 20 - 40 AS latitude, floor(longitude / 30) * 30 + 10 AS longitude, round(sum(value), 6) AS value FROM g GROUP BY ALL",
+        "resample_callable": _gapped("max", "ME").replace("max(value) AS value FROM g", "max(value) - min(value) AS value FROM g WHERE latitude IN (-5, 5)"),
+        "item": w + "SELECT round(avg(value), 6) AS value FROM g",
+        "cells_joined": f"WITH {curv} SELECT c.y, c.x, la AS latitude, CAST(lo AS DOUBLE) AS longitude, round(value, 6) AS value FROM c JOIN t USING (y, x)",
         "along_rank": _FLAT + " SELECT latitude, longitude, CAST(rank() OVER (PARTITION BY latitude ORDER BY value) AS DOUBLE) AS value FROM m",
         "quantile": w + "SELECT latitude, longitude, round(quantile_cont(value, 0.9), 6) AS value FROM g GROUP BY ALL",
         "anomaly": _FLAT + " SELECT g.time, g.latitude, g.longitude, round(g.value - m.value, 6) AS value FROM g JOIN m USING (latitude, longitude)",

@@ -301,11 +301,14 @@ def catalog_of(paths: DataFrame, column: str, pattern: str) -> DataFrame:
     return read.groupBy(*names).agg(F.array_sort(F.collect_list("__path")).alias("files"), F.count(F.lit(1)).alias("n_files"))
 
 
-def open_dataset(spark: SparkSession, path: str, pattern: str, id_pattern: str | None = None, mapping: dict[str, Any] | None = None, load_files_on_persistance: bool = True, **options: Any) -> Dataset:
+def open_dataset(spark: SparkSession, path: str, pattern: str, id_pattern: str | None = None, mapping: dict[str, Any] | None = None, load_files_on_persistance: bool = True,
+                 ds_attr_mapping: dict[str, str] | None = None, ncvars_mapping: dict[str, str] | None = None, delay_read_cubes: bool = True, **options: Any) -> Dataset:
     """A dataset of the files of a path pattern, one entry for each combination of attributes in their names.
 
     Files that don't fit the pattern are passed over; ValueError if none fits. Cubes are opened when
-    they are needed, or never if ``load_files_on_persistance`` is False.
+    they are needed, or never if ``load_files_on_persistance`` is False, or at once if ``delay_read_cubes``
+    is. ``ds_attr_mapping`` gives attributes other names than those in the pattern, ``ncvars_mapping``
+    variables other names than those on disk. ``metadata_cache_path`` keeps the headers of all entries.
     """
     names = list(dict.fromkeys(placeholders(pattern)))
     regex = name_pattern(pattern)
@@ -316,8 +319,12 @@ def open_dataset(spark: SparkSession, path: str, pattern: str, id_pattern: str |
             groups.setdefault(tuple(m[n] for n in names), []).append(f)
     if not groups:
         raise ValueError(f"no file of {path!r} fits {pattern!r}")
+    mapping = {**(mapping or {}), **{n: {**(mapping or {}).get(n, {}), "name": to} for n, to in (ncvars_mapping or {}).items()}} or None
+    names = [(ds_attr_mapping or {}).get(n, n) for n in names]
     entries = []
     for key, files in sorted(groups.items()):
         opener = (lambda files=files: open_datacube(spark, files if len(files) > 1 else files[0], id_pattern, mapping, **options)) if load_files_on_persistance else None
+        if opener is not None and not delay_read_cubes:
+            opener = (lambda cube: lambda: cube)(opener())
         entries.append(Entry(dict(zip(names, key)), tuple(files), opener))
     return Dataset(tuple(entries), tuple(names))
