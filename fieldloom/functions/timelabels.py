@@ -48,6 +48,7 @@ FORMS = [(name, re.compile(f"^{pattern}$")) for name, pattern in (
     ("d/m/y-12", rf"(?P<d>\d{{1,2}})/(?P<m>\d{{1,2}})/(?P<Y>\d{{4}})\s+{_CLOCK12}{_ZONE}"),
     ("m/d/y-12", rf"(?P<m>\d{{1,2}})/(?P<d>\d{{1,2}})/(?P<Y>\d{{4}})\s+{_CLOCK12}{_ZONE}"),
 )]
+_DIGITS = str.maketrans("123456789", "0" * 9)
 _TOKENS = {"yyyy": r"(?P<Y>\d{4})", "MMM": r"(?P<b>[A-Za-z]{3})", "MM": r"(?P<m>\d{2})", "M": r"(?P<m>\d{1,2})", "dd": r"(?P<d>\d{2})", "d": r"(?P<d>\d{1,2})", "DDD": r"(?P<j>\d{3})",
            "HH": r"(?P<H>\d{2})", "H": r"(?P<H>\d{1,2})", "hh": r"(?P<h>\d{2})", "h": r"(?P<h>\d{1,2})", "mm": r"(?P<M>\d{2})", "ss": r"(?P<S>\d{2})", "SSS": r"(?P<f>\d{3})", "a": r"(?P<a>[AaPp][Mm])"}
 
@@ -99,12 +100,33 @@ def abbreviations(zones: Iterable[str], first: int = 1970, last: int = 2037) ->
     return out
 
 
+def _times(number: str, unit: int) -> int:
+    """A written number times a unit, exact and then rounded, halves to even."""
+    whole, _, part = number.partition(".")
+    if not (whole + part).lstrip("+-").isdigit():
+        return round(Fraction(number) * unit)
+    size = 10 ** len(part)
+    n, rest = divmod(int(whole + part) * unit, size)
+    return n + (2 * rest > size or (2 * rest == size and n % 2 == 1))
+
+
 class Reader:
     """Reads labels; ``known`` is the result of :func:`abbreviations`."""
 
     def __init__(self, known: dict[str, dict[str, list[int]]]) -> None:
         self.known = known
         self.encodings: dict[str, dict | None] = {}
+        self.counts: dict[tuple[str, str | None], tuple[list[int], int] | None] = {}
+        self.shapes: dict[str, list[tuple[str, re.Pattern]]] = {}
+
+    def forms(self, text: str) -> list[tuple[str, re.Pattern]]:
+        """The written forms that a text may have: no form tells one digit from another, so texts are told apart without them."""
+        shape = text.translate(_DIGITS)
+        if shape not in self.shapes:
+            if len(self.shapes) > 20_000:
+                self.shapes.clear()
+            self.shapes[shape] = [(name, pattern) for name, pattern in FORMS if pattern.match(shape)]
+        return self.shapes[shape]
 
     def encoding(self, text: str | None) -> dict | None:
         """The encoding as a dict, empty for null; None if it isn't a JSON object."""
@@ -208,19 +230,31 @@ class Reader:
                 return []
             ns = round(Fraction(f"0.{part or 0}") * 86400 * NS)
             return [("day-as", i) for i in self.instants(at[0] + ns // (86400 * NS), ns % (86400 * NS), None, named)]
+        if (units, named) not in self.counts:
+            if len(self.counts) > 20_000:
+                self.counts.clear()
+            self.counts[units, named] = self.since(units, named)
+        held = self.counts[units, named]
+        if held is None:
+            return []
+        elapsed = _times(text, held[1])
+        return [("since", start + elapsed) for start in held[0]]
+
+    def since(self, units: str, named: str | None) -> tuple[list[int], int] | None:
+        """(starts, nanoseconds of the unit) of ``<unit> since <reference>``; None where it can't be read."""
         m = _SINCE.match(units)
         unit = UNIT_NS.get(m[1].lower()) if m else None
         r = _REFERENCE.match(m[2]) if unit else None
         if r is None:
-            return []
+            return None
         second, _, part = (r[6] or "0").partition(".")
         at = self.clock({"Y": r[1].zfill(4), "m": r[2], "d": r[3], "H": r[4], "M": r[5], "S": second, "f": part})
         if at is None:
-            return []
+            return None
         zone = r[7]
         if zone and re.match(r"[+-]\d(?::|$)", zone):
             zone = zone[0] + "0" + zone[1:]
-        return [("since", i + round(Fraction(text) * unit)) for i in self.instants(*at, zone, named)]
+        return self.instants(*at, zone, named), unit
 
     def read(self, text: str | None, encoding: str | None) -> list[tuple[str, int]]:
         """All (form, nanoseconds since the epoch in UTC) that the label may stand for, without repeats of an instant."""
@@ -236,7 +270,7 @@ class Reader:
             pattern = pattern_of(str(enc["format"]))
             found = self.written(text, [(str(enc["format"]), pattern)], named) if pattern else []
         else:
-            found = self.written(text, FORMS, named)
+            found = self.written(text, self.forms(text), named)
         seen: dict[int, str] = {}
         for form, ns in found:
             seen.setdefault(ns, form)
