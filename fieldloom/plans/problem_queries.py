@@ -97,6 +97,13 @@ def _edges() -> str:
 
 ORACLE = {
     "p1_found": _PERIODS + "SELECT series_id, unnest(generate_series(t0 + step, t1 - step, step)) AS period_us FROM g WHERE t1 > t0 + step",
+    "p1_grid": _PERIODS + """,
+i AS (SELECT p.series_id, step, epoch_us(obs_time) AS t, max(data_value) AS v FROM point_values p JOIN u USING (series_id) WHERE data_value IS NOT NULL AND NOT isnan(data_value) AND (fill IS NULL OR data_value <> fill) AND step IS NOT NULL AND obs_time IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, lead(t) OVER (PARTITION BY series_id ORDER BY t) AS after, (t - ((t % step) + step) % step) AS p0 FROM i),
+c AS (SELECT series_id, step, t, v, least(coalesce(after, t + step), t + step) AS until, p0, unnest(generate_series(p0, CASE WHEN after IS NULL THEN p0 ELSE after - 1 - (((after - 1) % step) + step) % step END, step)) AS p FROM s),
+h AS (SELECT *, greatest(0, least(until, p + step) - greatest(t, p)) AS held FROM c)
+SELECT series_id, p AS period_us, CAST(sum(CASE WHEN p = p0 THEN 1 ELSE 0 END) AS BIGINT) AS n_readings, round(CAST(sum(held) AS DOUBLE) / any_value(step) + 1e-10, 7) AS coverage, round(CASE WHEN sum(held) > 0 THEN sum(held * v) / sum(held) END + 1e-9, 5) AS mean_value,
+  sum(CASE WHEN p = p0 THEN 1 ELSE 0 END) = 0 AS missing FROM h GROUP BY series_id, p""",
     "p1_summary": _PERIODS + """
 SELECT series_id, CAST(count(*) AS BIGINT) AS n_with, CAST(sum(CASE WHEN t1 IS NULL THEN 0 ELSE (t1 - t0) // step - 1 END) AS BIGINT) AS n_missing FROM g GROUP BY series_id""",
     "p2_found": _LOCATED + """,
@@ -195,7 +202,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = table
     return {
         "p1_found": lambda s, d: missing_periods(t(s, d, "point_values"), t(s, d, "series_fields")),
-        "p1_grid": lambda s, d: regular_grid(t(s, d, "point_values"), t(s, d, "series_fields")),
+        "p1_grid": lambda s, d: regular_grid(t(s, d, "point_values"), t(s, d, "series_fields")).withColumns({"coverage": F.round(F.col("coverage") + 1e-10, 7), "mean_value": F.round(F.col("mean_value") + 1e-9, 5)}),
         "p1_summary": _summary,
         "p2_found": lambda s, d: near_pairs(t(s, d, "domain_points"), t(s, d, "domain_crs")),
         "p2_regions": lambda s, d: points_in_regions(geographic(t(s, d, "domain_points"), t(s, d, "domain_crs")), REGIONS),
