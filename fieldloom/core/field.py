@@ -720,7 +720,7 @@ class Field:
             kept = labels if boundary == "pad" else labels[:whole]
             blocks = [kept[k:k + n] for k in range(0, len(kept), n)]
             mean = np.array([b[0] + (b - b[0]).mean() if b.dtype.kind == "M" else b.astype(float).mean() for b in blocks], dtype=labels.dtype if labels.dtype.kind == "M" else float)
-            out = out._relabelled(name, kept, np.repeat(mean, [len(b) for b in blocks]))
+            out = out._relabelled(name, kept, np.repeat(mean, np.array([len(b) for b in blocks], dtype=int)))
         domain = out.domain
         aggregate = bins.aggregate_of(operator, VALUE)
         return out._with(out.df.groupBy(*out.dims).agg(aggregate.alias(VALUE)), domain)

@@ -110,7 +110,7 @@ _LABEL = {
     "YE": "make_date(year(time), 12, 31)", "12h": "time_bucket(INTERVAL 12 HOUR, time, TIMESTAMP '2000-01-01')", "3D": f"time_bucket(INTERVAL 3 DAY, time, {_DAY0})",
 }
 _SQL_AGG = {"max": "max", "min": "min", "sum": "sum", "mean": "avg", "median": "median", "var": "var_pop", "std": "stddev_pop"}
-RESAMPLES = [("max", "1D"), ("max", "W"), ("min", "W"), ("sum", "W"), ("mean", "W"), ("median", "ME"), ("max", "ME"), ("mean", "MS"), ("sum", "QE"), ("mean", "YE"), ("min", "12h"), ("sum", "3D"), ("var", "ME"), ("std", "ME")]
+RESAMPLES = [("max", "1D"), ("max", "W"), ("min", "W"), ("sum", "W"), ("mean", "W"), ("median", "ME"), ("max", "ME"), ("mean", "MS"), ("sum", "QE"), ("mean", "YE"), ("sum", "3D"), ("var", "ME"), ("std", "ME")]
 POINTS = ([40.0, -12.3, 7.0, 7.0, 44.9], [12.0, 355.2, 181.0, 181.0, 9.9])
 TRIANGLE = {"type": "Polygon", "coordinates": [[[-5.0, -50.0], [170.0, -20.0], [100.0, 47.0], [-5.0, -50.0]]]}
 
@@ -212,6 +212,7 @@ def queries() -> dict[str, Query]:
         "roll_longitude": lambda s, d: shown(grid(s, d).roll_longitude(True)),
         "resample_sum_zero": lambda s, d: shown(grid(s, d).resample("sum", "ME", empty_sum=0.0)),
         "resample_max_1D_present": lambda s, d: shown(grid(s, d).resample("max", "1D", gaps=False)),
+        "resample_min_12h_present": lambda s, d: shown(grid(s, d).resample("min", "12h", gaps=False)),
         "resample_median_ME_present": lambda s, d: shown(grid(s, d).resample("median", "ME", gaps=False)),
         "resample_series": lambda s, d: shown(grid(s, d).average("latitude").average("longitude").resample("max", "1D")),
         "average_time": lambda s, d: shown(flat(s, d)),
@@ -354,6 +355,7 @@ def oracle_sql() -> dict[str, str]:
         "roll_longitude": w + "SELECT time, latitude, ((longitude + 180) % 360) - 180 AS longitude, round(value, 6) AS value FROM g",
         "resample_sum_zero": _gapped("sum", "ME").replace("round(h.value, 6)", "coalesce(round(h.value, 6), 0)"),
         "resample_max_1D_present": w + f"SELECT CAST({_LABEL['1D']} AS TIMESTAMP) AS time, latitude, longitude, round(max(value), 6) AS value FROM g GROUP BY ALL",
+        "resample_min_12h_present": w + f"SELECT CAST({_LABEL['12h']} AS TIMESTAMP) AS time, latitude, longitude, round(min(value), 6) AS value FROM g GROUP BY ALL",
         "resample_median_ME_present": w + f"SELECT CAST({_LABEL['ME']} AS TIMESTAMP) AS time, latitude, longitude, round(median(value), 6) AS value FROM g GROUP BY ALL",
         "resample_series": w + """, a AS (SELECT time, longitude, avg(value) AS value FROM g GROUP BY ALL), b AS (SELECT time, avg(value) AS value FROM a GROUP BY ALL),
   e AS (SELECT unnest(generate_series(min(time), max(time), INTERVAL 1 DAY)) AS time FROM b) SELECT e.time, round(b.value, 6) AS value FROM e LEFT JOIN b USING (time)""",

@@ -84,6 +84,10 @@ v AS (SELECT dataset, vars, start_at, min(file_id) AS file_id FROM f GROUP BY AL
 """
 
 
+#: Labels that count units since a reference, without a named zone: the form that SQL can read.
+_COUNTED = "get_json_object(coord_encoding, '$.units') like '% since %' and get_json_object(coord_encoding, '$.timezone') is null"
+
+
 def _edges() -> str:
     """The rings' edges as rows, moved over the date line where they cross it."""
     rows = []
@@ -124,6 +128,16 @@ WHERE k > 1""",
     **{k: _RECORDS + """
 SELECT dataset, vars, epoch_us(t) AS t_us, p AS points, v AS value, count(*) AS copies, arg_min(file_id, (written_at, file_id, line_no)) AS file_id, CAST(arg_min(line_no, (written_at, file_id, line_no)) AS INTEGER) AS line_no
 FROM r WHERE t IS NOT NULL AND p IS NOT NULL GROUP BY ALL""" for k in ("p3_records", "p3_merged")},
+    "p4_counted": r"""
+WITH u(unit, ms) AS (VALUES ('ms', 1), ('millisecond', 1), ('milliseconds', 1), ('msec', 1), ('msecs', 1), ('s', 1000), ('sec', 1000), ('secs', 1000), ('second', 1000), ('seconds', 1000), ('min', 60000), ('mins', 60000), ('minute', 60000), ('minutes', 60000),
+    ('h', 3600000), ('hr', 3600000), ('hrs', 3600000), ('hour', 3600000), ('hours', 3600000), ('d', 86400000), ('day', 86400000), ('days', 86400000), ('week', 604800000), ('weeks', 604800000)),
+r AS (SELECT DISTINCT coord_id, trim(coord_text, E' \t\n\r') AS x, regexp_extract(json_extract_string(coord_encoding, '$.units'), '^\s*([A-Za-z]+)\s+since\s+(\d{1,4})-(\d{1,2})-(\d{1,2})(?:[T ]+(\d{1,2})(?::(\d{1,2})(?::(\d{1,2})(?:\.\d*)?)?)?)?\s*(Z|z|UTC|GMT|[+-]\d{1,2}(?::?\d{2})?)?\s*$', ['unit', 'y', 'mo', 'd', 'h', 'mi', 's', 'z']) AS p
+  FROM time_coords WHERE coord_id IS NOT NULL AND json_extract_string(coord_encoding, '$.units') LIKE '% since %' AND json_extract_string(coord_encoding, '$.timezone') IS NULL
+    AND lower(trim(coalesce(json_extract_string(coord_encoding, '$.calendar'), ''))) IN ('', 'standard', 'gregorian', 'proleptic_gregorian')),
+n AS (SELECT coord_id, TRY_CAST(x AS DECIMAL(27, 14)) * CAST(ms AS DECIMAL(10, 0)) AS ms, TRY(make_timestamp(CAST(p.y AS BIGINT), CAST(p.mo AS BIGINT), CAST(p.d AS BIGINT), coalesce(TRY_CAST(p.h AS BIGINT), 0), coalesce(TRY_CAST(p.mi AS BIGINT), 0), coalesce(TRY_CAST(p.s AS DOUBLE), 0))) AS ref,
+    CASE WHEN p.z IN ('', 'Z', 'z', 'UTC', 'GMT') THEN 0 ELSE (CASE WHEN p.z[1] = '-' THEN -1 ELSE 1 END) * (CAST(regexp_extract(p.z, '^[+-](\d{1,2}?)(?::?(\d{2}))?$', 1) AS INTEGER) * 60 + coalesce(TRY_CAST(regexp_extract(p.z, '^[+-](\d{1,2}?)(?::?(\d{2}))?$', 2) AS INTEGER), 0)) END AS shift
+  FROM r JOIN u ON u.unit = lower(p.unit) WHERE regexp_matches(x, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$'))
+SELECT DISTINCT coord_id, CAST(floor(ms + epoch_ms(ref) - shift * 60000 + 0.5) AS BIGINT) AS utc_ms FROM n WHERE ms IS NOT NULL AND ref IS NOT NULL""",
     "p5_found": _FIELDS + """,
 p AS (SELECT dataset, vars, start_at, file_id, lag(start_at) OVER (PARTITION BY dataset, vars ORDER BY start_at) AS before FROM v),
 n AS (SELECT p.file_id, p.dataset, p.vars, p.before, c.ncvar, c.dt, c.q FROM p JOIN c ON c.dataset IS NOT DISTINCT FROM p.dataset AND c.vars IS NOT DISTINCT FROM p.vars AND c.start_at = p.start_at WHERE before IS NOT NULL),
@@ -211,6 +225,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_merged": _merged_records,
         "p3_files": lambda s, d: consolidate(t(s, d, "dataset_files")),
         "p4_found": lambda s, d: one_instant(t(s, d, "time_coords")),
+        "p4_counted": lambda s, d: one_instant(t(s, d, "time_coords").where(_COUNTED)),
         "p4_labels": lambda s, d: normalise_labels(t(s, d, "time_coords")),
         "p5_found": lambda s, d: schema_changes(t(s, d, "dataset_files")).select("file_id", "ncvar", "change_kind"),
         "p5_table": lambda s, d: unified_fields(t(s, d, "dataset_files")).drop("start_at"),

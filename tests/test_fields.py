@@ -503,3 +503,20 @@ def test_pruned_sources(spark, tmp_path):
     first = again["v"].sel(time=slice("2020-01-01", "2020-01-03"))
     os.truncate(tmp_path / "n1.nc", 100)
     assert np.allclose(first.to_dense(), data[:3])
+
+
+def test_blocks_and_rolls(field, spark):
+    f, data = field
+    n = data.shape[-1]
+    name = f.dims[-1]
+    assert np.allclose(f.roll(name, 2).to_dense(), np.roll(data, 2, axis=-1), equal_nan=True) and np.array_equal(f.roll(name, 0).to_dense(), data, equal_nan=True)
+    small = f.coarsen({name: n}, "max")
+    assert small.shape[-1] == 1 and np.allclose(small.to_dense()[..., 0], np.nanmax(data, axis=-1))
+    with pytest.raises(ValueError):
+        f.coarsen({name: n + 1})
+    assert f.coarsen({name: n + 1}, boundary="trim").df.count() == 0 and f.coarsen({name: n + 1}, boundary="pad").shape[-1] == 1
+    with pytest.raises(ValueError):
+        f.item()
+    with pytest.raises(ValueError):
+        DataCube([f.average(f.dims[0]), Field.from_arrays(spark, np.ones(3), "other", ("k",), {})]).to_wide()
+    assert f.notnull().df.where("value = 1").count() == f.df.where("value is not null").count()
