@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -17,6 +18,8 @@ from fieldloom.core.cube import DataCube
 from fieldloom.meta.naming import to_json_value
 
 log = logging.getLogger(__name__)
+#: Entries of a dataset that are written at the same time.
+WRITERS = 4
 
 
 @dataclass(frozen=True)
@@ -118,27 +121,28 @@ class Dataset:
         return replace(self, entries=tuple(kept))
 
     def persist(self, path: str | None = None, zip_if_many: bool = False) -> str | None:
-        """One file for each entry, named after its attributes.
+        """One file for each entry, named after its attributes; ``WRITERS`` entries are written at once.
 
         Empty cubes are passed over. Without any file None is returned, with one its path, else the
         folder, or an archive of it if ``zip_if_many``. Entries without cubes copy their one file.
         """
         folder = path or tempfile.mkdtemp(prefix="fieldloom-")
         os.makedirs(folder, exist_ok=True)
-        written = []
-        for e in self.entries:
+
+        def write(e: Entry) -> str | None:
             name = "-".join(f"{a}={e.attrs[a]}" for a in self.attr_names)
             if e.open is None:
                 if len(e.files) != 1:
                     raise ValueError("several files can't be copied to one")
-                target = os.path.join(folder, name + os.path.splitext(e.files[0])[1])
-                written.append(shutil.copyfile(e.files[0], target))
-                continue
+                return shutil.copyfile(e.files[0], os.path.join(folder, name + os.path.splitext(e.files[0])[1]))
             cube = e.cube()
             if not len(cube) or any(n == 0 for f in cube for n in f.shape):
                 log.warning("%s is empty and isn't written", name)
-                continue
-            written.append(cube.persist(os.path.join(folder, f"{name}.nc")))
+                return None
+            return cube.persist(os.path.join(folder, f"{name}.nc"))
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            written = [path for path in pool.map(write, self.entries) if path is not None]
         if not written:
             log.warning("nothing is written")
             return None
